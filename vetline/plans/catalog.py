@@ -13,16 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.config import DEFAULT_PROFANITY
+from vetline.config import CLASSIFIER_VOCAB, DEFAULT_PROFANITY, RELEVANCY_VOCAB
 from vetline.functions import patterns as P
 from vetline.functions import text as X
 from vetline.functions.pics import parse_pics
 from vetline.functions.rules import weak_labels
 from vetline.functions.timegeo import haversine_km, parse_dt
 from vetline.functions.users import gibberish_name
+from vetline.functions import terms as TM
+from vetline.operators import image as IM
+from vetline.operators import lookup as LK
+from vetline.operators import policy as PO
+from vetline.operators import relevancy as RL
 from vetline.operators import split as S
+from vetline.operators import tfidf as TF
 from vetline.operators import windows as W
 from vetline.plans import oracle as O
+from vetline.plans import screen as SC
 from vetline.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +132,7 @@ def _entropy_sql() -> str:
     return sql(
         """SELECT r.review_id, round(coalesce(e.h, 0.0), 6) AS char_entropy
 FROM reviews r LEFT JOIN (
-  SELECT review_id, -sum((n / tot) * log2(n / tot)) AS h
+  SELECT review_id, 0.0 - sum((n / tot) * log2(n / tot)) AS h
   FROM (SELECT review_id, ch, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY review_id)::DOUBLE AS tot
         FROM (SELECT review_id, unnest(string_split(text, '')) AS ch FROM reviews WHERE coalesce(text, '') <> '')
         GROUP BY review_id, ch)
@@ -245,10 +252,222 @@ def q_split_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return S.assign_split(r, S.place_split(r)).select("review_id", "split")
 
 
+# ----------------------------------------------------------- terms, TF-IDF
+
+@register("ngrams", lambda: sql(
+    f"SELECT review_id, CAST(len(toks) AS BIGINT) AS n_unigrams, CAST(greatest(len(toks) - 1, 0) AS BIGINT) AS n_bigrams, "
+    f"md5(array_to_string({O.terms_list('toks')}, chr(31))) AS terms_md5 FROM rt",
+    f"rt AS (SELECT review_id, {O.tokens('text')} AS toks FROM reviews)"))
+def q_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.reviews(spark, sf).withColumn("_toks", TM.tokens("text"))
+    toks = F.col("_toks")
+    return r.select(
+        "review_id", big(F.size(toks)).alias("n_unigrams"),
+        big(F.greatest(F.size(toks) - 1, F.lit(0))).alias("n_bigrams"),
+        F.md5(F.array_join(TM.terms_of_tokens(toks), "\x1f")).alias("terms_md5"))
+
+
+_REVIEW_TERMS = (f"rt AS (SELECT review_id, {{toks}} AS toks FROM reviews), "
+                 f"a AS (SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest({{terms}}) AS term FROM rt) "
+                 f"GROUP BY review_id, term)")
+
+
+def _review_terms_cte() -> str:
+    return _REVIEW_TERMS.format(toks=O.tokens("text"), terms=O.terms_list("toks"))
+
+
+@register("idf", lambda: sql(
+    "SELECT term, CAST(count(*) AS BIGINT) AS df, "
+    "round(ln((1.0 + (SELECT count(*) FROM reviews)) / (1.0 + count(*))) + 1.0, 6) AS idf FROM a GROUP BY term",
+    _review_terms_cte()))
+def q_idf(spark: SparkSession, sf: str) -> DataFrame:
+    t = TF.idf_table(V.reviews(spark, sf), "review_id", "text")
+    return t.select("term", big("df").alias("df"), r6("idf").alias("idf"))
+
+
+@register("top_terms", lambda: sql(
+    "SELECT term, CAST(sum(tf) AS BIGINT) AS ttf FROM a GROUP BY term ORDER BY ttf DESC, term ASC LIMIT 20000",
+    _review_terms_cte()))
+def q_top_terms(spark: SparkSession, sf: str) -> DataFrame:
+    t = TF.doc_terms(V.reviews(spark, sf), ["review_id"], "text")
+    top = TF.top_terms(TF.term_stats([(t, None)]), CLASSIFIER_VOCAB)
+    return top.select("term", big("ttf").alias("ttf"))
+
+
+def _eval_pairs_spark(spark: SparkSession, sf: str) -> DataFrame:
+    return LK.eval_pairs(V.reviews(spark, sf), V.places(spark, sf))
+
+
+_EVAL_PAIRS = ("pairs AS (SELECT r.review_id, coalesce(r.text, '') AS t, {desc} AS d FROM reviews r "
+               "JOIN places p ON p.place_id = r.place_id)")
+
+
+def _eval_pairs_cte() -> str:
+    return _EVAL_PAIRS.format(desc=O.place_desc("p.place_name", "p.place_category", "p.city", "p.description"))
+
+
+@register("eval_pairs", lambda: sql("SELECT review_id, d AS place_desc FROM pairs", _eval_pairs_cte()))
+def q_eval_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _eval_pairs_spark(spark, sf).select("review_id", "place_desc")
+
+
+@register("place_description", lambda: sql(
+    f"SELECT place_id, {O.place_desc('place_name', 'place_category', 'city', 'description')} AS place_desc FROM places"))
+def q_place_description(spark: SparkSession, sf: str) -> DataFrame:
+    return V.places(spark, sf).select("place_id", LK.place_description().alias("place_desc"))
+
+
+@register("enrich_place", lambda: sql(
+    "SELECT r.review_id, coalesce(p.place_name, r.place_name, '') AS place_name, "
+    "coalesce(p.place_category, r.place_category, '') AS place_category, coalesce(p.city, r.city, '') AS city, "
+    "coalesce(p.description, '') AS description, p.place_lat, p.place_lon "
+    "FROM reviews r LEFT JOIN places p ON p.place_id = r.place_id"))
+def q_enrich_place(spark: SparkSession, sf: str) -> DataFrame:
+    e = LK.enrich_place(V.reviews(spark, sf), V.places(spark, sf))
+    return e.select("review_id", "place_name", "place_category", "city", "description", "place_lat", "place_lon")
+
+
+@register("relevancy_tfidf", lambda: sql(
+    "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
+    _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
+def q_relevancy_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _eval_pairs_spark(spark, sf)
+    scored = TF.tfidf_relevancy(pairs, "review_id", "text", "place_desc", RELEVANCY_VOCAB)
+    return scored.select("review_id", r6("relevancy").alias("relevancy"))
+
+
+@register("mean_relevancy", lambda: sql(
+    "SELECT round(avg(relevancy), 6) AS mean_relevancy, count(*) AS n_pairs FROM rel",
+    _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
+def q_mean_relevancy(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _eval_pairs_spark(spark, sf)
+    scored = TF.tfidf_relevancy(pairs, "review_id", "text", "place_desc", RELEVANCY_VOCAB)
+    return scored.agg(r6(F.avg("relevancy")).alias("mean_relevancy"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+@register("score_calibrate", lambda: sql(
+    "SELECT event_id, round(CASE WHEN (SELECT min(s) FROM sc) < 0.0 OR (SELECT max(s) FROM sc) > 1.0 "
+    "THEN 1.0 / (1.0 + exp(-s)) ELSE s END, 6) AS score FROM sc",
+    "sc AS (SELECT event_id, (value - 25.0) / 10.0 AS s FROM events)"))
+def q_score_calibrate(spark: SparkSession, sf: str) -> DataFrame:
+    ev = V.load(spark, sf, "events").select("event_id", ((F.col("value") - 25.0) / 10.0).alias("score"))
+    return RL.calibrate(ev, "score").select("event_id", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------- images, decision
+
+def _image_scores_spark(spark: SparkSession, sf: str, r: DataFrame | None = None) -> DataFrame:
+    r = r if r is not None else V.reviews(spark, sf)
+    emb = V.load(spark, sf, "embeddings")
+    n = emb.select(F.count(F.lit(1))).scalar()
+    images = IM.synthetic_image_rows(r.withColumn("image_count", F.size(parse_pics("pics"))), n)
+    scores = IM.image_text_relevance(images, emb)
+    return r.select("review_id").join(scores, "review_id", "left")
+
+
+_IMAGE_CTES = (
+    "ic AS (SELECT review_id, doc_id, len({pics}) AS image_count FROM reviews), "
+    "ik AS (SELECT review_id, doc_id, unnest(range(0, least(image_count, 5))) AS k FROM ic), "
+    "iv AS (SELECT ik.review_id, ie.embedding::DOUBLE[] AS a, te.embedding::DOUBLE[] AS b FROM ik "
+    "JOIN embeddings ie ON ie.vec_id = (ik.doc_id * 5 + ik.k) % (SELECT count(*) FROM embeddings) "
+    "JOIN embeddings te ON te.vec_id = ik.doc_id % (SELECT count(*) FROM embeddings)), "
+    "img AS (SELECT review_id, avg((list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * "
+    "sqrt(list_inner_product(b, b))) + 1.0) / 2.0) AS image_relevancy FROM iv GROUP BY review_id)"
+)
+
+
+def _image_ctes() -> str:
+    return _IMAGE_CTES.format(pics=O.parse_pics("pics"))
+
+
+@register("image_text_relevance", lambda: sql(
+    "SELECT r.review_id, round(img.image_relevancy, 6) AS image_relevancy FROM reviews r "
+    "LEFT JOIN img ON img.review_id = r.review_id", _image_ctes()))
+def q_image_text_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_scores_spark(spark, sf).select("review_id", r6("image_relevancy").alias("image_relevancy"))
+
+
+def _features_ctes(with_rel: bool, with_img: bool) -> str:
+    """DuckDB feature table ``fx`` with every decision input."""
+    t = O.txt()
+    desc = O.place_desc("coalesce(p.place_name, r.place_name)", "coalesce(p.place_category, r.place_category)",
+                        "coalesce(p.city, r.city)", "p.description")
+    parts = [
+        f"rn AS (SELECT r.*, p.place_lat, p.place_lon, {desc} AS place_desc, "
+        f"string_split({t}, '') AS chars FROM reviews r LEFT JOIN places p ON p.place_id = r.place_id)",
+        "ent AS (SELECT review_id, 0.0 - sum((n / tot) * log2(n / tot)) AS h FROM (SELECT review_id, ch, count(*)::DOUBLE AS n, "
+        "sum(count(*)) OVER (PARTITION BY review_id)::DOUBLE AS tot FROM (SELECT review_id, unnest(chars) AS ch FROM rn) "
+        "GROUP BY review_id, ch) GROUP BY review_id)",
+        f"f0 AS (SELECT rn.review_id, rn.user_id, rn.place_id, coalesce(rn.text, '') AS t, rn.place_desc AS d, "
+        f"{O.text_norm(t)} AS text_norm, {O.parse_dt('rn.created_at')} AS dt, "
+        f"CASE WHEN {O.has_url(t)} AND {O.promo(t)} THEN 1.0 ELSE 0.0 END AS p_ad, 0.0::DOUBLE AS p_irr, "
+        f"CASE WHEN {O.never_been(t)} THEN 1.0 ELSE 0.0 END AS p_rant, "
+        f"CASE WHEN {O.repeat_flag('rn.chars')} THEN 1.0 ELSE 0.0 END AS p_spam, "
+        f"{O.never_been(t)} AS never_been_cues, {O.experiential(t)} AS experiential_score, "
+        f"{O.profanity(t, DEFAULT_PROFANITY)} AS profanity_count, {O.gibberish('rn.user_name')} AS user_name_gibberish, "
+        f"coalesce(ent.h, 0.0) AS char_entropy, "
+        f"{O.haversine('rn.user_lat', 'rn.user_lon', 'rn.place_lat', 'rn.place_lon')} AS distance_km "
+        f"FROM rn LEFT JOIN ent ON ent.review_id = rn.review_id)",
+        f"f1 AS (SELECT f0.*, {_BURST_CASE.format(t='dt', u='user_id')} AS user_burst_24h FROM f0)",
+        "dg AS (SELECT user_id, text_norm, count(DISTINCT place_id) AS n FROM f0 WHERE user_id IS NOT NULL "
+        "GROUP BY user_id, text_norm)",
+        "pairs AS (SELECT review_id, t, d FROM f0)",
+    ]
+    body = ", ".join(parts)
+    if with_rel:
+        body += "," + O.relevancy_ctes("pairs")
+    if with_img:
+        body += ", " + _image_ctes()
+    rel = "rel.relevancy" if with_rel else "1.0::DOUBLE"
+    img = "img.image_relevancy" if with_img else "NULL::DOUBLE"
+    body += (f", fx AS (SELECT f1.*, coalesce(dg.n > 1, false) AS dup_across_places, {rel} AS relevancy, "
+             f"{img} AS image_relevancy FROM f1 LEFT JOIN dg ON dg.user_id = f1.user_id AND dg.text_norm = f1.text_norm"
+             + (" LEFT JOIN rel ON rel.review_id = f1.review_id" if with_rel else "")
+             + (" LEFT JOIN img ON img.review_id = f1.review_id" if with_img else "") + ")")
+    return body
+
+
+_DECISION_COLS = ("review_id", "labels", "user_burst_24h", "dup_across_places", "profanity_count",
+                  "user_name_gibberish", "char_entropy", "distance_km", "relevancy", "image_relevancy")
+
+
+def _decision_select() -> str:
+    return (f"SELECT review_id, {O.decision_labels()} AS labels, CAST(user_burst_24h AS BIGINT) AS user_burst_24h, "
+            "dup_across_places, CAST(profanity_count AS BIGINT) AS profanity_count, "
+            "round(user_name_gibberish, 6) AS user_name_gibberish, round(char_entropy, 6) AS char_entropy, "
+            "round(distance_km, 6) AS distance_km, round(relevancy, 6) AS relevancy, "
+            "round(image_relevancy, 6) AS image_relevancy FROM fx")
+
+
+def _decision_out(df: DataFrame) -> DataFrame:
+    return df.select(
+        "review_id", joined(F.col("labels")).alias("labels"), big("user_burst_24h").alias("user_burst_24h"),
+        "dup_across_places", big("profanity_count").alias("profanity_count"),
+        r6("user_name_gibberish").alias("user_name_gibberish"), r6("char_entropy").alias("char_entropy"),
+        r6("distance_km").alias("distance_km"), r6("relevancy").alias("relevancy"),
+        r6("image_relevancy").alias("image_relevancy"))
+
+
+@register("decision_layer", lambda: sql(_decision_select(), _features_ctes(False, False)))
+def q_decision_layer(spark: SparkSession, sf: str) -> DataFrame:
+    feats = SC.screen_features(V.reviews(spark, sf), V.places(spark, sf))
+    df = SC.rule_probabilities(feats).withColumn("relevancy", F.lit(1.0)).withColumn(
+        "image_relevancy", F.lit(None).cast("double"))
+    return _decision_out(PO.decision_layer(df))
+
+
+@register("screen_reviews", lambda: sql(_decision_select(), _features_ctes(True, True)))
+def q_screen_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.reviews(spark, sf)
+    preds = SC.screen_reviews(r, V.places(spark, sf), image_scores=_image_scores_spark(spark, sf, r),
+                              relevancy_vocab=RELEVANCY_VOCAB, records=False)
+    return _decision_out(preds)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLES.items()}
-FLAGSHIP = "weak_labels"
+FLAGSHIP = "screen_reviews"

@@ -166,3 +166,81 @@ def parse_pics(s: str) -> str:
 
 def r6(expr: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6)"
+
+
+def decision_labels(cfg=None) -> str:
+    """Labels ('|'-joined, canonical order) of the decision layer over the
+    columns p_ad, p_irr, p_rant, p_spam, relevancy, image_relevancy,
+    user_name_gibberish, user_burst_24h, dup_across_places, char_entropy,
+    profanity_count, distance_km, never_been_cues, experiential_score."""
+    from vetline import config as C
+
+    cfg = cfg or C.ScreenConfig()
+    pri, sw, th = cfg.priors, cfg.switches, cfg.thresholds
+    d = "::DOUBLE"
+
+    def b(x):
+        return f"coalesce({x}, false)"
+
+    irr = b(f"relevancy < {th.rel_thresh}{d} AND coalesce(p_irr, 0{d}) >= {th.irr}{d}")
+    if sw.enable_image_relevance:
+        irr += " OR " + b(f"image_relevancy < {pri.image_low_to_irrelevant}{d}")
+    rant = b(f"coalesce(p_rant, 0{d}) >= {th.rant}{d}")
+    if sw.enable_device_location_prior:
+        rant += " OR " + b(f"distance_km > {pri.far_km}{d} AND ({b('never_been_cues')} OR "
+                           f"{b(f'experiential_score < {C.EXPERIENTIAL_LOW}{d}')})")
+    raises = []
+    if sw.enable_username_prior:
+        raises.append((b(f"user_name_gibberish >= {pri.username_gibberish_to_spam}{d}"), C.SPAM_RAISE_USERNAME))
+    if sw.enable_image_relevance:
+        raises.append((b(f"image_relevancy < {pri.image_irrelevant_to_spam}{d}"), C.SPAM_RAISE_IMAGE))
+    if sw.enable_dup_burst_prior:
+        raises.append((b(f"user_burst_24h >= {pri.burst_24h_to_spam}"), C.SPAM_RAISE_BURST))
+        raises.append((b("dup_across_places"), C.SPAM_RAISE_DUP))
+    if sw.enable_readability_prior:
+        raises.append((b(f"char_entropy < {pri.low_entropy_to_spam}{d}"), C.SPAM_RAISE_ENTROPY))
+    if sw.enable_profanity_prior:
+        raises.append((f"({b('profanity_count > 0')} AND (experiential_score IS NULL OR "
+                       f"{b(f'experiential_score < {C.EXPERIENTIAL_LOW}{d}')} OR "
+                       f"{b(f'relevancy < {C.PROFANITY_RELEVANCY_CUT}{d}')}))", C.SPAM_RAISE_PROFANITY))
+    spam = ", ".join([f"coalesce(p_spam, 0{d})"] + [f"CASE WHEN {c} THEN {v}{d} ELSE 0{d} END" for c, v in raises])
+    return (f"concat_ws('|', CASE WHEN coalesce(p_ad, 0{d}) >= {th.ad}{d} THEN {q(C.AD)} END, "
+            f"CASE WHEN {irr} THEN {q(C.IRRELEVANT)} END, "
+            f"CASE WHEN {rant} THEN {q(C.RANT)} END, "
+            f"CASE WHEN greatest({spam}) >= {th.spam}{d} THEN {q(C.SPAM)} END)")
+
+
+def terms_list(toks: str) -> str:
+    """Unigrams then space-joined bigrams of a token-list column."""
+    return f"list_concat({toks}, list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1]))"
+
+
+def tokens(t: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({t}, '')), {q(P.token_pattern())})"
+
+
+def relevancy_ctes(pairs: str, vocab: int | None = 50000) -> str:
+    """CTEs computing ``rel(review_id, relevancy)`` from a CTE named
+    ``pairs`` with columns (review_id, t, d)."""
+    limit = f"LIMIT {vocab}" if vocab else ""
+    return f"""
+pt AS (SELECT review_id, d, {tokens('t')} AS toks FROM {pairs}),
+a AS (SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest({terms_list('toks')}) AS term FROM pt) GROUP BY review_id, term),
+dd AS (SELECT d, count(*) AS mult, {tokens('d')} AS toks FROM {pairs} GROUP BY d),
+b AS (SELECT d, term, count(*) AS tf, any_value(mult) AS mult FROM (SELECT d, mult, unnest({terms_list('toks')}) AS term FROM dd) GROUP BY d, term),
+stats AS (SELECT term, sum(ttf) AS ttf, sum(dfr) AS dfr FROM (SELECT term, tf AS ttf, 1 AS dfr FROM a UNION ALL SELECT term, tf * mult, mult FROM b) GROUP BY term),
+vocab AS (SELECT term, ln((1.0 + (SELECT 2 * count(*) FROM {pairs})) / (1.0 + dfr)) + 1.0 AS idf FROM stats ORDER BY ttf DESC, term ASC {limit}),
+wa AS (SELECT a.review_id, a.term, a.tf * v.idf AS w FROM a JOIN vocab v ON v.term = a.term),
+wb AS (SELECT b.d, b.term, b.tf * v.idf AS w FROM b JOIN vocab v ON v.term = b.term),
+na AS (SELECT review_id, sqrt(sum(w * w)) AS na FROM wa GROUP BY review_id),
+nb AS (SELECT d, sqrt(sum(w * w)) AS nb FROM wb GROUP BY d),
+dots AS (SELECT p.review_id, sum(wa.w * wb.w) AS dot FROM {pairs} p JOIN wa ON wa.review_id = p.review_id
+         JOIN wb ON wb.d = p.d AND wb.term = wa.term GROUP BY p.review_id),
+rel AS (SELECT p.review_id, CASE WHEN na.na * nb.nb > 0 THEN least(1.0, greatest(0.0, coalesce(dots.dot, 0.0) / (na.na * nb.nb)))
+        ELSE 0.0 END AS relevancy FROM {pairs} p LEFT JOIN na ON na.review_id = p.review_id
+        LEFT JOIN nb ON nb.d = p.d LEFT JOIN dots ON dots.review_id = p.review_id)"""
+
+
+def place_desc(name: str, cat: str, city: str, desc: str) -> str:
+    return (f"concat(coalesce({name}, ''), ' — ', coalesce({cat}, ''), ', ', coalesce({city}, ''), '. ', "
+            f"coalesce({desc}, ''))")
