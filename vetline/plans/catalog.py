@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.config import CLASSIFIER_VOCAB, DEFAULT_PROFANITY, RELEVANCY_VOCAB
+from vetline.config import CLASSIFIER_VOCAB, DEFAULT_PROFANITY, LABEL_KEYS, LABELS, RELEVANCY_VOCAB, SPAM, SplitConfig
+from vetline.functions import formatting as FMT
+from vetline.functions import rules as RU
 from vetline.functions import patterns as P
 from vetline.functions import text as X
 from vetline.functions.pics import parse_pics
@@ -21,12 +23,19 @@ from vetline.functions.rules import weak_labels
 from vetline.functions.timegeo import haversine_km, parse_dt
 from vetline.functions.users import gibberish_name
 from vetline.functions import terms as TM
+from vetline.operators import evaluate as EV
+from vetline.operators import features as FE
 from vetline.operators import image as IM
+from vetline.operators import language as LG
+from vetline.operators import multilabel as ML
 from vetline.operators import lookup as LK
 from vetline.operators import policy as PO
 from vetline.operators import relevancy as RL
 from vetline.operators import split as S
 from vetline.operators import tfidf as TF
+from vetline.operators.partitioning import spread
+from vetline.sources import converters as CV
+from vetline.sources import readers as RD
 from vetline.operators import windows as W
 from vetline.plans import oracle as O
 from vetline.plans import screen as SC
@@ -464,6 +473,248 @@ def q_screen_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return _decision_out(preds)
 
 
+# ------------------------------------------------- prediction records, filters
+
+def _rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    feats = SC.screen_features(V.reviews(spark, sf), V.places(spark, sf))
+    df = SC.rule_probabilities(feats).withColumn("relevancy", F.lit(1.0)).withColumn(
+        "image_relevancy", F.lit(None).cast("double"))
+    return LK.prediction_records(PO.decision_layer(df))
+
+
+_PRED_CTE = "pr AS (SELECT review_id, p_ad, p_irr, p_rant, p_spam, {labels} AS labels FROM fx)"
+
+
+def _pred_ctes() -> str:
+    return _features_ctes(False, False) + ", " + _PRED_CTE.format(labels=O.decision_labels())
+
+
+@register("filter_label", lambda: sql(
+    f"SELECT review_id, labels FROM pr WHERE list_contains(string_split(labels, '|'), {O.q(SPAM)})", _pred_ctes()))
+def q_filter_label(spark: SparkSession, sf: str) -> DataFrame:
+    preds = LK.filter_label(_rule_predictions(spark, sf), SPAM)
+    return preds.select("review_id", joined(F.col("labels")).alias("labels"))
+
+
+@register("filter_confidence", lambda: sql(
+    "SELECT review_id, labels FROM pr WHERE greatest(p_ad, p_irr, p_rant, p_spam) >= 0.5", _pred_ctes()))
+def q_filter_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    preds = LK.filter_confidence(_rule_predictions(spark, sf), 0.5)
+    return preds.select("review_id", joined(F.col("labels")).alias("labels"))
+
+
+@register("shown_counts", lambda: sql(
+    f"SELECT count(*) FILTER (WHERE list_contains(string_split(labels, '|'), {O.q(SPAM)}) AND "
+    "greatest(p_ad, p_irr, p_rant, p_spam) >= 0.5) AS shown, count(*) AS total FROM pr", _pred_ctes()))
+def q_shown_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return LK.shown_counts(_rule_predictions(spark, sf), SPAM, 0.5)
+
+
+@register("meta_tokens")
+def q_meta_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    feats = SC.screen_features(V.reviews(spark, sf), V.places(spark, sf))
+    return feats.select("review_id", FMT.meta_tokens().alias("meta"))
+
+
+# -------------------------------------------------- labels, converters, I/O
+
+_LABEL_STRINGS = ("CASE l.doc_id % 8 WHEN 0 THEN 'Fake' WHEN 1 THEN 'TRUE' WHEN 2 THEN '1' WHEN 3 THEN 'real' "
+                  "WHEN 4 THEN ' false ' WHEN 5 THEN '0' WHEN 6 THEN '??' ELSE NULL END")
+_LABEL_INPUT = (f"SELECT l.doc_id, {_LABEL_STRINGS} AS s, CAST(l.quality AS DOUBLE) * 0.6 + "
+                "CAST(l.toxic AS DOUBLE) * 0.3 AS x FROM labels l")
+
+
+@register("label_coerce", lambda: sql(
+    f"SELECT doc_id, CASE WHEN lower({O.trim_ws('s')}) IN ('fake', 'true', '1') THEN 1 ELSE 0 END AS from_string, "
+    "CASE WHEN coalesce(x > 0.5, false) THEN 1 ELSE 0 END AS from_number FROM lc", f"lc AS ({_LABEL_INPUT})"))
+def q_label_coerce(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("labels",))
+    lc = spark.sql(_LABEL_INPUT)
+    return lc.select("doc_id", RU.label_coerce_string("s").alias("from_string"),
+                     RU.label_coerce("x").alias("from_number"))
+
+
+# Deterministic breakage of events.props: single quotes, garbage, blanks.
+_BROKEN_PROPS = (
+    "CASE event_id % 6 WHEN 0 THEN props "
+    "WHEN 1 THEN replace(props, '\"', '''') "
+    "WHEN 2 THEN concat('{bad', props) "
+    "WHEN 3 THEN '   ' "
+    "WHEN 4 THEN concat('{''a'':\"it''s\", ', substr(props, 2)) "
+    "ELSE concat(' ', props, ' ') END"
+)
+
+
+def _lenient_oracle() -> str:
+    t = O.trim_ws("l")
+    return sql(
+        "SELECT event_id, CAST(json_extract(j, '$.k') AS BIGINT) AS k FROM (SELECT event_id, CASE "
+        f"WHEN {t} = '' THEN NULL WHEN json_valid({t}) THEN {t} "
+        f"WHEN json_valid(replace({t}, '''', '\"')) THEN replace({t}, '''', '\"') END AS j "
+        f"FROM (SELECT event_id, {_BROKEN_PROPS} AS l FROM events)) WHERE j IS NOT NULL")
+
+
+@register("lenient_json", _lenient_oracle)
+def q_lenient_json(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("events",))
+    lines = spark.sql(f"SELECT event_id, {_BROKEN_PROPS} AS l FROM events")
+    parsed = lines.select("event_id", RD.lenient_json(F.col("l")).alias("obj")).where(F.col("obj").isNotNull())
+    return parsed.select("event_id", F.try_variant_get("obj", "$.k", "bigint").alias("k"))
+
+
+_GENERIC_SQL = ("SELECT concat('b', CAST(c.c_custkey AS STRING)) AS business_id, c.c_name AS business_name, "
+                "c.c_mktsegment AS rating_category, n.n_name AS city, concat(c.c_name, ' ', c.c_mktsegment) AS text, "
+                "CAST(c.c_acctbal AS STRING) AS rating, CASE c.c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' "
+                "ELSE concat('http://img/', CAST(c.c_custkey AS STRING)) END AS photo "
+                "FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
+
+
+def _generic_oracle() -> str:
+    return sql(
+        "SELECT concat('kaggle_', business_id) AS review_id, business_id AS place_id, business_name AS place_name, "
+        "rating_category AS place_category, city, text, rating, '' AS created_at, '' AS user_id, '' AS user_name, "
+        f"CASE WHEN photo IS NOT NULL AND {O.trim_ws('photo')} <> '' THEN to_json([photo])::VARCHAR ELSE '[]' END AS pics "
+        "FROM g", f"g AS ({_GENERIC_SQL})")
+
+
+@register("convert_generic", _generic_oracle)
+def q_convert_generic(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("customer", "nation"))
+    return CV.convert_generic(spark.sql(_GENERIC_SQL), id_col="business_id")
+
+
+_LABELLED_SQL = "SELECT d.doc_id, d.text, l.toxic AS fake FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
+
+
+@register("convert_labelled", lambda: sql(
+    "SELECT concat('gmrpl_', CAST(doc_id AS STRING)) AS review_id, coalesce(text, '') AS text, "
+    "CAST(CASE WHEN fake > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS is_fake FROM lb", f"lb AS ({_LABELLED_SQL})"))
+def q_convert_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("labels", "documents"))
+    return CV.convert_labelled(spark.sql(_LABELLED_SQL), id_col="doc_id").select("review_id", "text", "is_fake")
+
+
+@register("union_sources", lambda: sql(
+    "SELECT concat('kaggle_', business_id) AS review_id, business_id AS place_id, text, CAST(NULL AS INTEGER) AS is_fake "
+    "FROM g UNION ALL SELECT concat('gmrpl_', CAST(doc_id AS STRING)), '', coalesce(text, ''), "
+    "CAST(CASE WHEN fake > 0.5 THEN 1 ELSE 0 END AS INTEGER) FROM lb",
+    f"g AS ({_GENERIC_SQL}), lb AS ({_LABELLED_SQL})"))
+def q_union_sources(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("customer", "nation", "labels", "documents"))
+    g = CV.convert_generic(spark.sql(_GENERIC_SQL), id_col="business_id")
+    lb = CV.convert_labelled(spark.sql(_LABELLED_SQL), id_col="doc_id")
+    return CV.union_sources([g, lb]).select("review_id", "place_id", "text", "is_fake")
+
+
+def _prompt_oracle() -> str:
+    place = O.place_desc("place_name", "place_category", "city", "NULL")
+    return sql(
+        f"SELECT review_id, replace(replace(replace({O.q(FMT.PROMPT_TEMPLATE)}, '{{place}}', {place}), "
+        f"'{{images}}', to_json({O.parse_pics('pics')})::VARCHAR), '{{text}}', coalesce(text, '')) AS prompt FROM reviews")
+
+
+@register("prompt_render", _prompt_oracle)
+def q_prompt_render(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.reviews(spark, sf)
+    place = LK.place_description("place_name", "place_category", "city", F.lit(None).cast("string"))
+    return r.select("review_id", FMT.render_prompt(place, "text", F.to_json(parse_pics("pics"))).alias("prompt"))
+
+
+# ------------------------------------------------------- model, evaluation
+
+def _label_matrix_oracle() -> str:
+    cols = ", ".join(
+        f"CASE WHEN list_contains(string_split({O.weak_labels(O.txt())}, '|'), {O.q(lab)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y_{k}"
+        for k, lab in zip(LABEL_KEYS, LABELS))
+    return sql(f"SELECT review_id, {cols} FROM rv", f"rv AS ({O.with_chars()})")
+
+
+@register("label_matrix", _label_matrix_oracle)
+def q_label_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    r = FE.add_weak_labels(V.reviews(spark, sf))
+    return ML.label_matrix(r).select("review_id", *[f"y_{k}" for k in LABEL_KEYS])
+
+
+def _fit_predict(spark: SparkSession, sf: str) -> DataFrame:
+    r = FE.add_weak_labels(V.reviews(spark, sf))
+    train = S.assign_split(r, S.place_split(r, cfg=SplitConfig(0.2, 0.2, 42))).where(F.col("split") == "train")
+    model = ML.MultiLabelModel.fit(train)
+    return model.transform(r)
+
+
+@register("multilabel_fit_predict")
+def q_multilabel_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
+    out = _fit_predict(spark, sf)
+    return out.select("review_id", *[r6(f"p_{k}").alias(f"p_{k}") for k in LABEL_KEYS],
+                      joined(F.col("pred_labels")).alias("pred_labels"))
+
+
+@register("label_means")
+def q_label_means(spark: SparkSession, sf: str) -> DataFrame:
+    means = EV.label_means(_fit_predict(spark, sf))
+    return means.select(*[r6(f"mean_p_{k}").alias(f"mean_p_{k}") for k in LABEL_KEYS])
+
+
+def _metrics_oracle() -> str:
+    t = O.txt()
+    body = (f"rv AS ({O.with_chars()}), "
+            "pl AS (SELECT r.review_id, CAST(l.toxic AS INTEGER) AS is_fake, "
+            f"CASE WHEN {O.has_url(t)} AND {O.promo(t)} THEN 1.0 ELSE 0.0 END AS p_ad, 0.0 AS p_irr, "
+            f"CASE WHEN {O.never_been(t)} THEN 1.0 ELSE 0.0 END AS p_rant, "
+            f"CASE WHEN {O.repeat_flag('chars')} THEN 1.0 ELSE 0.0 END AS p_spam "
+            "FROM rv r JOIN labels l ON l.doc_id = r.doc_id), "
+            "pp AS (SELECT 'spam_only' AS strategy, is_fake = 1 AS y, p_spam >= 0.5 AS p FROM pl UNION ALL "
+            "SELECT 'any_violation', is_fake = 1, greatest(p_ad, p_irr, p_rant, p_spam) >= 0.5 FROM pl), "
+            "cm AS (SELECT strategy, count(*) FILTER (WHERE p AND y) AS tp, count(*) FILTER (WHERE p AND NOT y) AS fp, "
+            "count(*) FILTER (WHERE NOT p AND y) AS fn, count(*) FILTER (WHERE NOT p AND NOT y) AS tn "
+            "FROM pp GROUP BY strategy), "
+            "mx AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS prec, "
+            "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rec FROM cm)")
+    return sql("SELECT strategy, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(prec, 6) AS precision, "
+               "round(rec, 6) AS recall, "
+               "round(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END, 6) AS f1, "
+               "tp, fp, fn, tn FROM mx", body)
+
+
+@register("binary_metrics", _metrics_oracle)
+def q_binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    r = FE.add_weak_labels(V.reviews(spark, sf))
+    lab = V.load(spark, sf, "labels").select("doc_id", F.col("toxic").cast("int").alias("is_fake"))
+    scored = SC.rule_probabilities(r).join(lab, "doc_id")
+    m = EV.binary_metrics(scored)
+    return m.select("strategy", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+                    *[big(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+
+
+_LANG_CTES = """dt AS (SELECT doc_id, lang, string_split(lower(coalesce(text, '')), '') AS c,
+  trim(coalesce(text, '')) = '' AS blank FROM documents),
+tri AS (SELECT doc_id, tri, count(*) AS cnt FROM (SELECT doc_id,
+  unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS tri FROM dt)
+  GROUP BY doc_id, tri),
+lab AS (SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL),
+cnts AS (SELECT l.lang, t.tri, sum(t.cnt) AS c FROM tri t JOIN lab l ON l.doc_id = t.doc_id GROUP BY l.lang, t.tri),
+tot AS (SELECT lang, sum(c) AS total FROM cnts GROUP BY lang),
+lg AS (SELECT p.lang, ln(p.n / (SELECT count(*) FROM lab)) AS prior,
+  -ln(coalesce(t.total, 0) + (SELECT count(DISTINCT tri) FROM cnts)) AS unseen
+  FROM (SELECT lang, count(*) AS n FROM lab GROUP BY lang) p LEFT JOIN tot t ON t.lang = p.lang),
+ntri AS (SELECT doc_id, sum(cnt) AS n FROM tri GROUP BY doc_id),
+delta AS (SELECT t.doc_id, c.lang, sum(t.cnt * ln(c.c + 1.0)) AS d FROM tri t JOIN cnts c ON c.tri = t.tri
+  GROUP BY t.doc_id, c.lang),
+sc AS (SELECT nt.doc_id, lg.lang, lg.prior + nt.n * lg.unseen + coalesce(delta.d, 0.0) AS s FROM ntri nt CROSS JOIN lg
+  LEFT JOIN delta ON delta.doc_id = nt.doc_id AND delta.lang = lg.lang),
+best AS (SELECT doc_id, lang FROM (SELECT doc_id, lang,
+  row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang ASC) AS rn FROM sc) WHERE rn = 1)"""
+
+
+@register("language_id", lambda: sql(
+    "SELECT d.doc_id, d.lang, CASE WHEN d.blank THEN 'unknown' ELSE coalesce(b.lang, 'unknown') END AS lang_pred "
+    "FROM dt d LEFT JOIN best b ON b.doc_id = d.doc_id", _LANG_CTES))
+def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(V.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
+    model = LG.TrigramLanguageModel.fit(docs)
+    return model.predict(docs).select("doc_id", "lang", "lang_pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
