@@ -34,9 +34,13 @@ class TrigramLanguageModel:
         self.langs = langs              # (lang, prior, unseen)
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    def fit(cls, docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+            doc_tri: DataFrame | None = None):
+        """``doc_tri`` (key, tri, cnt) may be passed to share one trigram
+        table between fitting and predicting on the same documents."""
         labelled = docs.where(F.col(lang_col).isNotNull())
-        tri = doc_trigrams(labelled, key, text_col).join(labelled.select(key, lang_col), key)
+        t = doc_tri if doc_tri is not None else doc_trigrams(labelled, key, text_col)
+        tri = t.join(labelled.select(key, lang_col), key)
         counts = tri.groupBy(lang_col, "tri").agg(F.sum("cnt").alias("c"))
         vocab = counts.select(F.count_distinct("tri")).scalar()
         totals = counts.groupBy(lang_col).agg(F.sum("c").alias("total"))
@@ -52,12 +56,13 @@ class TrigramLanguageModel:
                            F.log(F.col("c") + 1.0).alias("lp_delta")))
         return cls(profile, langs)
 
-    def predict(self, df: DataFrame, key: str = "doc_id", text_col: str = "text", out: str = "lang_pred") -> DataFrame:
+    def predict(self, df: DataFrame, key: str = "doc_id", text_col: str = "text", out: str = "lang_pred",
+                doc_tri: DataFrame | None = None) -> DataFrame:
         """Adds ``out``; blank text -> "unknown"."""
         # The language table is bounded by the labelled languages (a handful).
         lang_rows = self.langs.orderBy("lang").collect()
         names = [r["lang"] for r in lang_rows]
-        t = doc_trigrams(df, key, text_col)
+        t = doc_tri if doc_tri is not None else doc_trigrams(df, key, text_col)
         n_tri = t.groupBy(key).agg(F.sum("cnt").alias("_n"))
         delta = (t.join(self.profile, "tri")
                  .groupBy(key).pivot("lang", names).agg(F.sum(F.col("cnt") * F.col("lp_delta"))))

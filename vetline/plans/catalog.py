@@ -34,6 +34,7 @@ from vetline.operators import relevancy as RL
 from vetline.operators import split as S
 from vetline.operators import tfidf as TF
 from vetline.operators.partitioning import spread
+from vetline.session import materialize
 from vetline.sources import converters as CV
 from vetline.sources import readers as RD
 from vetline.operators import windows as W
@@ -711,8 +712,9 @@ best AS (SELECT doc_id, lang FROM (SELECT doc_id, lang,
     "FROM dt d LEFT JOIN best b ON b.doc_id = d.doc_id", _LANG_CTES))
 def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(V.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
-    model = LG.TrigramLanguageModel.fit(docs)
-    return model.predict(docs).select("doc_id", "lang", "lang_pred")
+    tri = materialize(LG.doc_trigrams(docs, "doc_id", "text"))
+    model = LG.TrigramLanguageModel.fit(docs, doc_tri=tri)
+    return model.predict(docs, doc_tri=tri).select("doc_id", "lang", "lang_pred")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
