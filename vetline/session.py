@@ -67,3 +67,30 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
 
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vetline`` importable on every executor (the pandas UDFs live in
+    it): zip the package once per SparkContext and ``addPyFile`` it, the
+    programmatic form of ``--py-files``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="vetline-pyfiles-", dir=os.environ.get("TMPDIR", "/tmp"))
+    path = os.path.join(out_dir, "vetline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
