@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_LANGUAGES = 1000
+
 
 def trigrams(col: Column | str) -> Column:
     """Overlapping code-point trigrams of the lower-cased text."""
@@ -59,8 +61,11 @@ class TrigramLanguageModel:
     def predict(self, df: DataFrame, key: str = "doc_id", text_col: str = "text", out: str = "lang_pred",
                 doc_tri: DataFrame | None = None) -> DataFrame:
         """Adds ``out``; blank text -> "unknown"."""
-        # The language table is bounded by the labelled languages (a handful).
-        lang_rows = self.langs.orderBy("lang").collect()
+        # The language table has one row per labelled language (a handful);
+        # the bound is checked before anything reaches the driver.
+        lang_rows = self.langs.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+        if len(lang_rows) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
         names = [r["lang"] for r in lang_rows]
         t = doc_tri if doc_tri is not None else doc_trigrams(df, key, text_col)
         n_tri = t.groupBy(key).agg(F.sum("cnt").alias("_n"))

@@ -39,6 +39,7 @@ from vetline.sources import converters as CV
 from vetline.sources import readers as RD
 from vetline.operators import windows as W
 from vetline.plans import oracle as O
+from vetline.plans import jobs as JB
 from vetline.plans import screen as SC
 from vetline.plans import views as V
 
@@ -636,11 +637,18 @@ def q_label_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return ML.label_matrix(r).select("review_id", *[f"y_{k}" for k in LABEL_KEYS])
 
 
+_MODELS: dict[tuple[str, str], "ML.MultiLabelModel"] = {}
+
+
 def _fit_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the train split (place-disjoint, 0.2/0.2), predict every
+    review. The fitted model is reused within one application and folder."""
     r = FE.add_weak_labels(V.reviews(spark, sf))
-    train = S.assign_split(r, S.place_split(r, cfg=SplitConfig(0.2, 0.2, 42))).where(F.col("split") == "train")
-    model = ML.MultiLabelModel.fit(train)
-    return model.transform(r)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        train = S.assign_split(r, S.place_split(r, cfg=SplitConfig(0.2, 0.2, 42))).where(F.col("split") == "train")
+        _MODELS[key] = ML.MultiLabelModel.fit(train)
+    return _MODELS[key].transform(r)
 
 
 @register("multilabel_fit_predict")
@@ -717,6 +725,21 @@ def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return model.predict(docs, doc_tri=tri).select("doc_id", "lang", "lang_pred")
 
 
+@register("train_sample_relevancy", lambda: sql(
+    "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
+    _SPLIT_CTES + ", hd AS (SELECT r.* FROM reviews r JOIN sp ON sp.place_id = r.place_id AND sp.split = 'train' "
+    "ORDER BY r.review_id LIMIT 10), "
+    "pairs AS (SELECT hd.review_id, coalesce(hd.text, '') AS t, "
+    + O.place_desc("coalesce(p.place_name, hd.place_name, '')", "coalesce(p.place_category, hd.place_category, '')",
+                   "coalesce(p.city, hd.city, '')", "coalesce(p.description, '')")
+    + " AS d FROM hd LEFT JOIN places p ON p.place_id = hd.place_id)," + O.relevancy_ctes("pairs")))
+def q_train_sample_relevancy(spark: SparkSession, sf: str) -> DataFrame:
+    r = V.reviews(spark, sf)
+    train = S.assign_split(r, S.place_split(r)).where(F.col("split") == "train")
+    out = JB.relevancy_sample(train, V.places(spark, sf), 10)
+    return out.select("review_id", r6("relevancy").alias("relevancy"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -79,3 +79,20 @@ def run_name() -> str:
 
 
 __all__ = ["prepare", "train", "train_or_load", "evaluate", "screen_to_sink", "run_name"]
+
+
+def relevancy_sample(train_df: DataFrame, places: DataFrame | None, n: int = 10) -> DataFrame:
+    """Relevancy of the first ``n`` training reviews (by review_id) to their
+    place; places that are missing give an all-empty description."""
+    from pyspark.sql import functions as F
+
+    from vetline.operators.lookup import enrich_place, place_description
+    from vetline.operators.tfidf import relevancy_scores
+
+    head = train_df.orderBy("review_id").limit(n)
+    if places is not None:
+        head = enrich_place(head.drop(*[c for c in ("description",) if c in head.columns]), places)
+    if "description" not in head.columns:
+        head = head.withColumn("description", F.lit(""))
+    pairs = head.select("review_id", "text", place_description().alias("place_desc"))
+    return relevancy_scores(pairs, "review_id", "text", "place_desc", 50000)

@@ -95,3 +95,12 @@ def read_lexicon(spark: SparkSession, path: str | None, max_inline: int = 10000)
     if len(head) <= max_inline:
         return tuple(sorted(r["word"] for r in head))
     return words
+
+
+def largest_csv(spark: SparkSession, folder: str) -> str | None:
+    """Path of the largest ``*.csv`` directly in ``folder`` (file listing
+    only: the binaryFile source does not read content that is not selected)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+             .option("recursiveFileLookup", False).load(folder).select("path", "length"))
+    top = files.orderBy(F.col("length").desc(), F.col("path")).limit(1).collect()
+    return top[0]["path"] if top else None
