@@ -109,10 +109,16 @@ def has_url(col: Column | str) -> Column:
     return url_count(col) > 0
 
 
+def _class_count(t: Column, cls: str) -> Column:
+    """Code points of ``t`` in a regex class: length minus the length after
+    removing runs of the class (one match per run, not per character)."""
+    return F.length(t) - F.length(F.regexp_replace(t, f"{cls}+", ""))
+
+
 def caps_ratio(col: Column | str) -> Column:
     t = safe_text(col)
-    letters = F.regexp_count(t, F.lit("\\p{L}"))
-    upper = F.regexp_count(t, F.lit("\\p{Lu}"))
+    letters = _class_count(t, "\\p{L}")
+    upper = _class_count(t, "\\p{Lu}")
     return F.when(letters == 0, F.lit(0.0)).otherwise(upper / letters)
 
 
