@@ -154,10 +154,14 @@ def profanity_count(col: Column | str, words: tuple[str, ...]) -> Column:
 
 
 def experiential_score(col: Column | str) -> Column:
+    """Each cue is first screened with a plain substring test on its leading
+    literal (a match is impossible without it), so the regex runs only on
+    the few rows that contain the literal."""
     low = F.lower(safe_text(col))
     hits = None
-    for pat in P.experiential_patterns():
-        term = low.rlike(pat).cast("int")
+    for cue, pat in zip(P.EXPERIENTIAL_CUES, P.experiential_patterns()):
+        literal = cue.split("(")[0]
+        term = F.when(low.contains(literal), low.rlike(pat)).otherwise(F.lit(False)).cast("int")
         hits = term if hits is None else hits + term
     return F.least(F.lit(1.0), hits / F.lit(4.0))
 
