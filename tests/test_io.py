@@ -112,3 +112,13 @@ def test_streaming_screen(spark):
     q.stop()
     got = spark.read.json(os.path.join(out, "preds")).collect()
     assert len(got) == 1 and got[0]["labels"] == ["Advertisement/Promo"]
+
+
+def test_largest_csv(spark):
+    from vetline.sources.readers import largest_csv
+
+    d = _tmp()
+    for name, rows in (("small.csv", 2), ("big.csv", 50), ("notes.txt", 500)):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("text,label\n" + "".join(f"row {i},1\n" for i in range(rows)))
+    assert largest_csv(spark, d).endswith("/big.csv")
