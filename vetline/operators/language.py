@@ -68,14 +68,19 @@ class TrigramLanguageModel:
             raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
         names = [r["lang"] for r in lang_rows]
         t = doc_tri if doc_tri is not None else doc_trigrams(df, key, text_col)
-        n_tri = t.groupBy(key).agg(F.sum("cnt").alias("_n"))
-        delta = (t.join(self.profile, "tri")
-                 .groupBy(key).pivot("lang", names).agg(F.sum(F.col("cnt") * F.col("lp_delta"))))
-        scored = n_tri.join(delta, key, "left")
+        # One profile row per trigram with one column per language, so each
+        # document trigram joins at most one row (no per-language fan-out);
+        # a hot trigram on the document side is split by AQE's skew join.
+        wide = self.profile.groupBy("tri").pivot("lang", names).agg(F.first("lp_delta"))
+        wide = wide.select("tri", *[F.col(f"`{n}`").alias(f"_lp{i}") for i, n in enumerate(names)])
+        joined = t.join(wide, "tri", "left")
+        scored = joined.groupBy(key).agg(
+            F.sum("cnt").alias("_n"),
+            *[F.sum(F.col("cnt") * F.coalesce(F.col(f"_lp{i}"), F.lit(0.0))).alias(f"_d{i}")
+              for i in range(len(names))])
         cols = {}
-        for r in lang_rows:
-            cols[r["lang"]] = (F.lit(r["prior"]) + F.col("_n") * F.lit(r["unseen"])
-                               + F.coalesce(F.col(f"`{r['lang']}`"), F.lit(0.0)))
+        for i, r in enumerate(lang_rows):
+            cols[r["lang"]] = F.lit(r["prior"]) + F.col("_n") * F.lit(r["unseen"]) + F.col(f"_d{i}")
         best_score = F.greatest(*cols.values()) if len(cols) > 1 else list(cols.values())[0]
         pick = None
         for name in names:  # first language (by name) reaching the best score
