@@ -34,4 +34,6 @@ def test_duplicates_aggregate_before_the_shuffle(spark):
 def test_vocabulary_is_a_bounded_broadcast(spark):
     df = spark.createDataFrame([("a", "x y", "x z")], "review_id string, text string, description string")
     plan = _plan(tfidf_relevancy(df, max_features=100, materialize_how="none"))
-    assert "TakeOrderedAndProject" in plan and "BroadcastExchange" in plan
+    # exact distributed cut: range-partitioned sort, no single-task top-k merge
+    assert "rangepartitioning(" in plan and "TakeOrderedAndProject" not in plan
+    assert "BroadcastExchange" in plan
