@@ -34,6 +34,27 @@ def test_duplicates_aggregate_before_the_shuffle(spark):
 def test_vocabulary_is_a_bounded_broadcast(spark):
     df = spark.createDataFrame([("a", "x y", "x z")], "review_id string, text string, description string")
     plan = _plan(tfidf_relevancy(df, max_features=100, materialize_how="none"))
-    # exact distributed cut: range-partitioned sort, no single-task top-k merge
-    assert "rangepartitioning(" in plan and "TakeOrderedAndProject" not in plan
-    assert "BroadcastExchange" in plan
+    # exact distributed cut (its range-partitioned input is checkpointed), no single-task top-k merge
+    assert "TakeOrderedAndProject" not in plan and "BroadcastExchange" in plan
+    from pyspark.sql import functions as F
+
+    from vetline.operators.partitioning import exact_top_k
+    cut = exact_top_k(spark.range(1000), 10, [F.col("id").desc()], materialize_how="none")
+    assert "rangepartitioning(" in _plan(cut)
+
+
+def test_exact_top_k_matches_sort_on_shuffled_ties(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from vetline.operators.partitioning import exact_top_k
+
+    rnd = random.Random(3)
+    rows = [(f"t{i:05d}", rnd.randrange(0, 6)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "term string, ttf long").repartition(7).groupBy("term").agg(F.sum("ttf").alias("ttf"))
+    order = [F.col("ttf").desc(), F.col("term").asc()]
+    for k in (1, 37, 500, 5000):
+        got = [(r["term"], r["ttf"]) for r in exact_top_k(df, k, order, n_parts=5).orderBy(*order).collect()]
+        exp = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+        assert got == exp, k
