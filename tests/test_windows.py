@@ -40,6 +40,20 @@ def test_burst_matches_brute_force(spark):
             exp[rid] = sum(1 for x in group if x[2] is not None and t - dt.timedelta(hours=24) <= x[2] <= t)
     for bucket in (24, 3):
         assert _burst(spark, rows, bucket_hours=bucket) == exp
+    assert _burst(spark, rows, bucket_minutes=45) == exp
+    # a tiny row budget forces fine buckets
+    assert _burst(spark, rows, bucket_minutes="auto", max_partition_rows=20) == exp
+
+
+def test_auto_bucket_refines_for_hot_user(spark):
+    from vetline.operators.windows import choose_bucket_minutes
+
+    rows = [(f"h{i}", "hot", T0 + dt.timedelta(seconds=7 * i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "rid string, user_id string, dt timestamp_ntz")
+    assert choose_bucket_minutes(df, max_rows=10_000_000) == 1440
+    fine = choose_bucket_minutes(df, max_rows=200)
+    # one row every 7 s: 15-minute buckets hold 129 rows (> 100), 10-minute ones 86
+    assert fine == 10
 
 
 def test_no_user_column_gives_zero(spark):

@@ -92,3 +92,6 @@ class ScreenConfig:
     # Burst window bucket size: rows are split by (user, time bucket) so a
     # single hot user never lands in one task; 24 means one-day buckets.
     burst_bucket_hours: int = 24
+    # Overrides the hours when set: minutes dividing 1440, or "auto" to size
+    # buckets from the data (one extra partially aggregated count).
+    burst_bucket_minutes: int | str | None = None

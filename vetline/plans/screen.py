@@ -48,7 +48,7 @@ def screen_features(reviews: DataFrame, places: DataFrame | None = None,
     df = FE.add_weak_labels(df)
     df = df.withColumn("place_desc", place_description())
     df = materialize(df, materialize_how)
-    df = W.user_burst_24h(df, bucket_hours=cfg.burst_bucket_hours)
+    df = W.user_burst_24h(df, bucket_hours=cfg.burst_bucket_hours, bucket_minutes=cfg.burst_bucket_minutes)
     df = W.dup_across_places(df)
     return df
 
