@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, quality
+from vetline.llm import bpe, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_token_shards": tokenfile.op3_token_shards,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
