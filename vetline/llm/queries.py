@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, quality, tokenfile
+from vetline.llm import bpe, decontaminate, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_token_shards": tokenfile.op3_token_shards,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": decontaminate.OP10_SQL,
+}
