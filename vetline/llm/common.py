@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder of the shared store, for use in tasks."""
+    if re.match(r"\w+:", folder):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+    return fs.LocalFileSystem(), folder

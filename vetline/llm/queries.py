@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, decontaminate, neardup, quality, sharding, tokenfile, toolcalls, urlfilter
+from vetline.llm import bpe, decontaminate, neardup, quality, sharding, tokenfile, toolcalls, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_token_shards": tokenfile.op3_token_shards,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filter": urlfilter.op5_url_filter,
+    "op6_warc": warc.op6_warc,
     "op7_tool_calls": toolcalls.op7_tool_calls,
     "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_byte_bpe": bpe.op9_byte_bpe,

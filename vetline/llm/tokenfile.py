@@ -27,12 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm.common import scratch, table
+from vetline.llm.common import open_store, scratch, table
 from vetline.session import ship_package
 
 MAGIC = b"IDSHARD1"
@@ -129,13 +128,6 @@ def _encoder(spec: str) -> WordEncoder:
 
 # ---- files ----------------------------------------------------------------
 
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder URI, for tasks."""
-    if re.match(r"\w+:", folder):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
-    return fs.LocalFileSystem(), folder
-
-
 def _key_hashes(*key: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes of a key from different seeds: 128 bits tell keys apart."""
     return F.xxhash64(F.lit(1), *key), F.xxhash64(F.lit(2), *key)
@@ -159,13 +151,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     shards = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
     ordered = slim.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
     shard_folder = f"{folder}/shards"
-    store, path = _store(shard_folder)
+    store, path = open_store(shard_folder)
     store.create_dir(path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
         end = np.array([end_id], encoder.kind).tobytes()
-        store, path = _store(shard_folder)
+        store, path = open_store(shard_folder)
         task = TaskContext.get()
         shard, name = task.partitionId(), f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         out, offset, last, copy = None, 0, object(), 0
@@ -314,7 +306,7 @@ def read_documents(found: DataFrame, entries: DataFrame, folder: str) -> DataFra
     ordered = found.filter("shard is not null").repartition(max(len(shards), 1), "shard").sortWithinPartitions("shard", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(shard_folder)
+        store, path = open_store(shard_folder)
         at, source, width = None, None, 0
         for batch in batches:
             ids, starts = [], []
