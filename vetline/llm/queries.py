@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, decontaminate, neardup, quality, sharding, tokenfile, toolcalls, urlfilter, warc
+from vetline.llm import bpe, decontaminate, neardup, passages, quality, sharding, tokenfile, toolcalls, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_repeated_passages": passages.op2_repeated_passages,
     "op3_token_shards": tokenfile.op3_token_shards,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filter": urlfilter.op5_url_filter,
