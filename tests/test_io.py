@@ -5,22 +5,22 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from vetline.functions.pics import parse_pics
 from vetline.operators.features import add_weak_labels
 from vetline.operators.multilabel import MultiLabelModel, latest_model_dir
 from vetline.sources import converters as CV
-from vetline.sources.readers import read_csv_folder, read_json_lines, read_reviews_csv
+from vetline.sources.readers import read_csv_folder, read_json_lines, read_lexicon, read_reviews_csv
 from vetline.sources.sinks import write_splits
 
 CSV = (
     "\n"
     "review_id,place_id,place_name,place_category,city,text,rating,created_at,user_id,user_name,pics\n"
-    'r1,p1,Blue Bottle,coffee shop,San Francisco,"Great cappuccino, ""really"".\nSecond line",5,2024-06-01,u10,"Amy VG","[]"\n'
-    'r6,p4,Park Place,park,Seattle,"asdfasdf!!!!!!!!! http://spam.biz buy now",1,2024-07-20,u14,"zzzz",'
-    '"[""https://picsum.photos/200/300""]"\n'
-    "r7,p4,Park Place,park,Seattle,,1,,u15,,\n"
+    'k1,q1,Corner Deli,deli,Bremen,"Good soup, ""warm"".\nNext line",4,2023-02-03,w1,"Ola Berg","[]"\n'
+    'k2,q2,Old Mill,museum,Kiel,"zzzzzz!!! www.offers.example",1,2023-05-06,w2,"zzzz",'
+    '"[""http://pics.example/7""]"\n'
+    "k3,q2,Old Mill,museum,Kiel,,1,,w3,,\n"
 )
 
 
@@ -34,11 +34,11 @@ def test_review_csv_quirks(spark):
         f.write(CSV)
     df = read_reviews_csv(spark, d)
     rows = {r["review_id"]: r for r in df.collect()}
-    assert rows["r1"]["text"] == 'Great cappuccino, "really".\nSecond line'
-    assert rows["r1"]["rating"] == 5.0
-    assert rows["r7"]["text"] is None
+    assert rows["k1"]["text"] == 'Good soup, "warm".\nNext line'
+    assert rows["k1"]["rating"] == 4.0
+    assert rows["k3"]["text"] is None and rows["k3"]["user_lat"] is None
     pics = {r["review_id"]: r["p"] for r in df.select("review_id", parse_pics("pics").alias("p")).collect()}
-    assert pics["r6"] == ["https://picsum.photos/200/300"] and pics["r7"] == []
+    assert pics["k2"] == ["http://pics.example/7"] and pics["k3"] == []
 
 
 def test_jsonl_and_mcauley(spark):
@@ -50,7 +50,7 @@ def test_jsonl_and_mcauley(spark):
     with gzip.open(os.path.join(d, "nested", "part.json.gz"), "wt", encoding="utf-8") as f:
         f.write("\n".join(lines))
     out = {r["place_id"]: r for r in CV.convert_mcauley(read_json_lines(spark, d)).collect()}
-    assert set(out) == {"g1", "g2"}
+    assert set(out) == {"g1", "g2"} and out["g2"]["text"] == "ok"
     assert out["g1"]["review_id"] == "g1_u1_1622505600000"
     assert json.loads(out["g1"]["pics"]) == ["a", "b", "c"]
     assert out["g2"]["rating"] == "" and out["g2"]["user_name"] == "" and out["g2"]["pics"] == "[]"
@@ -64,8 +64,13 @@ def test_folder_union_and_labelled(spark):
         f.write("review,label\ngood,real\nfake one,Fake\n")
     with open(os.path.join(d, "train.csv"), "w") as f:
         f.write("x\n1\n")
-    df = read_csv_folder(spark, d)
-    assert set(df.columns) == {"business_id", "text", "photo", "review", "label"} and df.count() == 4
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write("business_id,text,photo\nb3,hm,\n")
+    with open(os.path.join(d, "empty.csv"), "w") as f:
+        f.write("\n")
+    df, skipped = read_csv_folder(spark, "file://" + d)
+    assert skipped == ["empty.csv"]
+    assert set(df.columns) == {"business_id", "text", "photo", "review", "label"} and df.count() == 5
     g = {r["place_id"]: r["pics"] for r in CV.convert_generic(spark.read.option("header", True).csv(
         os.path.join(d, "a.csv")), id_col="business_id").collect()}
     assert g == {"b1": '["http://x/1"]', "b2": "[]"}
@@ -83,14 +88,14 @@ def test_split_sink(spark):
 
 
 def test_model_roundtrip(spark):
-    texts = (["Check http://deal.example for discounts now"] * 6 + ["Never been here but heard it is bad"] * 6
+    texts = (["See http://offers.example for a coupon now"] * 6 + ["I did not go but it is bad"] * 6
              + ["soooooo good food!!!!!!"] * 6 + ["Nice quiet place with good coffee"] * 12)
     df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "review_id string, text string")
     model = MultiLabelModel.fit(add_weak_labels(df), max_iter=200)
     d = _tmp()
     model.save(os.path.join(d, "multilabel_a"))
     model.save(os.path.join(d, "multilabel_b"))
-    loaded = MultiLabelModel.load(latest_model_dir(d))
+    loaded = MultiLabelModel.load(latest_model_dir(spark, d))
     a = {r["review_id"]: r["pred_labels"] for r in model.transform(df).collect()}
     b = {r["review_id"]: r["pred_labels"] for r in loaded.transform(df).collect()}
     assert a == b
@@ -98,20 +103,53 @@ def test_model_roundtrip(spark):
     assert a["r12"] == ["Spam/Low-quality"] and a["r20"] == []
 
 
-def test_streaming_screen(spark):
+def test_unreadable_file_raises(spark):
+    d = _tmp()
+    with open(os.path.join(d, "a.csv.gz"), "wb") as f:
+        f.write(b"\x1f\x8b\x08 not a gzip file")
+    with pytest.raises(Exception):
+        read_csv_folder(spark, d)[0].count()
+
+
+def test_numeric_labels_in_csv(spark):
+    d = _tmp()
+    with open(os.path.join(d, "n.csv"), "w") as f:
+        f.write("text,label\na,1.0\nb,0.9\nc,2\nd,0.5\ne,\n")
+    raw = spark.read.option("header", True).csv(os.path.join(d, "n.csv"))
+    rows = CV.convert_labelled(raw).collect()
+    assert {r["text"]: r["is_fake"] for r in rows} == {"a": 1, "b": 1, "c": 1, "d": 0, "e": 0}
+
+
+def test_content_ids_do_not_follow_the_layout(spark):
+    rows = [(f"t{i % 7}", "real") for i in range(20)]
+    a = spark.createDataFrame(rows, "text string, label string")
+    ids = [sorted(r.review_id for r in CV.convert_labelled(x).collect()) for x in (a.repartition(5), a.coalesce(1))]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 20
+
+
+def test_lexicon_by_uri(spark):
+    d = _tmp()
+    with open(os.path.join(d, "words.txt"), "w") as f:
+        f.write("Soup\n\n good \n")
+    assert sorted(r.word for r in read_lexicon(spark, f"file://{d}/words.txt").collect()) == ["good", "soup"]
+    assert read_lexicon(spark, f"file://{d}/missing.txt") is None and read_lexicon(spark, None) is None
+
+
+def test_streaming_row_features(spark):
     from vetline.schema import REVIEW_SCHEMA
-    from vetline.streaming.screen_stream import start_screening
+    from vetline.streaming.row_features import stream_row_features
 
     src, out, ck = _tmp(), _tmp(), _tmp()
-    rows = [("r1", "p1", "n", "c", "x", "Check http://a.example for a discount", 5.0, "2024-06-01", "u1", "Amy VG",
+    rows = [("k1", "q1", "n", "c", "x", "See http://a.example for a coupon", 5.0, "2023-06-01", "w1", "Ola Berg",
              "[]", None, None, None, None)]
     spark.createDataFrame(rows, REVIEW_SCHEMA).write.mode("overwrite").parquet(os.path.join(src, "b1"))
     stream = spark.readStream.schema(REVIEW_SCHEMA).parquet(os.path.join(src, "b1"))
-    q = start_screening(stream, os.path.join(out, "preds"), ck)
+    q = stream_row_features(stream).select("review_id", "weak_labels").writeStream.format("json").option(
+        "checkpointLocation", ck).start(os.path.join(out, "rows"))
     q.processAllAvailable()
     q.stop()
-    got = spark.read.json(os.path.join(out, "preds")).collect()
-    assert len(got) == 1 and got[0]["labels"] == ["Advertisement/Promo"]
+    got = spark.read.json(os.path.join(out, "rows")).collect()
+    assert len(got) == 1 and got[0]["weak_labels"] == ["Advertisement/Promo"]
 
 
 def test_largest_csv(spark):

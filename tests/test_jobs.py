@@ -18,22 +18,27 @@ def test_prepare_train_evaluate_screen(spark):
     src = os.path.join(d, "converted")
     os.makedirs(src)
     header = "review_id,place_id,place_name,place_category,city,text,rating,created_at,user_id,user_name,pics"
-    texts = ["Check http://deal.example for discounts", "Never been here but it is bad",
-             "soooooo good!!!!!!", "Nice quiet place, we ordered coffee"]
+    texts = ["See http://offers.example for a coupon", "I did not go but it is bad",
+             "soooooo nice!!!!!!", "Nice quiet place, we ordered coffee"]
     rows = [(f"r{i}", f"p{i % 12}", "Cafe", "cafe", "Town", texts[i % 4], "4", "2024-06-01", f"u{i % 5}", "Amy VG", "[]")
             for i in range(48)]
     _write(os.path.join(src, "a.csv"), header, rows[:24])
     _write(os.path.join(src, "b.csv"), header, rows[24:])
     _write(os.path.join(src, "train_old.csv"), header, rows[:2])  # skipped by name
 
-    out = jobs.prepare(spark, src, os.path.join(d, "splits"))
+    words = spark.createDataFrame([("the house and the place", "en"), ("la maison et le chat", "fr")], "text string, lang string")
+    jobs.train_language(words, os.path.join(d, "lang"))
+    out = jobs.prepare(spark, "file://" + src, os.path.join(d, "splits"), os.path.join(d, "lang"))
+    assert {r[0] for r in out.select("lang").distinct().collect()} <= {"en", "fr"}
     assert out.count() == 48
     written = spark.read.parquet(os.path.join(d, "splits"))
     assert {r[0] for r in written.select("split").distinct().collect()} == {"train", "val", "test"}
 
     train = written.where("split = 'train'")
     model = jobs.train(train, os.path.join(d, "models"), "t1")
-    loaded = jobs.train_or_load(spark, os.path.join(d, "models"), train)
+    assert spark.read.json(os.path.join(d, "models", "multilabel_t1", "thresholds")).first()["spam"] == 0.5
+    assert spark.read.json(os.path.join(d, "models", "multilabel_t1", "relevancy_sample")).count() == 10
+    loaded = jobs.train_or_load(spark, "file://" + os.path.join(d, "models"), train)
     assert set(loaded.models) == set(model.models)
 
     labelled = spark.createDataFrame([(f"g{i}", texts[i % 4], 1 if i % 4 == 0 else 0) for i in range(16)],

@@ -66,3 +66,16 @@ def test_haversine(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (None, 0.0, 0.0, 1.0)], "a double, b double, c double, d double")
     got = [r[0] for r in df.select(haversine_km("a", "b", "c", "d")).collect()]
     assert got[0] == pytest.approx(111.194927, abs=1e-6) and got[1] is None
+
+
+def test_numeric_times_and_formats(spark):
+    from vetline.operators.features import add_time
+
+    for kind, value in (("double", 1622505600000.0), ("bigint", 1622505600000)):
+        df = spark.createDataFrame([(value,), (None,)], f"created_at {kind}")
+        assert [r["dt"] for r in add_time(df).coalesce(1).collect()] == [dt.datetime(2021, 6, 1), None]
+    df = spark.createDataFrame([(-1000,)], "created_at bigint")
+    assert add_time(df).first()["dt"] == dt.datetime(1969, 12, 31, 23, 59, 59)
+    df = spark.createDataFrame([("June 1 2024",), ("06/01/2024",), ("junk",)], "created_at string")
+    got = [r["dt"] for r in add_time(df, ("MMMM d yyyy", "MM/dd/yyyy")).coalesce(1).collect()]
+    assert got == [dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 1), None]

@@ -1,11 +1,10 @@
-"""Plug-ins and helpers: pair scorer (M7), translator (F29), language id (F28), spread."""
+"""Plug-ins and helpers: pair scorer (M7), translator (F29), language id (F28)."""
 
 import pandas as pd
 import pytest
 
 from vetline.operators.clean import clean_reviews
 from vetline.operators.language import TrigramLanguageModel
-from vetline.operators.partitioning import spread
 from vetline.operators.relevancy import relevancy
 
 
@@ -40,6 +39,7 @@ def test_clean_with_language_and_translator(spark):
         "review_id string, text string")
 
     def upper_translate(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        assert set(langs) == {"fr"}
         return texts.str.upper()
 
     out = {r["review_id"]: r for r in clean_reviews(reviews, model, translate=upper_translate).collect()}
@@ -47,10 +47,3 @@ def test_clean_with_language_and_translator(spark):
     assert out["r2"]["lang"] == "fr" and out["r2"]["text"] == "Le chien est dans la maison & le chat"
     assert out["r2"]["text_model"] == "LE CHIEN EST DANS LA MAISON & LE CHAT"
     assert out["r3"]["lang"] == "unknown" and out["r3"]["text"] == ""
-
-
-def test_spread_only_when_needed(spark):
-    small = spark.range(100).coalesce(1)
-    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide, "id") is wide

@@ -18,7 +18,7 @@ def test_burst_edges(spark):
     rows = [("a", "u", T0), ("b", "u", T0 + 24 * h), ("c", "u", T0 + 24 * h), ("d", "u", None),
             ("e", None, T0), ("f", None, T0 + 5 * h), ("g", "z", None)]
     for bucket in (24, 6, 1):
-        got = _burst(spark, rows, bucket_hours=bucket)
+        got = _burst(spark, rows, bucket_minutes=bucket * 60)
         assert got == {"a": 1, "b": 3, "c": 3, "d": 1, "e": 1, "f": 2, "g": 0}, bucket
 
 
@@ -39,7 +39,7 @@ def test_burst_matches_brute_force(spark):
         else:
             exp[rid] = sum(1 for x in group if x[2] is not None and t - dt.timedelta(hours=24) <= x[2] <= t)
     for bucket in (24, 3):
-        assert _burst(spark, rows, bucket_hours=bucket) == exp
+        assert _burst(spark, rows, bucket_minutes=bucket * 60) == exp
     assert _burst(spark, rows, bucket_minutes=45) == exp
     # a tiny row budget forces fine buckets
     assert _burst(spark, rows, bucket_minutes="auto", max_partition_rows=20) == exp
@@ -67,3 +67,27 @@ def test_dup_across_places(spark):
     df = spark.createDataFrame(rows, "rid string, user_id string, text_norm string, place_id string")
     got = {r["rid"]: r["dup_across_places"] for r in dup_across_places(df).collect()}
     assert got == {"1": True, "2": True, "3": False, "4": False, "5": False, "6": False, "7": False, "8": False}
+
+
+def test_absent_user_column_is_not_one_anonymous_user(spark):
+    from vetline.plans.screen import screen_features
+
+    rows = [(str(i), f"p{i}", "n", "c", "x", "same text", "2024-06-01") for i in range(7)]
+    df = spark.createDataFrame(rows, "review_id string, place_id string, place_name string, place_category string, "
+                                     "city string, text string, created_at string")
+    out = screen_features(df).collect()
+    assert {(r.user_burst_24h, r.dup_across_places) for r in out} == {(0, False)}
+    for column in ("created_at", "text"):
+        if column != "text":
+            assert screen_features(df.drop(column)).count() == 7
+
+
+def test_repeated_review_ids_do_not_multiply(spark):
+    from vetline.plans.screen import screen_reviews
+
+    rows = [("a", "p1", "n", "c", "x", f"text number {i}", "2024-06-01", "u") for i in range(4)]
+    df = spark.createDataFrame(rows, "review_id string, place_id string, place_name string, place_category string, "
+                                     "city string, text string, created_at string, user_id string")
+    images = spark.createDataFrame([("a", 0.9), ("a", 0.7)], "review_id string, image_relevancy double")
+    out = screen_reviews(df, image_scores=images).collect()
+    assert len(out) == 4 and {r.user_burst_24h for r in out} == {4} and {round(r.image_relevancy, 6) for r in out} == {0.8}

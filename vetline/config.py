@@ -89,9 +89,9 @@ class ScreenConfig:
     priors: Priors = field(default_factory=Priors)
     switches: Switches = field(default_factory=Switches)
     thresholds: Thresholds = field(default_factory=Thresholds)
-    # Burst window bucket size: rows are split by (user, time bucket) so a
-    # single hot user never lands in one task; 24 means one-day buckets.
-    burst_bucket_hours: int = 24
-    # Overrides the hours when set: minutes dividing 1440, or "auto" to size
-    # buckets from the data (one extra partially aggregated count).
-    burst_bucket_minutes: int | str | None = None
+    # Burst window bucket width: rows are split by (user, time bucket) so a
+    # single hot user never lands in one task. Minutes dividing 1440, or "auto"
+    # to size buckets from the data (partially aggregated counts).
+    burst_bucket_minutes: int | str = 240
+    # Date patterns tried for created_at texts that no general rule reads.
+    date_formats: tuple[str, ...] = ()

@@ -9,24 +9,15 @@ from vetline.config import AD, RANT, SPAM
 from vetline.functions import text as X
 
 
-def rule_scores(col: Column | str) -> Column:
-    """Struct of the four 0/1 rule scores."""
-    return F.struct(
-        X.has_url(col).cast("double").alias("has_url"),
-        X.promo_terms(col).cast("double").alias("promo_terms"),
-        X.never_been_cues(col).cast("double").alias("never_been"),
-        X.repeat_ratio(col).alias("gibberish"),
-    )
-
-
 def weak_labels(col: Column | str) -> Column:
     """url and promo -> Ad; never-been -> Rant; repeated chars -> Spam,
     in canonical label order."""
-    labs = F.array(
-        F.when(X.has_url(col) & X.promo_terms(col), F.lit(AD)),
-        F.when(X.never_been_cues(col), F.lit(RANT)),
-        F.when(X.repeat_ratio(col) > 0.0, F.lit(SPAM)),
-    )
+    return labels_of_rules(X.has_url(col), X.promo_terms(col), X.never_been_cues(col), X.repeat_ratio(col))
+
+
+def labels_of_rules(has_url: Column, promo: Column, never_been: Column, repeat: Column) -> Column:
+    """Weak labels from rule columns that are already computed."""
+    labs = F.array(F.when(has_url & promo, F.lit(AD)), F.when(never_been, F.lit(RANT)), F.when(repeat > 0.0, F.lit(SPAM)))
     return F.filter(labs, lambda x: x.isNotNull())
 
 

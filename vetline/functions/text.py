@@ -9,12 +9,11 @@ pandas UDFs that only receive the rows that need them.
 from __future__ import annotations
 
 import html
-import math
-import re
-import unicodedata
-from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,35 +32,21 @@ def safe_text(col: Column | str) -> Column:
 
 # --------------------------------------------------------------------------
 # Normalisation: html-unescape -> strip tags -> NFKC -> trim -> collapse ws.
-
-_TAG_RE = re.compile(r"<.*?>")
-_WS_RUN = re.compile(r"\s+")
-
-
-def normalize_py(s: str | None, lower: bool = False) -> str:
-    """Python reference of the normaliser (runs inside the Arrow UDF)."""
-    s = s or ""
-    s = html.unescape(s)
-    s = _TAG_RE.sub(" ", s)
-    s = unicodedata.normalize("NFKC", s)
-    s = _WS_RUN.sub(" ", s.strip())
-    return s.lower() if lower else s
-
+# Only unescaping and NFKC have no JVM builtin; each runs in an Arrow UDF that
+# gets the texts it can change, the others travel as NULL.
 
 @F.pandas_udf(T.StringType())
-def _normalize_udf(s: pd.Series) -> pd.Series:
-    return s.map(normalize_py, na_action="ignore")
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def _normalize_lower_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: normalize_py(v, True), na_action="ignore")
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
 
 
-def _needs_python(t: Column) -> Column:
-    # Entities need html.unescape and non-ASCII text may change under NFKC;
-    # pure-ASCII text without "&" is handled by builtins alone.
-    return t.contains("&") | t.rlike("[^\\x00-\\x7F]")
+def _where(needs: Column, t: Column, udf) -> Column:
+    return F.when(needs, udf(F.when(needs, t))).otherwise(t)
 
 
 def collapse_ws(t: Column) -> Column:
@@ -73,17 +58,11 @@ def strip_tags(col: Column | str) -> Column:
 
 
 def normalize_text(col: Column | str, lower: bool = False) -> Column:
-    """``normalize_text`` (and ``text_norm`` when ``lower``). Rows needing
-    Python get their text passed to the Arrow UDF; all others get NULL there
-    (cheap to ship) and take the builtin path."""
+    """``normalize_text`` (and ``text_norm`` when ``lower``)."""
     t = safe_text(col)
-    needs = _needs_python(t)
-    udf = _normalize_lower_udf if lower else _normalize_udf
-    py = udf(F.when(needs, t))
-    builtin = collapse_ws(strip_tags(t))
-    if lower:
-        builtin = F.lower(builtin)
-    return F.when(needs, py).otherwise(builtin)
+    t = strip_tags(_where(t.contains("&"), t, _unescape))
+    t = collapse_ws(_where(t.rlike("[^\\x00-\\x7F]"), t, _nfkc))
+    return F.lower(t) if lower else t
 
 
 def text_norm(col: Column | str) -> Column:
@@ -106,7 +85,7 @@ def url_count(col: Column | str) -> Column:
 
 
 def has_url(col: Column | str) -> Column:
-    return url_count(col) > 0
+    return safe_text(col).rlike(P.url_pattern())
 
 
 def _class_count(t: Column, cls: str) -> Column:
@@ -141,7 +120,7 @@ def never_been_cues(col: Column | str) -> Column:
 
 def nonword_ratio(col: Column | str) -> Column:
     t = safe_text(col)
-    return F.regexp_count(t, F.lit(P.nonword_pattern())) / F.greatest(F.lit(1), F.length(t))
+    return _class_count(t, P.nonword_pattern()) / F.greatest(F.lit(1), F.length(t))
 
 
 def profanity_count(col: Column | str, words: tuple[str, ...]) -> Column:
@@ -169,23 +148,18 @@ def experiential_score(col: Column | str) -> Column:
 # --------------------------------------------------------------------------
 # Shannon entropy over code points.
 
-def entropy_py(s: str | None) -> float:
-    if not s:
-        return 0.0
-    counts = Counter(s)
-    total = len(s)
-    h = 0.0
-    for v in counts.values():
-        p = v / total
-        h -= p * math.log2(p)
-    return h
-
-
-@F.pandas_udf(T.DoubleType())
-def _entropy_udf(s: pd.Series) -> pd.Series:
-    return s.map(entropy_py, na_action="ignore")
+@F.arrow_udf(T.DoubleType())
+def _entropy_udf(texts: pa.Array) -> pa.Array:
+    """Entropy of a batch at once: one sort of (row, code point) pairs."""
+    points = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    pairs, counts = np.unique(rows << 21 | points, return_counts=True)
+    row = pairs >> 21
+    share = counts / sizes[row]
+    return pa.array(np.bincount(row, weights=-share * np.log2(share), minlength=len(texts)))
 
 
 def char_entropy(col: Column | str) -> Column:
     t = safe_text(col)
-    return F.when(t == "", F.lit(0.0)).otherwise(_entropy_udf(F.when(t != "", t)))
+    return _entropy_udf(t)

@@ -19,13 +19,13 @@ from vetline.functions.text import normalize_text
 from vetline.operators.language import TrigramLanguageModel
 
 
-def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None, key: str = "review_id",
+def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None,
                   translate: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
     """text <- normalize_text(text); lang from ``lang_model`` ("unknown" for
     blank text or without a model); text_model = translation or text."""
     out = df.withColumn("text", normalize_text("text"))
     if lang_model is not None:
-        out = lang_model.predict(out, key=key, text_col="text", out="lang")
+        out = lang_model.predict(out, text_col="text", out="lang")
     else:
         out = out.withColumn("lang", F.lit("unknown"))
     if translate is None:
@@ -34,8 +34,12 @@ def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None,
     @F.pandas_udf(T.StringType())
     def _translate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, langs in batches:
-            yield pd.Series(translate(texts, langs), dtype="object")
+            asked = texts.notna()
+            out = pd.Series([None] * len(texts), index=texts.index, dtype="object")
+            if asked.any():
+                out[asked] = list(translate(texts[asked], langs[asked]))
+            yield out
 
+    # a CASE does not keep rows from a Python UDF: the others go in as NULL
     needs = ~F.col("lang").isin("en", "unknown") & (F.trim("text") != "")
-    return out.withColumn("text_model", F.coalesce(
-        F.when(needs, _translate(F.col("text"), F.col("lang"))), F.col("text")))
+    return out.withColumn("text_model", F.coalesce(_translate(F.when(needs, F.col("text")), F.col("lang")), F.col("text")))

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vetline.config import DEFAULT_PROFANITY
 from vetline.functions import text as X
 from vetline.functions.pics import parse_pics
-from vetline.functions.rules import weak_labels
-from vetline.functions.timegeo import haversine_km, parse_dt
+from vetline.functions.rules import labels_of_rules, weak_labels
+from vetline.functions.timegeo import epoch_ms_dt, haversine_km, parse_dt
 from vetline.functions.users import gibberish_name
-from vetline.schema import ensure_columns
 
 
 def text_feature_columns(text_col: str = "text", lexicon: tuple[str, ...] = DEFAULT_PROFANITY) -> dict[str, Column]:
@@ -58,9 +58,13 @@ def add_pic_features(df: DataFrame) -> DataFrame:
     return df.withColumn("pics_list", pics).withColumn("image_count", F.size("pics_list"))
 
 
-def add_time(df: DataFrame) -> DataFrame:
-    dt = parse_dt("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp_ntz")
-    return df.withColumn("dt", dt)
+def add_time(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
+    """``dt`` from ``created_at``: numbers are epoch milliseconds, text is
+    parsed (with ``formats`` as a last resort); absent column -> NULL."""
+    if "created_at" not in df.columns:
+        return df.withColumn("dt", F.lit(None).cast("timestamp_ntz"))
+    numeric = isinstance(df.schema["created_at"].dataType, T.NumericType)
+    return df.withColumn("dt", epoch_ms_dt("created_at") if numeric else parse_dt("created_at", formats))
 
 
 def add_distance(df: DataFrame) -> DataFrame:
@@ -71,30 +75,28 @@ def add_distance(df: DataFrame) -> DataFrame:
 
 
 def add_row_features(df: DataFrame, text_col: str = "text",
-                     lexicon: tuple[str, ...] = DEFAULT_PROFANITY) -> DataFrame:
+                     lexicon: tuple[str, ...] = DEFAULT_PROFANITY, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """All per-row features of a review table (text, user name, pictures,
     parsed time, distance). Optional inputs that are missing get defaults."""
     df = add_text_features(df, text_col, lexicon)
     df = add_user_features(df)
     df = add_pic_features(df)
-    df = add_time(df)
+    df = add_time(df, date_formats)
     return add_distance(df)
 
 
 def add_weak_labels(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``weak_labels``, from the rule columns where they are there already."""
+    rules = ("has_url", "promo_terms", "never_been_cues", "repeat_ratio")
+    if all(c in df.columns for c in rules):
+        return df.withColumn("weak_labels", labels_of_rules(*[F.col(c) for c in rules]))
     return df.withColumn("weak_labels", weak_labels(text_col))
 
 
 def profanity_count_join(df: DataFrame, key: str, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """Profanity counts for a lexicon too large to inline: explode tokens and
-    join with the lexicon (a shuffle join; AQE broadcasts it when small)."""
+    """(key, profanity_count) under a lexicon table (``word``) of any size:
+    explode tokens and join with the lexicon (AQE broadcasts it when small).
+    Rows without a hit are absent. ``key`` must be unique."""
     toks = df.select(key, F.explode(F.regexp_extract_all(F.lower(X.safe_text(text_col)),
                                                          F.lit("[A-Za-z']+"), 0)).alias("word"))
-    words = lexicon.select(F.lower(F.trim(F.col(lexicon.columns[0]))).alias("word")).where("word <> ''").distinct()
-    counts = toks.join(words, "word").groupBy(key).agg(F.count("*").alias("profanity_count"))
-    return (df.drop("profanity_count").join(counts, key, "left")
-            .withColumn("profanity_count", F.coalesce("profanity_count", F.lit(0))))
-
-
-def ensure_review_columns(df: DataFrame) -> DataFrame:
-    return ensure_columns(df)
+    return toks.join(lexicon.select("word"), "word").groupBy(key).agg(F.count("*").cast("int").alias("profanity_count"))

@@ -1,92 +1,145 @@
 """Language identification as a Spark job.
 
 A character-trigram naive-Bayes profile is learned from documents with a
-known language (``groupBy(lang, trigram)``) and applied by joining each
-document's trigram counts to the profile: score(doc, lang) =
-log prior(lang) + sum over trigrams of count * log p(trigram | lang), with
-add-one smoothing over the trigram vocabulary. Whole texts are used.
-
-The per-language scores are pivoted into one column per language; the
-language list is the (small, bounded) set of labelled languages, so no
-document-by-language cross product is ever formed.
+known language and applied row by row: score(doc, lang) = log prior(lang) +
+sum over trigrams of count * log p(trigram | lang), with add-one smoothing
+over the trigram vocabulary. Whole texts are used. A trigram is three code
+points of the lower-cased text, packed into one long.
+
+Learning counts trigrams inside each Arrow batch and shuffles one row per
+(language, trigram) of a batch; scoring is narrow: the profile is broadcast in
+blocks of bounded size, and each block adds its share to the row's scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vetline.session import materialize, ship_package
+
+# Trigrams of one broadcast block (16 bytes plus 8 per language each).
+BLOCK_TRIGRAMS = 500_000
+
+
+def batch_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and packed trigram of every three neighbouring code points."""
+    points = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    if len(points) < 3:
+        return rows[:0], points[:0]
+    inside = rows[2:] == rows[:-2]
+    packed = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    return rows[2:][inside], packed[inside]
+
+
+def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, tri, c) over documents with a language."""
+    ship_package(docs.sparkSession)
 
-MAX_LANGUAGES = 1000
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            rows, tri = batch_trigrams(batch.column(1))
+            lang = coded.indices.to_numpy(zero_copy_only=False)[rows]
+            for code, name in enumerate(coded.dictionary):
+                values, counts = np.unique(tri[lang == code], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(name, len(values)), pa.array(values), pa.array(counts.astype(np.int64))], names=["lang", "tri", "c"])
 
+    slim = docs.where(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return slim.mapInArrow(count, "lang string, tri long, c long").groupBy("lang", "tri").agg(F.sum("c").alias("c"))
 
-def trigrams(col: Column | str) -> Column:
-    """Overlapping code-point trigrams of the lower-cased text."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?s)(?=(.{3}))"), 1)
 
+def _block_scores(held: Broadcast, base: tuple[np.ndarray, np.ndarray] | None):
+    """UDF: a text's score per language from one profile block; ``base`` adds
+    the priors and the smoothed log probabilities of all its trigrams."""
 
-def doc_trigrams(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    return (df.select(key, F.explode(trigrams(text_col)).alias("tri"))
-            .groupBy(key, "tri").agg(F.count(F.lit(1)).alias("cnt")))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def share(texts: pa.Array) -> pa.Array:
+        tri, table = held.value
+        row, seen = batch_trigrams(texts)
+        at = np.searchsorted(tri, seen)
+        at[at == len(tri)] = 0
+        at = np.where(tri[at] == seen, at, len(tri)) if len(tri) else np.zeros(len(seen), np.int64)
+        n_langs = table.shape[1]
+        scores = np.stack([np.bincount(row, weights=table[at, k], minlength=len(texts)) for k in range(n_langs)], axis=1)
+        if base is not None:
+            scores = scores + base[0] + np.bincount(row, minlength=len(texts))[:, None] * base[1]
+        ends = np.arange(0, scores.size + 1, n_langs)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scores.reshape(-1)))
+
+    return share
 
 
 class TrigramLanguageModel:
+    """``profile`` (lang, tri, lp_delta) and ``langs`` (lang, prior, unseen),
+    both stored tables."""
+
     def __init__(self, profile: DataFrame, langs: DataFrame):
-        self.profile = profile          # (lang, tri, lp_delta)
-        self.langs = langs              # (lang, prior, unseen)
+        self.profile = profile
+        self.langs = langs
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            doc_tri: DataFrame | None = None):
-        """``doc_tri`` (key, tri, cnt) may be passed to share one trigram
-        table between fitting and predicting on the same documents."""
-        labelled = docs.where(F.col(lang_col).isNotNull())
-        t = doc_tri if doc_tri is not None else doc_trigrams(labelled, key, text_col)
-        tri = t.join(labelled.select(key, lang_col), key)
-        counts = tri.groupBy(lang_col, "tri").agg(F.sum("cnt").alias("c"))
+    def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
+        counts = materialize(trigram_counts(docs, text_col, lang_col))
         vocab = counts.select(F.count_distinct("tri")).scalar()
-        totals = counts.groupBy(lang_col).agg(F.sum("c").alias("total"))
+        totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
+        labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"))
         n_docs = labelled.select(F.count(F.lit(1))).scalar()
-        priors = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
-        langs = (priors.join(totals, lang_col, "left")
-                 .select(F.col(lang_col).alias("lang"),
-                         F.log(F.col("n") / n_docs).alias("prior"),
+        langs = (labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(totals, "lang", "left")
+                 .select("lang", F.log(F.col("n") / n_docs).alias("prior"),
                          (-F.log(F.coalesce(F.col("total"), F.lit(0)) + vocab)).alias("unseen")))
         # log p(tri | lang) - log p(unseen | lang) = ln(c + 1)
-        profile = (counts
-                   .select(F.col(lang_col).alias("lang"), "tri",
-                           F.log(F.col("c") + 1.0).alias("lp_delta")))
-        return cls(profile, langs)
-
-    def predict(self, df: DataFrame, key: str = "doc_id", text_col: str = "text", out: str = "lang_pred",
-                doc_tri: DataFrame | None = None) -> DataFrame:
-        """Adds ``out``; blank text -> "unknown"."""
-        # The language table has one row per labelled language (a handful);
-        # the bound is checked before anything reaches the driver.
-        lang_rows = self.langs.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-        if len(lang_rows) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
-        names = [r["lang"] for r in lang_rows]
-        t = doc_tri if doc_tri is not None else doc_trigrams(df, key, text_col)
-        # One profile row per trigram with one column per language, so each
-        # document trigram joins at most one row (no per-language fan-out);
-        # a hot trigram on the document side is split by AQE's skew join.
-        wide = self.profile.groupBy("tri").pivot("lang", names).agg(F.first("lp_delta"))
-        wide = wide.select("tri", *[F.col(f"`{n}`").alias(f"_lp{i}") for i, n in enumerate(names)])
-        joined = t.join(wide, "tri", "left")
-        scored = joined.groupBy(key).agg(
-            F.sum("cnt").alias("_n"),
-            *[F.sum(F.col("cnt") * F.coalesce(F.col(f"_lp{i}"), F.lit(0.0))).alias(f"_d{i}")
-              for i in range(len(names))])
-        cols = {}
-        for i, r in enumerate(lang_rows):
-            cols[r["lang"]] = F.lit(r["prior"]) + F.col("_n") * F.lit(r["unseen"]) + F.col(f"_d{i}")
-        best_score = F.greatest(*cols.values()) if len(cols) > 1 else list(cols.values())[0]
-        pick = None
-        for name in names:  # first language (by name) reaching the best score
-            pick = F.when(cols[name] == best_score, F.lit(name)) if pick is None else pick.when(
-                cols[name] == best_score, F.lit(name))
-        res = scored.select(key, pick.otherwise(F.lit("unknown")).alias(out))
-        blank = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
-        return (df.join(res, key, "left")
-                .withColumn(out, F.when(blank, F.lit("unknown")).otherwise(F.coalesce(F.col(out), F.lit("unknown")))))
+        profile = counts.select("lang", "tri", F.log(F.col("c") + 1.0).alias("lp_delta"))
+        return cls(profile, materialize(langs))
+
+    def save(self, path: str) -> None:
+        self.profile.write.mode("overwrite").parquet(f"{path}/profile")
+        self.langs.write.mode("overwrite").parquet(f"{path}/langs")
+
+    @classmethod
+    def load(cls, spark, path: str):
+        return cls(spark.read.parquet(f"{path}/profile"), spark.read.parquet(f"{path}/langs"))
+
+    def predict(self, df: DataFrame, text_col: str = "text", out: str = "lang_pred", block: int = BLOCK_TRIGRAMS) -> DataFrame:
+        """Adds ``out``: the best language, the first by name on a tie; blank
+        or NULL text, and texts under three characters, give "unknown"."""
+        spark = df.sparkSession
+        ship_package(spark)
+        # one row per labelled language, as many as the caller's labels name
+        langs = self.langs.orderBy("lang").toArrow()
+        names = langs["lang"].to_pylist()
+        if not names:
+            return df.withColumn(out, F.lit("unknown"))
+        prior, unseen = langs["prior"].to_numpy(), langs["unseen"].to_numpy()
+        rank = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1
+        profile = self.profile.select("tri", rank.cast("int").alias("code"), "lp_delta")
+        blocks = max(1, -(-self.profile.select(F.approx_count_distinct("tri")).first()[0] // block))
+        text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        scored, parts = df, []
+        for i in range(blocks):
+            rows = profile.where(F.pmod(F.hash("tri"), F.lit(blocks)) == i).toArrow()
+            tri, at = np.unique(rows["tri"].to_numpy(), return_inverse=True)
+            table = np.zeros((len(tri) + 1, len(names)))
+            table[at, rows["code"].to_numpy()] = rows["lp_delta"].to_numpy()
+            held = spark.sparkContext.broadcast((tri, table))
+
+            base = (prior, unseen) if i == 0 else None
+            scored = scored.withColumn(f"_vl{i}", _block_scores(held, base)(text))
+            parts.append(f"_vl{i}")
+        total = F.col(parts[0])
+        for p in parts[1:]:
+            total = F.zip_with(total, F.col(p), lambda a, b: a + b)
+        best = F.element_at(F.array(*map(F.lit, names)), F.array_position(total, F.array_max(total)).cast("int"))
+        known = (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.length(text_col) >= 3)
+        return scored.withColumn(out, F.when(known, best).otherwise(F.lit("unknown"))).drop(*parts)

@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.config import CLASSIFIER_VOCAB, DEFAULT_PROFANITY, LABEL_KEYS, LABELS, RELEVANCY_VOCAB, SPAM, SplitConfig
+from vetline.config import (
+    CLASSIFIER_VOCAB, DEFAULT_PROFANITY, LABEL_KEYS, LABELS, RATIONALE, RELEVANCY_VOCAB, SPAM, SplitConfig,
+)
+from vetline.schema import REQUIRED
 from vetline.functions import formatting as FMT
 from vetline.functions import rules as RU
 from vetline.functions import patterns as P
@@ -33,7 +36,6 @@ from vetline.operators import policy as PO
 from vetline.operators import relevancy as RL
 from vetline.operators import split as S
 from vetline.operators import tfidf as TF
-from vetline.operators.partitioning import spread
 from vetline.session import materialize
 from vetline.sources import converters as CV
 from vetline.sources import readers as RD
@@ -143,11 +145,11 @@ def _entropy_sql() -> str:
     return sql(
         """SELECT r.review_id, round(coalesce(e.h, 0.0), 6) AS char_entropy
 FROM reviews r LEFT JOIN (
-  SELECT review_id, 0.0 - sum((n / tot) * log2(n / tot)) AS h
-  FROM (SELECT review_id, ch, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY review_id)::DOUBLE AS tot
-        FROM (SELECT review_id, unnest(string_split(text, '')) AS ch FROM reviews WHERE coalesce(text, '') <> '')
-        GROUP BY review_id, ch)
-  GROUP BY review_id) e ON e.review_id = r.review_id""")
+  SELECT row_no, 0.0 - sum((n / tot) * log2(n / tot)) AS h
+  FROM (SELECT row_no, ch, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY row_no)::DOUBLE AS tot
+        FROM (SELECT row_no, unnest(string_split(text, '')) AS ch FROM reviews WHERE coalesce(text, '') <> '')
+        GROUP BY row_no, ch)
+  GROUP BY row_no) e ON e.row_no = r.row_no""")
 
 
 @register("char_entropy", _entropy_sql)
@@ -233,11 +235,11 @@ def q_dup_across_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("dup_groups", lambda: sql(
-    "SELECT user_id, text_norm, count(DISTINCT place_id) AS n_places, count(*) AS n_rows FROM rn "
+    "SELECT user_id, sha256(text_norm) AS text_digest, count(DISTINCT place_id) AS n_places, count(*) AS n_rows FROM rn "
     "WHERE user_id IS NOT NULL GROUP BY user_id, text_norm", _norm_cte()))
 def q_dup_groups(spark: SparkSession, sf: str) -> DataFrame:
     g = W.dup_place_groups(_norm_reviews_spark(spark, sf))
-    return g.select("user_id", "text_norm", big("n_places").alias("n_places"), big("n_rows").alias("n_rows"))
+    return g.select("user_id", "text_digest", big("n_places").alias("n_places"), big("n_rows").alias("n_rows"))
 
 
 _SPLIT_CTES = (
@@ -278,9 +280,9 @@ def q_ngrams(spark: SparkSession, sf: str) -> DataFrame:
         F.md5(F.array_join(TM.terms_of_tokens(toks), "\x1f")).alias("terms_md5"))
 
 
-_REVIEW_TERMS = (f"rt AS (SELECT review_id, {{toks}} AS toks FROM reviews), "
-                 f"a AS (SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest({{terms}}) AS term FROM rt) "
-                 f"GROUP BY review_id, term)")
+_REVIEW_TERMS = (f"rt AS (SELECT row_no, {{toks}} AS toks FROM reviews), "
+                 f"a AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest({{terms}}) AS term FROM rt) "
+                 f"GROUP BY row_no, term)")
 
 
 def _review_terms_cte() -> str:
@@ -292,7 +294,7 @@ def _review_terms_cte() -> str:
     "round(ln((1.0 + (SELECT count(*) FROM reviews)) / (1.0 + count(*))) + 1.0, 6) AS idf FROM a GROUP BY term",
     _review_terms_cte()))
 def q_idf(spark: SparkSession, sf: str) -> DataFrame:
-    t = TF.idf_table(V.reviews(spark, sf), "review_id", "text")
+    t = TF.idf_table(V.reviews(spark, sf), ["text"])
     return t.select("term", big("df").alias("df"), r6("idf").alias("idf"))
 
 
@@ -300,8 +302,7 @@ def q_idf(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT term, CAST(sum(tf) AS BIGINT) AS ttf FROM a GROUP BY term ORDER BY ttf DESC, term ASC LIMIT 20000",
     _review_terms_cte()))
 def q_top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    t = TF.doc_terms(V.reviews(spark, sf), ["review_id"], "text")
-    top = TF.top_terms(TF.term_stats([(t, None)]), CLASSIFIER_VOCAB)
+    top = TF.top_terms(TF.term_stats(V.reviews(spark, sf), ["text"]), CLASSIFIER_VOCAB)
     return top.select("term", big("ttf").alias("ttf"))
 
 
@@ -309,7 +310,7 @@ def _eval_pairs_spark(spark: SparkSession, sf: str) -> DataFrame:
     return LK.eval_pairs(V.reviews(spark, sf), V.places(spark, sf))
 
 
-_EVAL_PAIRS = ("pairs AS (SELECT r.review_id, coalesce(r.text, '') AS t, {desc} AS d FROM reviews r "
+_EVAL_PAIRS = ("pairs AS (SELECT r.row_no, r.review_id, coalesce(r.text, '') AS t, {desc} AS d FROM reviews r "
                "JOIN places p ON p.place_id = r.place_id)")
 
 
@@ -342,8 +343,8 @@ def q_enrich_place(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
     _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
 def q_relevancy_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _eval_pairs_spark(spark, sf)
-    scored = TF.tfidf_relevancy(pairs, "review_id", "text", "place_desc", RELEVANCY_VOCAB)
+    pairs = materialize(_eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc"))
+    scored = TF.tfidf_relevancy(pairs, "text", "place_desc", RELEVANCY_VOCAB)
     return scored.select("review_id", r6("relevancy").alias("relevancy"))
 
 
@@ -351,8 +352,8 @@ def q_relevancy_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT round(avg(relevancy), 6) AS mean_relevancy, count(*) AS n_pairs FROM rel",
     _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
 def q_mean_relevancy(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _eval_pairs_spark(spark, sf)
-    scored = TF.tfidf_relevancy(pairs, "review_id", "text", "place_desc", RELEVANCY_VOCAB)
+    pairs = materialize(_eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc"))
+    scored = TF.tfidf_relevancy(pairs, "text", "place_desc", RELEVANCY_VOCAB)
     return scored.agg(r6(F.avg("relevancy")).alias("mean_relevancy"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -367,23 +368,25 @@ def q_score_calibrate(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------- images, decision
 
-def _image_scores_spark(spark: SparkSession, sf: str, r: DataFrame | None = None) -> DataFrame:
-    r = r if r is not None else V.reviews(spark, sf)
+def _image_scores_spark(spark: SparkSession, sf: str) -> DataFrame:
+    """(row_no, review_id, image_relevancy) of every review row."""
+    r = V.reviews(spark, sf).select("row_no", "review_id", F.expr("if(place_id IS NULL, NULL, pk)").alias("place_no"),
+                                    F.size(parse_pics("pics")).alias("image_count"))
     emb = V.load(spark, sf, "embeddings")
     n = emb.select(F.count(F.lit(1))).scalar()
-    images = IM.synthetic_image_rows(r.withColumn("image_count", F.size(parse_pics("pics"))), n)
-    scores = IM.image_text_relevance(images, emb)
-    return r.select("review_id").join(scores, "review_id", "left")
+    scores = IM.image_text_relevance(IM.synthetic_image_rows(r, n, place_col="place_no"), emb, "row_no")
+    return r.select("row_no", "review_id").join(scores, "row_no", "left")
 
 
 _IMAGE_CTES = (
-    "ic AS (SELECT review_id, doc_id, len({pics}) AS image_count FROM reviews), "
-    "ik AS (SELECT review_id, doc_id, unnest(range(0, least(image_count, 5))) AS k FROM ic), "
-    "iv AS (SELECT ik.review_id, ie.embedding::DOUBLE[] AS a, te.embedding::DOUBLE[] AS b FROM ik "
-    "JOIN embeddings ie ON ie.vec_id = (ik.doc_id * 5 + ik.k) % (SELECT count(*) FROM embeddings) "
-    "JOIN embeddings te ON te.vec_id = ik.doc_id % (SELECT count(*) FROM embeddings)), "
-    "img AS (SELECT review_id, avg((list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * "
-    "sqrt(list_inner_product(b, b))) + 1.0) / 2.0) AS image_relevancy FROM iv GROUP BY review_id)"
+    "ic AS (SELECT row_no, CASE WHEN place_id IS NOT NULL THEN pk END AS place_no, len({pics}) AS image_count FROM reviews), "
+    "ik AS (SELECT row_no, place_no, unnest(range(0, least(image_count, 5))) AS k FROM ic), "
+    "nv AS (SELECT count(*) AS n FROM embeddings), "
+    "iv AS (SELECT ik.row_no, ie.embedding::DOUBLE[] AS a, te.embedding::DOUBLE[] AS b FROM ik "
+    "JOIN embeddings ie ON ie.vec_id = ((ik.row_no * 5 + ik.k) % (SELECT n FROM nv) + (SELECT n FROM nv)) % (SELECT n FROM nv) "
+    "JOIN embeddings te ON te.vec_id = ik.place_no % (SELECT n FROM nv)), "
+    "img AS (SELECT row_no, avg((list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * "
+    "sqrt(list_inner_product(b, b))) + 1.0) / 2.0) AS image_relevancy FROM iv GROUP BY row_no)"
 )
 
 
@@ -393,7 +396,7 @@ def _image_ctes() -> str:
 
 @register("image_text_relevance", lambda: sql(
     "SELECT r.review_id, round(img.image_relevancy, 6) AS image_relevancy FROM reviews r "
-    "LEFT JOIN img ON img.review_id = r.review_id", _image_ctes()))
+    "LEFT JOIN img ON img.row_no = r.row_no", _image_ctes()))
 def q_image_text_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return _image_scores_spark(spark, sf).select("review_id", r6("image_relevancy").alias("image_relevancy"))
 
@@ -406,10 +409,10 @@ def _features_ctes(with_rel: bool, with_img: bool) -> str:
     parts = [
         f"rn AS (SELECT r.*, p.place_lat, p.place_lon, {desc} AS place_desc, "
         f"string_split({t}, '') AS chars FROM reviews r LEFT JOIN places p ON p.place_id = r.place_id)",
-        "ent AS (SELECT review_id, 0.0 - sum((n / tot) * log2(n / tot)) AS h FROM (SELECT review_id, ch, count(*)::DOUBLE AS n, "
-        "sum(count(*)) OVER (PARTITION BY review_id)::DOUBLE AS tot FROM (SELECT review_id, unnest(chars) AS ch FROM rn) "
-        "GROUP BY review_id, ch) GROUP BY review_id)",
-        f"f0 AS (SELECT rn.review_id, rn.user_id, rn.place_id, coalesce(rn.text, '') AS t, rn.place_desc AS d, "
+        "ent AS (SELECT row_no, 0.0 - sum((n / tot) * log2(n / tot)) AS h FROM (SELECT row_no, ch, count(*)::DOUBLE AS n, "
+        "sum(count(*)) OVER (PARTITION BY row_no)::DOUBLE AS tot FROM (SELECT row_no, unnest(chars) AS ch FROM rn) "
+        "GROUP BY row_no, ch) GROUP BY row_no)",
+        f"f0 AS (SELECT rn.row_no, rn.review_id, rn.user_id, rn.place_id, coalesce(rn.text, '') AS t, rn.place_desc AS d, "
         f"{O.text_norm(t)} AS text_norm, {O.parse_dt('rn.created_at')} AS dt, "
         f"CASE WHEN {O.has_url(t)} AND {O.promo(t)} THEN 1.0 ELSE 0.0 END AS p_ad, 0.0::DOUBLE AS p_irr, "
         f"CASE WHEN {O.never_been(t)} THEN 1.0 ELSE 0.0 END AS p_rant, "
@@ -418,11 +421,11 @@ def _features_ctes(with_rel: bool, with_img: bool) -> str:
         f"{O.profanity(t, DEFAULT_PROFANITY)} AS profanity_count, {O.gibberish('rn.user_name')} AS user_name_gibberish, "
         f"coalesce(ent.h, 0.0) AS char_entropy, "
         f"{O.haversine('rn.user_lat', 'rn.user_lon', 'rn.place_lat', 'rn.place_lon')} AS distance_km "
-        f"FROM rn LEFT JOIN ent ON ent.review_id = rn.review_id)",
+        f"FROM rn LEFT JOIN ent ON ent.row_no = rn.row_no)",
         f"f1 AS (SELECT f0.*, {_BURST_CASE.format(t='dt', u='user_id')} AS user_burst_24h FROM f0)",
         "dg AS (SELECT user_id, text_norm, count(DISTINCT place_id) AS n FROM f0 WHERE user_id IS NOT NULL "
         "GROUP BY user_id, text_norm)",
-        "pairs AS (SELECT review_id, t, d FROM f0)",
+        "pairs AS (SELECT row_no, review_id, t, d FROM f0)",
     ]
     body = ", ".join(parts)
     if with_rel:
@@ -433,8 +436,8 @@ def _features_ctes(with_rel: bool, with_img: bool) -> str:
     img = "img.image_relevancy" if with_img else "NULL::DOUBLE"
     body += (f", fx AS (SELECT f1.*, coalesce(dg.n > 1, false) AS dup_across_places, {rel} AS relevancy, "
              f"{img} AS image_relevancy FROM f1 LEFT JOIN dg ON dg.user_id = f1.user_id AND dg.text_norm = f1.text_norm"
-             + (" LEFT JOIN rel ON rel.review_id = f1.review_id" if with_rel else "")
-             + (" LEFT JOIN img ON img.review_id = f1.review_id" if with_img else "") + ")")
+             + (" LEFT JOIN rel ON rel.row_no = f1.row_no" if with_rel else "")
+             + (" LEFT JOIN img ON img.row_no = f1.row_no" if with_img else "") + ")")
     return body
 
 
@@ -469,12 +472,48 @@ def q_decision_layer(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("screen_reviews", lambda: sql(_decision_select(), _features_ctes(True, True)))
 def q_screen_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    r = V.reviews(spark, sf)
-    preds = SC.screen_reviews(r, V.places(spark, sf), image_scores=_image_scores_spark(spark, sf, r),
-                              relevancy_vocab=RELEVANCY_VOCAB, records=False)
+    preds = SC.screen_reviews(V.reviews(spark, sf), V.places(spark, sf), image_scores=_image_scores_spark(spark, sf),
+                              image_key="row_no", records=False)
     return _decision_out(preds)
 
 
+def _minimal_ctes() -> str:
+    """The decision inputs of reviews with the six required columns only."""
+    t = O.txt()
+    return (f"rn AS (SELECT row_no, review_id, {t} AS t, string_split({t}, '') AS chars FROM reviews), "
+            "ent AS (SELECT row_no, 0.0 - sum((n / tot) * log2(n / tot)) AS h FROM (SELECT row_no, ch, count(*)::DOUBLE AS n, "
+            "sum(count(*)) OVER (PARTITION BY row_no)::DOUBLE AS tot FROM (SELECT row_no, unnest(chars) AS ch FROM rn) "
+            "GROUP BY row_no, ch) GROUP BY row_no), "
+            f"fx AS (SELECT rn.review_id, CASE WHEN {O.has_url('t')} AND {O.promo('t')} THEN 1.0 ELSE 0.0 END AS p_ad, "
+            f"0.0::DOUBLE AS p_irr, CASE WHEN {O.never_been('t')} THEN 1.0 ELSE 0.0 END AS p_rant, "
+            f"CASE WHEN {O.repeat_flag('chars')} THEN 1.0 ELSE 0.0 END AS p_spam, {O.never_been('t')} AS never_been_cues, "
+            f"{O.experiential('t')} AS experiential_score, {O.profanity('t', DEFAULT_PROFANITY)} AS profanity_count, "
+            "0.0::DOUBLE AS user_name_gibberish, coalesce(ent.h, 0.0) AS char_entropy, NULL::DOUBLE AS distance_km, "
+            "0 AS user_burst_24h, false AS dup_across_places, 1.0::DOUBLE AS relevancy, NULL::DOUBLE AS image_relevancy "
+            "FROM rn LEFT JOIN ent ON ent.row_no = rn.row_no)")
+
+
+@register("screen_minimal", lambda: sql(_decision_select(), _minimal_ctes()))
+def q_screen_minimal(spark: SparkSession, sf: str) -> DataFrame:
+    """Optional columns (user, time, pictures, coordinates) are absent."""
+    feats = SC.screen_features(V.reviews(spark, sf).select(*REQUIRED))
+    df = SC.rule_probabilities(feats).withColumns({"relevancy": F.lit(1.0), "image_relevancy": F.lit(None).cast("double")})
+    return _decision_out(PO.decision_layer(df))
+
+
+@register("prediction_records", lambda: sql(
+    "SELECT review_id, labels, " + ", ".join(f"CAST(p_{k} AS DOUBLE) AS p_{k}" for k in LABEL_KEYS) + ", "
+    f"{O.q(RATIONALE)} AS rationale FROM pr", _pred_ctes()))
+def q_prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The full record; the lexicon is the built-in word list as a table."""
+    words = spark.createDataFrame([(w,) for w in DEFAULT_PROFANITY], "word string")
+    feats = SC.screen_features(V.reviews(spark, sf), V.places(spark, sf), lexicon=words)
+    df = SC.rule_probabilities(feats).withColumns({"relevancy": F.lit(1.0), "image_relevancy": F.lit(None).cast("double")})
+    rec = LK.prediction_records(PO.decision_layer(df))
+    return rec.select("review_id", joined(F.col("labels")).alias("labels"),
+                      *[F.col("confidences")[lab].alias(f"p_{k}") for k, lab in zip(LABEL_KEYS, LABELS)], "rationale")
+
+
 # ------------------------------------------------- prediction records, filters
 
 def _rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -512,9 +551,23 @@ def q_shown_counts(spark: SparkSession, sf: str) -> DataFrame:
     return LK.shown_counts(_rule_predictions(spark, sf), SPAM, 0.5)
 
 
-@register("meta_tokens")
+def _meta_oracle() -> str:
+    def two(x: str) -> str:
+        return f"printf('%.2f', {x})"
+    return sql(
+        f"SELECT f.review_id, concat('meta: url=', CAST({O.has_url('f.t')} AS INTEGER), ' len=', length(f.t), ' caps=', "
+        f"{two(O.caps_ratio('f.t'))}, ' emoji=', {O.regexp_count('f.t', P.emoji_pattern())}, ' uname_gib=', "
+        f"{two('f.user_name_gibberish')}, ' imgs=', len({O.parse_pics('r.pics')}), ' burst24=', f.user_burst_24h, ' dup=', "
+        f"CAST(f.dup_across_places AS INTEGER), ' ent=', {two('f.char_entropy')}, ' prof=', f.profanity_count, ' dist=', "
+        "coalesce(CAST(round(f.distance_km, 6) AS VARCHAR), 'nan')) AS meta FROM fx f JOIN reviews r ON r.row_no = f.row_no",
+        _features_ctes(False, False))
+
+
+@register("meta_tokens", _meta_oracle)
 def q_meta_tokens(spark: SparkSession, sf: str) -> DataFrame:
     feats = SC.screen_features(V.reviews(spark, sf), V.places(spark, sf))
+    # sines differ in their last bit between engines, so distances are rounded
+    feats = feats.withColumn("distance_km", F.round("distance_km", 6))
     return feats.select("review_id", FMT.meta_tokens().alias("meta"))
 
 
@@ -637,33 +690,71 @@ def q_label_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return ML.label_matrix(r).select("review_id", *[f"y_{k}" for k in LABEL_KEYS])
 
 
-_MODELS: dict[tuple[str, str], "ML.MultiLabelModel"] = {}
-
-
-def _fit_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the train split (place-disjoint, 0.2/0.2), predict every
-    review. The fitted model is reused within one application and folder."""
-    r = FE.add_weak_labels(V.reviews(spark, sf))
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        train = S.assign_split(r, S.place_split(r, cfg=SplitConfig(0.2, 0.2, 42))).where(F.col("split") == "train")
-        _MODELS[key] = ML.MultiLabelModel.fit(train)
-    return _MODELS[key].transform(r)
-
-
 @register("multilabel_fit_predict")
 def q_multilabel_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
-    out = _fit_predict(spark, sf)
+    """Fit on the train split (place-disjoint, 0.2/0.2), predict every review."""
+    r = materialize(FE.add_weak_labels(V.reviews(spark, sf)).select("review_id", "place_id", "text", "weak_labels"))
+    train = S.assign_split(r, S.place_split(r, cfg=SplitConfig(0.2, 0.2, 42))).where(F.col("split") == "train")
+    out = ML.MultiLabelModel.fit(train).transform(r)
     return out.select("review_id", *[r6(f"p_{k}").alias(f"p_{k}") for k in LABEL_KEYS],
                       joined(F.col("pred_labels")).alias("pred_labels"))
 
 
-@register("label_means")
+# probabilities given by an expression over the events
+_PROBS = ("SELECT event_id, 1.0 / (1.0 + exp(25.0 - value)) AS p_ad, 1.0 / (1.0 + exp(value / 10.0 - 3.0)) AS p_irr, "
+          "CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.25 END AS p_rant, 1.0 / (1.0 + exp(2.0 - value / 20.0)) AS p_spam FROM events")
+
+
+@register("probability_labels", lambda: sql(
+    "SELECT event_id, concat_ws('|', " + ", ".join(
+        f"CASE WHEN p_{k} >= 0.5 THEN {O.q(lab)} END" for k, lab in zip(LABEL_KEYS, LABELS)) + ") AS labels FROM pb",
+    f"pb AS ({_PROBS})"))
+def q_probability_labels(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("events",))
+    return spark.sql(_PROBS).select("event_id", joined(ML.labels_at(0.5)).alias("labels"))
+
+
+@register("label_means", lambda: sql(
+    "SELECT " + ", ".join(f"round(avg(p_{k}), 6) AS mean_p_{k}" for k in LABEL_KEYS) + " FROM pb", f"pb AS ({_PROBS})"))
 def q_label_means(spark: SparkSession, sf: str) -> DataFrame:
-    means = EV.label_means(_fit_predict(spark, sf))
+    V.register_tables(spark, sf, ("events",))
+    means = EV.label_means(spark.sql(_PROBS))
     return means.select(*[r6(f"mean_p_{k}").alias(f"mean_p_{k}") for k in LABEL_KEYS])
 
 
+_MCAULEY = ("SELECT event_id, concat('{\"gmap_id\":\"g', CAST(event_id % 50 AS STRING), '\",\"user_id\":', "
+            "CASE event_id % 4 WHEN 0 THEN '\"000\"' WHEN 1 THEN '0' WHEN 2 THEN 'null' ELSE concat('\"u', CAST(user_id AS STRING), '\"') END, "
+            "',\"text\":', CASE event_id % 5 WHEN 0 THEN '\"0\"' WHEN 1 THEN '\"\"' WHEN 2 THEN 'false' WHEN 3 THEN '[]' ELSE '\"fine\"' END, "
+            "',\"rating\":', CAST(event_id % 6 AS STRING), ',\"time\":', CAST(event_id * 1000 AS STRING), '}') AS l FROM events")
+
+
+@register("convert_mcauley", lambda: sql(
+    "SELECT event_id, concat_ws('_', p, u, CASE WHEN event_id = 0 THEN '' ELSE CAST(event_id * 1000 AS VARCHAR) END) AS review_id, "
+    "u AS user_id, CASE event_id % 5 WHEN 0 THEN '0' WHEN 4 THEN 'fine' ELSE '' END AS text, "
+    "CASE WHEN event_id % 6 = 0 THEN '' ELSE CAST(event_id % 6 AS VARCHAR) END AS rating FROM (SELECT event_id, "
+    "concat('g', event_id % 50) AS p, CASE event_id % 4 WHEN 0 THEN '000' WHEN 3 THEN concat('u', user_id) ELSE '' END AS u FROM events)"))
+def q_convert_mcauley(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("events",))
+    objs = spark.sql(_MCAULEY).select("event_id", RD.lenient_json(F.col("l")).alias("obj"))
+    rows = CV.convert_mcauley(objs, extra=("event_id",))
+    return rows.select("event_id", "review_id", "user_id", "text", "rating")
+
+
+_REPLIES = ("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{\"labels\":[\"None\"],\"relevance\":0.', CAST(doc_id % 9 AS STRING), "
+            "',\"language\":\"', lang, '\"}') WHEN 1 THEN 'no reply' WHEN 2 THEN '[1]' WHEN 3 THEN '{}' ELSE NULL END AS reply FROM documents")
+
+
+@register("parse_reply", lambda: sql(
+    "SELECT doc_id, doc_id % 5 IN (0, 3) AS valid, CASE WHEN doc_id % 5 = 0 THEN 'None' END AS labels, "
+    "CASE WHEN doc_id % 5 = 0 THEN round((doc_id % 9) / 10.0, 6) END AS relevance, "
+    "CASE WHEN doc_id % 5 = 0 THEN lang END AS language FROM documents"))
+def q_parse_reply(spark: SparkSession, sf: str) -> DataFrame:
+    V.register_tables(spark, sf, ("documents",))
+    reply = spark.sql(_REPLIES).select("doc_id", FMT.parse_reply("reply").alias("r"))
+    return reply.select("doc_id", F.col("r").isNotNull().alias("valid"), joined(F.col("r.labels")).alias("labels"),
+                        r6("r.relevance").alias("relevance"), F.col("r.language").alias("language"))
+
+
 def _metrics_oracle() -> str:
     t = O.txt()
     body = (f"rv AS ({O.with_chars()}), "
@@ -695,12 +786,17 @@ def q_binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
                     *[big(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
-_LANG_CTES = """dt AS (SELECT doc_id, lang, string_split(lower(coalesce(text, '')), '') AS c,
-  trim(coalesce(text, '')) = '' AS blank FROM documents),
+# every fifth of the digest space is held out of the language profile
+_HELD_OUT = "md5(CAST(doc_id AS STRING)) < '33'"
+
+_LANG_CTES = f"""docs AS (SELECT doc_id, lang, text FROM documents UNION ALL
+  SELECT -1 - doc_id, lang, concat('a😀bc ', text, ' 😀😀x') FROM documents),
+dt AS (SELECT doc_id, lang, string_split(lower(coalesce(text, '')), '') AS c, trim(coalesce(text, '')) = '' AS blank,
+  {_HELD_OUT} AS held_out FROM docs),
 tri AS (SELECT doc_id, tri, count(*) AS cnt FROM (SELECT doc_id,
   unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS tri FROM dt)
   GROUP BY doc_id, tri),
-lab AS (SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL),
+lab AS (SELECT doc_id, lang FROM dt WHERE lang IS NOT NULL AND NOT held_out),
 cnts AS (SELECT l.lang, t.tri, sum(t.cnt) AS c FROM tri t JOIN lab l ON l.doc_id = t.doc_id GROUP BY l.lang, t.tri),
 tot AS (SELECT lang, sum(c) AS total FROM cnts GROUP BY lang),
 lg AS (SELECT p.lang, ln(p.n / (SELECT count(*) FROM lab)) AS prior,
@@ -716,20 +812,23 @@ best AS (SELECT doc_id, lang FROM (SELECT doc_id, lang,
 
 
 @register("language_id", lambda: sql(
-    "SELECT d.doc_id, d.lang, CASE WHEN d.blank THEN 'unknown' ELSE coalesce(b.lang, 'unknown') END AS lang_pred "
+    "SELECT d.doc_id, d.lang, d.held_out, CASE WHEN d.blank THEN 'unknown' ELSE coalesce(b.lang, 'unknown') END AS lang_pred "
     "FROM dt d LEFT JOIN best b ON b.doc_id = d.doc_id", _LANG_CTES))
 def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(V.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
-    tri = materialize(LG.doc_trigrams(docs, "doc_id", "text"))
-    model = LG.TrigramLanguageModel.fit(docs, doc_tri=tri)
-    return model.predict(docs, doc_tri=tri).select("doc_id", "lang", "lang_pred")
+    """Every document, and once more with emoji around it; the profile is
+    learned without the held-out rows, so their predictions tell."""
+    docs = V.load(spark, sf, "documents").select("doc_id", "lang", "text")
+    more = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "lang", F.concat(F.lit("a😀bc "), "text", F.lit(" 😀😀x")).alias("text"))
+    docs = docs.unionAll(more).withColumn("held_out", F.expr(_HELD_OUT)).repartition("doc_id")
+    model = LG.TrigramLanguageModel.fit(docs.where(~F.col("held_out")))
+    return model.predict(docs).select("doc_id", "lang", "held_out", "lang_pred")
 
 
 @register("train_sample_relevancy", lambda: sql(
     "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
     _SPLIT_CTES + ", hd AS (SELECT r.* FROM reviews r JOIN sp ON sp.place_id = r.place_id AND sp.split = 'train' "
     "ORDER BY r.review_id LIMIT 10), "
-    "pairs AS (SELECT hd.review_id, coalesce(hd.text, '') AS t, "
+    "pairs AS (SELECT hd.row_no, hd.review_id, coalesce(hd.text, '') AS t, "
     + O.place_desc("coalesce(p.place_name, hd.place_name, '')", "coalesce(p.place_category, hd.place_category, '')",
                    "coalesce(p.city, hd.city, '')", "coalesce(p.description, '')")
     + " AS d FROM hd LEFT JOIN places p ON p.place_id = hd.place_id)," + O.relevancy_ctes("pairs")))
@@ -746,4 +845,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLES.items()}
+
+
 FLAGSHIP = "screen_reviews"

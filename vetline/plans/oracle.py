@@ -220,25 +220,25 @@ def tokens(t: str) -> str:
 
 
 def relevancy_ctes(pairs: str, vocab: int | None = 50000) -> str:
-    """CTEs computing ``rel(review_id, relevancy)`` from a CTE named
-    ``pairs`` with columns (review_id, t, d)."""
+    """CTEs computing ``rel(row_no, review_id, relevancy)`` from a CTE named
+    ``pairs`` with columns (row_no, review_id, t, d)."""
     limit = f"LIMIT {vocab}" if vocab else ""
     return f"""
-pt AS (SELECT review_id, d, {tokens('t')} AS toks FROM {pairs}),
-a AS (SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest({terms_list('toks')}) AS term FROM pt) GROUP BY review_id, term),
+pt AS (SELECT row_no, {tokens('t')} AS toks FROM {pairs}),
+a AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest({terms_list('toks')}) AS term FROM pt) GROUP BY row_no, term),
 dd AS (SELECT d, count(*) AS mult, {tokens('d')} AS toks FROM {pairs} GROUP BY d),
 b AS (SELECT d, term, count(*) AS tf, any_value(mult) AS mult FROM (SELECT d, mult, unnest({terms_list('toks')}) AS term FROM dd) GROUP BY d, term),
 stats AS (SELECT term, sum(ttf) AS ttf, sum(dfr) AS dfr FROM (SELECT term, tf AS ttf, 1 AS dfr FROM a UNION ALL SELECT term, tf * mult, mult FROM b) GROUP BY term),
 vocab AS (SELECT term, ln((1.0 + (SELECT 2 * count(*) FROM {pairs})) / (1.0 + dfr)) + 1.0 AS idf FROM stats ORDER BY ttf DESC, term ASC {limit}),
-wa AS (SELECT a.review_id, a.term, a.tf * v.idf AS w FROM a JOIN vocab v ON v.term = a.term),
+wa AS (SELECT a.row_no, a.term, a.tf * v.idf AS w FROM a JOIN vocab v ON v.term = a.term),
 wb AS (SELECT b.d, b.term, b.tf * v.idf AS w FROM b JOIN vocab v ON v.term = b.term),
-na AS (SELECT review_id, sqrt(sum(w * w)) AS na FROM wa GROUP BY review_id),
+na AS (SELECT row_no, sqrt(sum(w * w)) AS na FROM wa GROUP BY row_no),
 nb AS (SELECT d, sqrt(sum(w * w)) AS nb FROM wb GROUP BY d),
-dots AS (SELECT p.review_id, sum(wa.w * wb.w) AS dot FROM {pairs} p JOIN wa ON wa.review_id = p.review_id
-         JOIN wb ON wb.d = p.d AND wb.term = wa.term GROUP BY p.review_id),
-rel AS (SELECT p.review_id, CASE WHEN na.na * nb.nb > 0 THEN least(1.0, greatest(0.0, coalesce(dots.dot, 0.0) / (na.na * nb.nb)))
-        ELSE 0.0 END AS relevancy FROM {pairs} p LEFT JOIN na ON na.review_id = p.review_id
-        LEFT JOIN nb ON nb.d = p.d LEFT JOIN dots ON dots.review_id = p.review_id)"""
+dots AS (SELECT p.row_no, sum(wa.w * wb.w) AS dot FROM {pairs} p JOIN wa ON wa.row_no = p.row_no
+         JOIN wb ON wb.d = p.d AND wb.term = wa.term GROUP BY p.row_no),
+rel AS (SELECT p.row_no, p.review_id, CASE WHEN na.na * nb.nb > 0 THEN least(1.0, greatest(0.0, coalesce(dots.dot, 0.0) / (na.na * nb.nb)))
+        ELSE 0.0 END AS relevancy FROM {pairs} p LEFT JOIN na ON na.row_no = p.row_no
+        LEFT JOIN nb ON nb.d = p.d LEFT JOIN dots ON dots.row_no = p.row_no)"""
 
 
 def place_desc(name: str, cat: str, city: str, desc: str) -> str:

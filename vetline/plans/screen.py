@@ -2,26 +2,31 @@
 image relevance -> decision -> prediction records, as one Spark job graph.
 
 Stage boundaries: row-level features run in the scan stage (the Arrow UDFs
-included); the feature table is then materialised once, because the window
-features, the TF-IDF relevancy and the final projection all read it; the
-burst window shuffles by (user, day bucket), duplicates by (user, text), and
-relevancy by (description, term). Nothing is collected to the driver.
+included) and are stored once with a row number made there, because ids of
+reviews may repeat. Probabilities and relevancy are functions of the stored
+row. Everything behind them works on narrow frames: bursts on (row, user,
+time), duplicates on (row, user, text digest, place), and their small results
+meet the features without texts on the row number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetline.config import LABEL_KEYS, LABELS, ScreenConfig
+from vetline.config import LABEL_KEYS, LABELS, RELEVANCY_VOCAB, ScreenConfig
 from vetline.operators import features as FE
 from vetline.operators import windows as W
 from vetline.operators.lookup import enrich_place, place_description, prediction_records
-from vetline.operators.partitioning import spread
 from vetline.operators.policy import decision_layer
-from vetline.operators.tfidf import tfidf_relevancy
+from vetline.operators.relevancy import relevancy
 from vetline.schema import ensure_columns, require_columns
-from vetline.session import materialize
+from vetline.session import materialize, ship_package
+
+ROW = "_row"
+LONG_TEXTS = ("text", "text_norm", "description", "place_desc", "user_name", "pics", "pics_list")
 
 
 def rule_probabilities(df: DataFrame, labels_col: str = "weak_labels") -> DataFrame:
@@ -33,45 +38,71 @@ def rule_probabilities(df: DataFrame, labels_col: str = "weak_labels") -> DataFr
     })
 
 
-def screen_features(reviews: DataFrame, places: DataFrame | None = None,
-                    cfg: ScreenConfig = ScreenConfig(), materialize_how: str = "checkpoint") -> DataFrame:
-    """Reviews with every feature the decision layer reads."""
+def row_features(reviews: DataFrame, places: DataFrame | None = None, cfg: ScreenConfig = ScreenConfig(),
+                 lexicon: DataFrame | None = None) -> DataFrame:
+    """Stored table of all row-level features with a unique ``_row``, texts
+    included. ``lexicon`` (``word``) replaces the built-in profanity list."""
     require_columns(reviews)
-    has_user_name = "user_name" in reviews.columns
-    df = ensure_columns(reviews, keep_absent=() if has_user_name else ("user_name",))
+    ship_package(reviews.sparkSession)
+    absent = [c for c in ("user_name", "user_id") if c not in reviews.columns]
+    df = ensure_columns(reviews, keep_absent=tuple(absent))
     if places is not None:
         df = enrich_place(df, places)
     if "description" not in df.columns:
         df = df.withColumn("description", F.lit(""))
-    df = spread(df, "review_id")
-    df = FE.add_row_features(df)
-    df = FE.add_weak_labels(df)
-    df = df.withColumn("place_desc", place_description())
-    df = materialize(df, materialize_how)
-    df = W.user_burst_24h(df, bucket_hours=cfg.burst_bucket_hours, bucket_minutes=cfg.burst_bucket_minutes)
-    df = W.dup_across_places(df)
+    df = FE.add_row_features(df, date_formats=cfg.date_formats)
+    df = FE.add_weak_labels(df).withColumns({
+        "place_desc": place_description(), "text_digest": W.text_digest(), ROW: F.monotonically_increasing_id()})
+    df = materialize(df)
+    if lexicon is not None:
+        hits = FE.profanity_count_join(df, ROW, lexicon)
+        df = materialize(df.drop("profanity_count").join(hits, ROW, "left").withColumn(
+            "profanity_count", F.coalesce("profanity_count", F.lit(0))))
     return df
 
 
+def with_user_windows(narrow: DataFrame, stored: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
+    """``narrow`` (rows of ``stored`` without its texts) with burst and
+    duplicate features."""
+    user = [c for c in ("user_id",) if c in stored.columns]
+    if not user:
+        return narrow.withColumns({"user_burst_24h": F.lit(0), "dup_across_places": F.lit(False)})
+    burst = W.user_burst_24h(stored.select(ROW, *user, "dt"), bucket_minutes=cfg.burst_bucket_minutes)
+    dup = W.dup_across_places(stored.select(ROW, *user, "text_digest", "place_id"), digest_col="text_digest")
+    return narrow.join(burst.select(ROW, "user_burst_24h"), ROW).join(dup.select(ROW, "dup_across_places"), ROW)
+
+
+def screen_features(reviews: DataFrame, places: DataFrame | None = None, cfg: ScreenConfig = ScreenConfig(),
+                    lexicon: DataFrame | None = None) -> DataFrame:
+    """Reviews with every feature the decision layer reads but relevancies;
+    long texts are left out."""
+    stored = row_features(reviews, places, cfg, lexicon)
+    return with_user_windows(stored.drop(*LONG_TEXTS), stored, cfg)
+
+
 def screen_reviews(reviews: DataFrame, places: DataFrame | None = None, cfg: ScreenConfig = ScreenConfig(),
-                   probabilities=None, image_scores: DataFrame | None = None,
-                   relevancy_vocab: int | None = 50000, materialize_how: str = "checkpoint",
-                   records: bool = True) -> DataFrame:
-    """Screen a review table.
+                   probabilities: Callable[[DataFrame], DataFrame] | None = None, image_scores: DataFrame | None = None,
+                   image_key: str = "review_id", scorer=None, lexicon: DataFrame | None = None,
+                   relevancy_vocab: int = RELEVANCY_VOCAB, records: bool = True) -> DataFrame:
+    """Screen a review table; one output row per review row.
 
     ``probabilities`` maps a feature DataFrame to one with ``p_ad, p_irr,
     p_rant, p_spam`` (e.g. :meth:`MultiLabelModel.transform`); default is
-    :func:`rule_probabilities`. ``image_scores`` is an optional
-    (review_id, image_relevancy) table."""
-    df = screen_features(reviews, places, cfg, materialize_how)
-    df = (probabilities or rule_probabilities)(df)
-    df = tfidf_relevancy(df, "review_id", "text", "place_desc", relevancy_vocab)
+    :func:`rule_probabilities`. ``scorer`` replaces TF-IDF relevancy (see
+    :func:`vetline.operators.relevancy.relevancy`). ``image_scores`` is an
+    optional (``image_key``, image_relevancy) table, the mean taken where a key
+    repeats. ``lexicon`` is a table of profane words."""
+    stored = row_features(reviews, places, cfg, lexicon)
+    df = (probabilities or rule_probabilities)(stored)
+    df = relevancy(df, "text", "place_desc", scorer, relevancy_vocab)
+    df = with_user_windows(df.drop(*LONG_TEXTS), stored, cfg)
     if image_scores is not None:
-        df = df.join(image_scores.select("review_id", "image_relevancy"), "review_id", "left")
+        scores = image_scores.groupBy(F.col(image_key).alias("_image_key")).agg(F.avg("image_relevancy").alias("image_relevancy"))
+        df = df.join(scores, F.col(image_key) == F.col("_image_key"), "left").drop("_image_key")
     else:
         df = df.withColumn("image_relevancy", F.lit(None).cast("double"))
     df = decision_layer(df, cfg)
     return prediction_records(df) if records else df
 
 
-__all__ = ["screen_reviews", "screen_features", "rule_probabilities"]
+__all__ = ["screen_reviews", "screen_features", "row_features", "rule_probabilities"]

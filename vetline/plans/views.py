@@ -6,13 +6,13 @@ two derived views:
 * ``places``  - every ``part`` row is a place; its description is the part
   name and type plus the *whole* text of the document whose id equals the
   part key (when there is one).
-* ``reviews`` - every ``documents`` row is a review (whole text), joined to
-  its ``events`` row (same id) for user and time and to ``customer`` for a
-  user name. Reviews are spread over ``count(part) / 10`` places, so the
-  number of places grows with the data. A deterministic cue is appended to
-  the text by ``doc_id % 12`` so every rule has positives and negatives.
+* ``reviews`` - every ``events`` row is a review: its user and time, the
+  whole text of one document (``event_id`` modulo the document count) with a
+  cue appended by ``event_id % 9`` so every rule has positives and negatives,
+  and one of all places. ``row_no`` tells the rows apart. Every ``nation`` row
+  adds a review with the text 'ok', '' or NULL that repeats a ``review_id``.
 
-No rows are filtered and no text is cut. The SQL is rendered for either
+No table is filtered and no text is cut. The SQL is rendered for either
 engine; only the epoch-millisecond expression differs.
 """
 
@@ -42,40 +42,44 @@ places AS (
 
 _REVIEWS = """
 reviews AS (
-  SELECT concat('r', CAST(b.doc_id AS STRING)) AS review_id, b.doc_id, b.lang,
-    CASE WHEN b.doc_id % 23 = 22 THEN NULL ELSE concat('p', CAST(b.pk AS STRING)) END AS place_id,
-    p.p_name AS place_name, p.p_type AS place_category, p.p_brand AS city,
-    CASE b.doc_id % 12
-      WHEN 1 THEN concat(b.raw_text, ' Check http://mydealz.example/x for discounts!')
-      WHEN 2 THEN concat(b.raw_text, ' Never been here but my cousin said it is awful.')
-      WHEN 3 THEN concat(b.raw_text, ' soooooo good!!!!!!')
-      WHEN 4 THEN concat(b.raw_text, ' We ordered from the menu and were seated by the parking.')
-      WHEN 5 THEN concat(b.raw_text, ' damn stupid place, what the hell')
-      WHEN 6 THEN concat(b.raw_text, ' 很好 😀😀')
-      WHEN 7 THEN concat(b.raw_text, ' buy now www.spam.example $$$$$$')
-      WHEN 8 THEN concat(b.raw_text, ' A &amp; B &lt;b&gt;bold&lt;/b&gt; <i>tag</i>')
-      WHEN 9 THEN 'ok' WHEN 10 THEN '' WHEN 11 THEN NULL
-      ELSE b.raw_text END AS text,
-    CAST(b.doc_id % 5 + 1 AS DOUBLE) AS rating,
-    CASE b.doc_id % 4
+  SELECT concat('r', CAST(b.review_no AS STRING)) AS review_id, b.row_no, b.doc_id, b.pk,
+    CASE WHEN b.row_no % 23 = 22 THEN NULL ELSE concat('p', CAST(b.pk AS STRING)) END AS place_id,
+    p.p_name AS place_name, p.p_type AS place_category, p.p_brand AS city, b.text,
+    CAST(b.row_no % 5 + 1 AS DOUBLE) AS rating,
+    CASE abs(b.row_no) % 4
       WHEN 0 THEN CAST({epoch_ms_ts} AS STRING)
       WHEN 1 THEN CAST(b.ts AS STRING)
       WHEN 2 THEN concat(CAST(b.ts AS STRING), '+02:00')
-      ELSE CASE WHEN b.doc_id % 8 = 3 THEN 'yesterday' ELSE NULL END END AS created_at,
-    CASE WHEN b.doc_id % 10 = 9 THEN NULL ELSE concat('u', CAST(b.user_id AS STRING)) END AS user_id,
-    CASE b.doc_id % 7 WHEN 0 THEN 'Amy VG' WHEN 1 THEN 'xYz99kk' WHEN 2 THEN 'Chris Schwartz'
-      WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'AAAAA1111' ELSE b.c_name END AS user_name,
-    CASE b.doc_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '["http://a/1","http://a/2"]'
+      ELSE CASE WHEN b.row_no % 8 = 3 THEN 'yesterday' ELSE NULL END END AS created_at,
+    CASE WHEN b.row_no % 10 = 9 THEN NULL ELSE concat('u', CAST(b.user_id AS STRING)) END AS user_id,
+    CASE abs(b.row_no) % 7 WHEN 0 THEN 'Ola Berg' WHEN 1 THEN 'qRt55zz' WHEN 2 THEN 'Hirsch Schmidt'
+      WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'EEEEE7777' ELSE b.c_name END AS user_name,
+    CASE abs(b.row_no) % 5 WHEN 0 THEN '[]' WHEN 1 THEN '["http://a/1","http://a/2"]'
       WHEN 2 THEN 'http://a/1; http://a/2;' WHEN 3 THEN '' ELSE '{{"k":1}}' END AS pics,
-    CASE WHEN b.doc_id % 6 = 5 THEN NULL ELSE CAST((b.pk * 7) % 170 - 85 AS DOUBLE)
-      + CASE WHEN b.doc_id % 3 = 0 THEN 0.1 ELSE 4.0 END END AS user_lat,
+    CASE WHEN b.row_no % 6 = 5 THEN NULL ELSE CAST((b.pk * 7) % 170 - 85 AS DOUBLE)
+      + CASE WHEN b.row_no % 3 = 0 THEN 0.1 ELSE 4.0 END END AS user_lat,
     CAST((b.pk * 13) % 360 - 180 AS DOUBLE) AS user_lon
   FROM (
-    SELECT d.doc_id, d.lang, d.text AS raw_text, e.user_id, e.ts, c.c_name,
-           d.doc_id % (SELECT greatest(CAST(floor(count(*) / 10) AS BIGINT), 1) FROM part) AS pk
-    FROM documents d
-    JOIN events e ON e.event_id = d.doc_id
+    SELECT e.event_id AS row_no, e.event_id AS review_no, d.doc_id,
+      CASE e.event_id % 9
+        WHEN 1 THEN concat(d.text, ' See http://offers.example/x for a coupon!')
+        WHEN 2 THEN concat(d.text, ' I did not go but people say it is awful.')
+        WHEN 3 THEN concat(d.text, ' sooooooo nice!!!!!!')
+        WHEN 4 THEN concat(d.text, ' I ordered from the menu and we were seated near the parking.')
+        WHEN 5 THEN concat(d.text, ' damn stupid place, what the hell')
+        WHEN 6 THEN concat(d.text, ' 很好 😀😀')
+        WHEN 7 THEN concat(d.text, ' buy now www.offers.example $$$$$$')
+        WHEN 8 THEN concat(d.text, ' A &amp; B &lt;b&gt;bold&lt;/b&gt; <i>tag</i>')
+        ELSE d.text END AS text,
+      e.user_id, e.ts, c.c_name, e.event_id % (SELECT count(*) FROM part) AS pk
+    FROM events e
+    LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
     LEFT JOIN customer c ON c.c_custkey = e.user_id
+    UNION ALL
+    SELECT -1 - n.n_nationkey, n.n_nationkey, n.n_nationkey,
+      CASE n.n_nationkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN '' ELSE NULL END,
+      n.n_regionkey, e.ts, n.n_name, n.n_nationkey % (SELECT count(*) FROM part)
+    FROM nation n LEFT JOIN events e ON e.event_id = n.n_nationkey
   ) b
   LEFT JOIN part p ON p.p_partkey = b.pk
 )"""
@@ -105,14 +109,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review view. The documents scan is spread over the cluster's
-    cores first when it yields too few partitions (a no-op at scale), so the
-    per-review text work that follows runs in parallel."""
-    from vetline.operators.partitioning import spread
-
-    register_tables(spark, sf_dir, ("part", "events", "customer"))
-    spread(load(spark, sf_dir, "documents"), "doc_id").createOrReplaceTempView("documents")
-    return spark.sql(with_views("spark", select="SELECT * FROM reviews"))
+    register_tables(spark, sf_dir, ("part", "events", "customer", "documents", "nation"))
+    # the joins run on events and document ids; the text work after them is
+    # spread over as many tasks as the session shuffles into
+    return spark.sql(with_views("spark", select="SELECT * FROM reviews")).repartition("row_no")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

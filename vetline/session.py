@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # checkpoint files go when the driver no longer holds their DataFrame
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -33,40 +36,34 @@ def get_spark(master: str | None = None, app: str = "vetline", shuffle_partition
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder under
-    the system temp directory set; on a cluster the setting must come from
-    the deployment so every executor sees the same folder."""
+    Only a local session that names none (tests) gets a private folder under
+    the system temp directory; on a cluster the setting must come from the
+    deployment so every executor sees the same folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="vetline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
-    """Cut lineage before a DataFrame feeds several branches.
-
-    ``checkpoint`` writes to the shared checkpoint folder (survives executor
-    loss without recomputing upstream); ``persist`` keeps blocks in memory
-    and disk (lost blocks recompute from lineage); ``none`` leaves it lazy."""
-    if how == "checkpoint":
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if how == "persist":
-        from pyspark import StorageLevel
-
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage before a DataFrame feeds several branches: written to the
+    shared checkpoint folder, it survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 _SHIPPED: set[str] = set()

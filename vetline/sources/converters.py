@@ -1,10 +1,8 @@
 """Source converters into the unified review schema.
 
 Row ids: a source's own key is used when given (``id_col``); otherwise the
-id is taken right after the file scan from ``monotonically_increasing_id``,
-which is deterministic for a file scan (same splits, same order), unique,
-but not dense. Positional ids like "row i of the concatenated frame" are
-not stable on a cluster.
+id is a digest of the row's content and the number of the copy, so it stays the
+same under any file layout and differs between sources.
 """
 
 from __future__ import annotations
@@ -21,30 +19,40 @@ TEXT_CANDIDATES = ("text", "review", "content", "opinion")
 LABEL_CANDIDATES = ("label", "is_fake", "fake", "target", "y")
 
 
-def _falsy_to_empty(c: Column) -> Column:
-    """Python ``x or ''``: NULL, '' and numeric 0 become ''."""
-    s = c.cast("string")
-    return F.when(c.isNull() | (s == "") | (s.try_cast("double") == 0), F.lit("")).otherwise(s)
+def _falsy_to_empty(v: Column) -> Column:
+    """A variant's text; '' where Python calls the value false: missing, null,
+    false, a numeric zero, an empty list or object. The text "0" is not."""
+    kind, s = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    zero = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$", "double") == 0)
+    empty = (kind == "VOID") | zero | ((kind == "BOOLEAN") & (s == "false")) | s.isin("[]", "{}") & (kind != "STRING")
+    return F.when(F.coalesce(empty, F.lit(False)), F.lit("")).otherwise(F.coalesce(s, F.lit("")))
 
 
-def _row_id(df: DataFrame, prefix: str, id_col: str | None) -> Column:
+def _with_row_id(df: DataFrame, prefix: str, id_col: str | None) -> DataFrame:
+    """``df`` with ``_row_id``. Without ``id_col``: md5 of the row as JSON, and
+    ``-2``, ``-3``, ... for the further copies of a row."""
     if id_col:
-        return F.concat(F.lit(prefix), F.col(id_col).cast("string"))
-    return F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string"))
+        return df.withColumn("_row_id", F.concat(F.lit(prefix), F.col(id_col).cast("string")))
+    hashed = df.withColumn("_row_id", F.md5(F.to_json(F.struct(*df.columns))))
+    copies = hashed.groupBy(*df.columns, "_row_id").agg(F.count(F.lit(1)).alias("_copies"))
+    spread = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    tail = F.when(F.col("_copy") > 1, F.concat(F.lit("-"), F.col("_copy").cast("string"))).otherwise(F.lit(""))
+    return spread.withColumn("_row_id", F.concat(F.lit(prefix), "_row_id", tail)).drop("_copies", "_copy")
 
 
-def convert_mcauley(objs: DataFrame, obj_col: str = "obj") -> DataFrame:
+def convert_mcauley(objs: DataFrame, obj_col: str = "obj", extra: tuple[str, ...] = ()) -> DataFrame:
     """JSON objects with gmap_id, user_id, name, text, rating, time, pics ->
-    unified rows; falsy values become '' and the id is place_user_time."""
+    unified rows; falsy values become '' and the id is place_user_time.
+    Columns in ``extra`` are carried along."""
     o = F.col(obj_col)
 
     def g(path: str) -> Column:
-        return F.try_variant_get(o, f"$.{path}", "string")
+        return F.try_variant_get(o, f"$.{path}", "variant")
 
     place, user = _falsy_to_empty(g("gmap_id")), _falsy_to_empty(g("user_id"))
     created = _falsy_to_empty(g("time"))
     return objs.select(
-        F.concat_ws("_", place, user, created).alias("review_id"),
+        *extra, F.concat_ws("_", place, user, created).alias("review_id"),
         place.alias("place_id"), F.lit("").alias("place_name"), F.lit("").alias("place_category"),
         F.lit("").alias("city"), _falsy_to_empty(g("text")).alias("text"),
         _falsy_to_empty(g("rating")).alias("rating"), created.alias("created_at"),
@@ -64,7 +72,8 @@ GENERIC_MAP = {
 def convert_generic(df: DataFrame, id_col: str | None = None, prefix: str = "kaggle_") -> DataFrame:
     """Generic review CSV -> unified rows; absent columns become '' and a
     non-blank ``photo`` becomes a one-element JSON list."""
-    cols = [_row_id(df, prefix, id_col).alias("review_id")]
+    df = _with_row_id(df, prefix, id_col)
+    cols = [F.col("_row_id").alias("review_id")]
     for out, src in GENERIC_MAP.items():
         cols.append((F.col(src).cast("string") if src in df.columns else F.lit("")).alias(out))
     if "photo" in df.columns:
@@ -81,16 +90,21 @@ def convert_labelled(df: DataFrame, id_col: str | None = None, prefix: str = "gm
                      label_candidates: tuple[str, ...] = LABEL_CANDIDATES) -> DataFrame:
     """Labelled fake/real set -> unified rows + ``is_fake``. The text and
     label columns are the first present candidates (resolved before any
-    job runs); string labels use the fake/true/1 spelling rule, numeric
-    labels ``> 0.5``."""
+    job runs). Numeric labels, also as text of a CSV, are 1 above 0.5; other
+    text follows the fake/true/1 spelling rule."""
     text_col = next((c for c in text_candidates if c in df.columns), None)
     label_col = next((c for c in label_candidates if c in df.columns), None)
     if text_col is None or label_col is None:
-        raise ValueError(f"Could not find text/label columns. Have: {df.columns}")
-    is_string = dict(df.dtypes)[label_col] == "string"
-    lab = label_coerce_string(label_col) if is_string else label_coerce(label_col)
-    return df.select(
-        _row_id(df, prefix, id_col).alias("review_id"),
+        raise ValueError(f"a labelled set needs one of {text_candidates} and one of {label_candidates}; got {df.columns}")
+    if dict(df.dtypes)[label_col] == "string":
+        # a CSV column is text: it is numeric if every value that is there is
+        number = F.col(label_col).try_cast("double")
+        numeric = df.agg(F.bool_and(F.when(F.trim(label_col) != "", number.isNotNull()))).scalar()
+        lab = F.when(F.coalesce(numeric, F.lit(False)), label_coerce(number)).otherwise(label_coerce_string(label_col))
+    else:
+        lab = label_coerce(label_col)
+    return _with_row_id(df, prefix, id_col).select(
+        F.col("_row_id").alias("review_id"),
         *[F.lit("").alias(c) for c in ("place_id", "place_name", "place_category", "city")],
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *[F.lit("").alias(c) for c in ("rating", "created_at", "user_id", "user_name")],

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.config import DEFAULT_PROFANITY
 from vetline.functions.users import trim_ws
+from vetline.sources.files import entries, exists
 from vetline.schema import PLACE_SCHEMA, REVIEW_SCHEMA
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, recursive: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema=None, recursive: bool = True) -> DataFrame:
     """RFC-4180 CSV with header, doubled quotes and embedded newlines.
     ``multiLine`` files cannot be split, so ingest them once (e.g. to
     parquet) before heavy work; gzip is read natively."""
@@ -23,24 +24,22 @@ def read_csv(spark: SparkSession, path: str, schema=None, recursive: bool = True
     return r.csv(path)
 
 
+def _typed(raw: DataFrame, schema) -> DataFrame:
+    """``raw`` with the columns of ``schema`` in their types; those that the
+    file lacks are typed NULLs."""
+    return raw.withColumns({
+        f.name: F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
+        for f in schema.fields})
+
+
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     """Unified review CSV. Columns are matched by header name; missing
-    optional columns become typed NULLs."""
-    raw = read_csv(spark, path)
-    out = raw
-    for f in REVIEW_SCHEMA.fields:
-        if f.name in raw.columns:
-            out = out.withColumn(f.name, F.col(f.name).try_cast(f.dataType))
-    return out
+    columns become typed NULLs."""
+    return _typed(read_csv(spark, path), REVIEW_SCHEMA)
 
 
 def read_places_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_csv(spark, path)
-    out = raw
-    for f in PLACE_SCHEMA.fields:
-        if f.name in raw.columns:
-            out = out.withColumn(f.name, F.col(f.name).try_cast(f.dataType))
-    return out
+    return _typed(read_csv(spark, path), PLACE_SCHEMA)
 
 
 def lenient_json(line: Column) -> Column:
@@ -59,42 +58,45 @@ def read_json_lines(spark: SparkSession, path: str, recursive: bool = True) -> D
     return lines.select(lenient_json(F.col("value")).alias("obj")).where(F.col("obj").isNotNull())
 
 
-def read_csv_folder(spark: SparkSession, folder: str, skip_words: tuple[str, ...] = ("train", "val", "test")) -> DataFrame | None:
-    """Every CSV of a folder whose name contains none of ``skip_words``,
-    combined by column name (missing columns NULL, duplicates kept).
-    Files are read one by one because their headers may differ; unreadable
-    files are skipped."""
-    frames = []
-    for name in sorted(os.listdir(folder)):
-        if not name.endswith(".csv") or any(w in name for w in skip_words):
-            continue
-        try:
-            df = read_csv(spark, os.path.join(folder, name), recursive=False)
-            df.columns  # noqa: B018 - forces header resolution
-        except Exception:  # noqa: BLE001
-            continue
-        frames.append(df)
-    if not frames:
+def read_csv_folder(spark: SparkSession, folder: str,
+                    skip_words: tuple[str, ...] = ("train", "val", "test")) -> tuple[DataFrame | None, list[str]]:
+    """Every CSV (also ``.csv.gz``) directly in ``folder`` whose name contains
+    none of ``skip_words``, combined by column name (missing columns NULL,
+    duplicates kept), and the names of the files left out because they hold no
+    header. A file that cannot be read raises.
+
+    One job finds all headers; files that share one are read together, so the
+    plan grows with the number of distinct headers and not with the files."""
+    files = {e.path: e.name for e in entries(spark, folder)
+             if not e.is_dir and re.search(r"\.csv(\.gz)?$", e.name) and not any(w in e.name for w in skip_words)}
+    if not files:
+        return None, []
+    lines = spark.read.text(list(files)).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
+    headers = {r.path.rpartition("/")[2]: r.header for r in lines.groupBy("path").agg(F.min_by("value", "n").alias("header")).collect()}
+    by_header: dict[str, list[str]] = {}
+    skipped = []
+    for path, name in files.items():
+        header = headers.get(quote(name), headers.get(name))
+        if header is None:
+            skipped.append(name)
+        else:
+            by_header.setdefault(header.strip().lstrip("\ufeff"), []).append(path)
+    out = None
+    for paths in by_header.values():
+        part = read_csv(spark, paths, recursive=False)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, skipped
+
+
+def read_lexicon(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """(word) of a one-word-per-line file on any file system: lower-cased,
+    trimmed, non-empty, distinct. None (the built-in list) without a path or
+    when nothing is there."""
+    if not path or not exists(spark, path):
         return None
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
-
-
-def read_lexicon(spark: SparkSession, path: str | None, max_inline: int = 10000) -> tuple[str, ...] | DataFrame:
-    """Lower-cased, trimmed, non-empty words of a one-word-per-line file, or
-    the built-in list when the file is missing. Small lexicons (at most
-    ``max_inline`` words) come back as a tuple to inline into expressions;
-    larger ones stay a DataFrame for a join."""
-    if not path or not os.path.exists(path):
-        return DEFAULT_PROFANITY
-    words = (spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
-             .where(F.col("word") != "").distinct())
-    head = words.limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        return tuple(sorted(r["word"] for r in head))
-    return words
+    return (spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
+            .where(F.col("word") != "").distinct())
 
 
 def largest_csv(spark: SparkSession, folder: str) -> str | None:
