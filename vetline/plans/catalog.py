@@ -827,7 +827,7 @@ def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @register("train_sample_relevancy", lambda: sql(
     "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
     _SPLIT_CTES + ", hd AS (SELECT r.* FROM reviews r JOIN sp ON sp.place_id = r.place_id AND sp.split = 'train' "
-    "ORDER BY r.review_id LIMIT 10), "
+    "ORDER BY r.review_id, r.row_no LIMIT 10), "
     "pairs AS (SELECT hd.row_no, hd.review_id, coalesce(hd.text, '') AS t, "
     + O.place_desc("coalesce(p.place_name, hd.place_name, '')", "coalesce(p.place_category, hd.place_category, '')",
                    "coalesce(p.city, hd.city, '')", "coalesce(p.description, '')")
@@ -835,7 +835,7 @@ def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def q_train_sample_relevancy(spark: SparkSession, sf: str) -> DataFrame:
     r = V.reviews(spark, sf)
     train = S.assign_split(r, S.place_split(r)).where(F.col("split") == "train")
-    out = JB.relevancy_sample(train, V.places(spark, sf), 10)
+    out = JB.relevancy_sample(train, V.places(spark, sf), 10, ("review_id", "row_no"))
     return out.select("review_id", r6("relevancy").alias("relevancy"))
 
 

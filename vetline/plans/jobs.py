@@ -92,10 +92,11 @@ def screen_to_sink(reviews: DataFrame, places: DataFrame | None, out_path: str,
     return preds
 
 
-def relevancy_sample(train_df: DataFrame, places: DataFrame | None, n: int = 10) -> DataFrame:
-    """Relevancy of the first ``n`` training reviews (by review_id) to their
+def relevancy_sample(train_df: DataFrame, places: DataFrame | None, n: int = 10,
+                     order: tuple[str, ...] = ("review_id", "text")) -> DataFrame:
+    """Relevancy of the first ``n`` training reviews (in ``order``) to their
     place; places that are missing give an all-empty description."""
-    head = train_df.orderBy("review_id").limit(n)
+    head = train_df.orderBy(*order).limit(n)
     if places is not None:
         head = enrich_place(head.drop(*[c for c in ("description",) if c in head.columns]), places)
     if "description" not in head.columns:

@@ -71,29 +71,31 @@ reviews AS (
         WHEN 7 THEN concat(d.text, ' buy now www.offers.example $$$$$$')
         WHEN 8 THEN concat(d.text, ' A &amp; B &lt;b&gt;bold&lt;/b&gt; <i>tag</i>')
         ELSE d.text END AS text,
-      e.user_id, e.ts, c.c_name, e.event_id % (SELECT count(*) FROM part) AS pk
+      e.user_id, e.ts, c.c_name, e.event_id % {n_parts} AS pk
     FROM events e
-    LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+    LEFT JOIN documents d ON d.doc_id = e.event_id % {n_docs}
     LEFT JOIN customer c ON c.c_custkey = e.user_id
     UNION ALL
     SELECT -1 - n.n_nationkey, n.n_nationkey, n.n_nationkey,
       CASE n.n_nationkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN '' ELSE NULL END,
-      n.n_regionkey, e.ts, n.n_name, n.n_nationkey % (SELECT count(*) FROM part)
+      n.n_regionkey, e.ts, n.n_name, n.n_nationkey % {n_parts}
     FROM nation n LEFT JOIN events e ON e.event_id = n.n_nationkey
   ) b
   LEFT JOIN part p ON p.p_partkey = b.pk
 )"""
 
 
-def view_ctes(dialect: str) -> str:
-    """``places AS (...), reviews AS (...)`` for a WITH clause."""
-    reviews = _REVIEWS.format(epoch_ms_ts=_EPOCH_MS[dialect].format(x="b.ts"))
+def view_ctes(dialect: str, n_docs: int | str = "(SELECT count(*) FROM documents)",
+              n_parts: int | str = "(SELECT count(*) FROM part)") -> str:
+    """``places AS (...), reviews AS (...)`` for a WITH clause; the two row
+    counts as numbers or as subqueries."""
+    reviews = _REVIEWS.format(epoch_ms_ts=_EPOCH_MS[dialect].format(x="b.ts"), n_docs=n_docs, n_parts=n_parts)
     return _PLACES.strip() + ",\n" + reviews.strip()
 
 
-def with_views(dialect: str, body_ctes: str = "", select: str = "") -> str:
+def with_views(dialect: str, body_ctes: str = "", select: str = "", **counts: int) -> str:
     """Full statement: ``WITH places, reviews[, body_ctes] select``."""
-    ctes = view_ctes(dialect)
+    ctes = view_ctes(dialect, **counts)
     if body_ctes.strip():
         ctes += ",\n" + body_ctes.strip()
     return f"WITH {ctes}\n{select}"
@@ -112,7 +114,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_tables(spark, sf_dir, ("part", "events", "customer", "documents", "nation"))
     # the joins run on events and document ids; the text work after them is
     # spread over as many tasks as the session shuffles into
-    return spark.sql(with_views("spark", select="SELECT * FROM reviews")).repartition("row_no")
+    counts = {"n_docs": load(spark, sf_dir, "documents").count(), "n_parts": load(spark, sf_dir, "part").count()}
+    return spark.sql(with_views("spark", select="SELECT * FROM reviews", **counts)).repartition("row_no")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
