@@ -160,3 +160,32 @@ def test_largest_csv(spark):
         with open(os.path.join(d, name), "w") as f:
             f.write("text,label\n" + "".join(f"row {i},1\n" for i in range(rows)))
     assert largest_csv(spark, d).endswith("/big.csv")
+
+
+def test_model_reaches_the_penalised_optimum(spark):
+    import numpy as np
+
+    from vetline.operators.multilabel import label_matrix
+
+    texts = ["See http://offers.example for a coupon", "I did not go but it is bad", "soooooo nice!!!!!!", "Nice quiet place"]
+    rows = [(f"r{i}", f"{texts[i % 4]} w{i % 5} v{i % 3}") for i in range(40)]
+    df = add_weak_labels(spark.createDataFrame(rows, "review_id string, text string"))
+    model = MultiLabelModel.fit(df)
+    assert model.models["irr"] == 0.0  # no rule gives that label
+    data = model.vectorizer.transform(label_matrix(df.withColumnRenamed("text", "_ml_text"))).select("features", "y_ad", "y_spam").collect()
+    x = np.array([r.features.toArray() for r in data])
+    assert (x[:, -1] == 1.0).all()
+    for key in ("ad", "spam"):
+        y = np.array([r[f"y_{key}"] for r in data]) * 2 - 1
+
+        def objective(w):
+            return np.logaddexp(0, -y * (x @ w)).sum() + w @ w / 2
+
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(y * (x @ w)))
+            w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(w)), w - x.T @ (y * p))
+        got = model.models[key].coefficients.toArray()
+        assert model.models[key].intercept == 0.0
+        assert objective(got) / len(y) - objective(w) / len(y) < 1e-6
+        assert np.abs(got - w).max() < 1e-2
