@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from vetline.llm.components import components
-from vetline.llm.neardup import BANDS, REGISTERS, may_reach, merge, near_duplicates, sketch
+from vetline.llm.neardup import BANDS, REGISTERS, links_within, may_reach, merge, near_duplicates, sketch
 from vetline.llm.shingles import shingle_set
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,3 +95,20 @@ def test_null_and_repeated_ids(spark):
 def test_shingles_match_tuples():
     for text in ("A b c d e", "a", "É B\x85c d e f g", "x\x0by\tz"):
         assert len(shingle_set(text, 4)) == len(shingles(text))
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(80)] = f"x{rng.randrange(30)}"
+        rows.append((1, i, i % 7, " ".join(ws)))
+    sets = [shingles(r[3]) for r in rows]
+    want = {(i, j) for i in range(60) for j in range(i) if i % 7 != j % 7 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(rows, "key long, cls long, root long, text string")
+    for block in (128, 9):
+        assert {(r.a, r.b) for r in links_within(df, block=block).collect()} == want
+    assert links_within(df.limit(0)).count() == 0

@@ -40,6 +40,8 @@ SLACK = 20.0
 _SEEDS = np.random.default_rng(20201231).integers(0, 2**63, (2, REGISTERS), dtype=np.uint64)
 _FACTORS = (_SEEDS[1] << np.uint64(1)) | np.uint64(1)
 _CHUNK = 2048
+# Members of one block of a bucket, and shingles of one matrix product.
+BLOCK, _COLUMNS = 128, 16_384
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -165,6 +167,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE_WORDS, percen
         run, "a long, b long, common long, total long")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of shingle sets: products of
+    0/1 matrices over the shingles that both sides have, in column chunks."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for i in range(0, len(shared), _COLUMNS):
+        part, sides = shared[i:i + _COLUMNS], []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for row, s in zip(m, sets):
+                at = np.searchsorted(part, s)
+                at[at == len(part)] = 0
+                row[at[part[at] == s]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def links_within(members: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links (a, b, common, total) between members (``key``, ``cls``, ``root``,
+    ``text``) of a bucket with different roots.
+
+    A bucket is cut into blocks of about ``block`` members, and a task compares
+    two blocks of full sets at a time, so that neither a task nor a row holds a
+    whole bucket and no pair becomes a row before it is a link."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.hash("cls"), F.ceil(F.col("size") / block).cast("int")))
+    blocks = stored(placed.groupBy("key", "block").agg(F.collect_list(F.struct("cls", "root", "text")).alias("held")), "blocks")
+    one = blocks.select("key", F.col("block").alias("i"), F.col("held").alias("left"))
+    other = blocks.select("key", F.col("block").alias("j"), F.col("held").alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}
+
+        def opened(held) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            rows = held.as_py()
+            for r in rows:
+                if r["cls"] not in memo:
+                    if len(memo) > 4 * BLOCK:
+                        memo.clear()
+                    memo[r["cls"]] = shingle_set(r["text"], k)
+            sets = [memo[r["cls"]] if r["cls"] in memo else shingle_set(r["text"], k) for r in rows]
+            return np.array([r["cls"] for r in rows]), np.array([r["root"] for r in rows]), sets
+
+        for batch in batches:
+            found = [np.zeros((0, 4), np.int64)]
+            for left, right in zip(batch.column(0), batch.column(1)):
+                (ca, ra, sa), (cb, rb, sb) = opened(left), opened(right)
+                common = _common(sa, sb)
+                total = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :] - common
+                x, y = np.nonzero((100 * common >= percent * total) & (ra[:, None] != rb[None, :]))
+                found.append(np.stack([np.maximum(ca[x], cb[y]), np.minimum(ca[x], cb[y]), common[x, y], total[x, y]], axis=1))
+            flat = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(4)], names=["a", "b", "common", "total"])
+
+    both = one.join(other, "key").filter("i <= j").select("left", "right")
+    return both.mapInArrow(run, "a long, b long, common long, total long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept, n_links (links
     found with the document's class).
@@ -172,8 +233,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     No pair inside a bucket goes unseen, and none is looked at that an earlier
     step settled: each class is first compared with one representative that it
     shares most bands with, then with the representatives of all its buckets,
-    and last every two members of a bucket that are still in different
-    components are compared. Documents without words, or null, are groups of
+    and last the members of every bucket that still holds several components
+    are compared in blocks of full sets. Documents without words, or null, are groups of
     their own; equal sets are one class and are never paired. Rows without a
     doc_id stay unlinked with a null component and are kept. Rows that repeat a
     doc_id are one node. Other input columns are not read."""
@@ -213,11 +274,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     placed = buckets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "key", "cls", "rep", F.coalesce("root", "cls").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    open_buckets = stored(placed.join(mixed, "key"), "open-buckets")
-    one = open_buckets.filter("cls <> rep").select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    other = open_buckets.filter("cls <> rep").select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    crossed = one.join(other, "key").filter("a > b and root_a <> root_b").select("a", "b").distinct()
-    joined(crossed.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    more = stored(links_within(placed.join(mixed, "key").select("key", "cls", "root").join(texts, "cls"), k, percent), "within")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     placed = stored(classes.select("digest", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
