@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from vetline.llm.urlfilter import LEXICAL, RULES, judge, lexical_features, rule_labels, train
+from vetline.llm.urlfilter import (
+    LEXICAL, PRIOR_ROWS, RULES, _with_rates, judge, lexical_features, rule_labels, train, training_sample)
 
 URLS = ["http://a.net/", "https://x.EXAMPLE.net/en/5", "https://example.net/english", "HTTP://Example.com/de/x?y=1&z=2#f",
         "ftp://notexample.com/de/", "http://example.com.de/", "https://m.org/fr/", "org/fr/", None, "", "://", "http://net",
@@ -77,3 +78,23 @@ def test_one_label_and_empty(spark, pages):
     assert {r.verdict for r in judge(pages, [], train(one)).collect()} == {"block"}
     assert {r.verdict for r in judge(pages, [], train(one.limit(0))).collect()} == {"allow"}
     assert judge(pages.limit(0), RULES, train(one)).count() == 0
+
+
+def test_rates_count_all_labelled_rows(spark):
+    rows = [(f"http://h{i % 90}.part{i % 7}.example/{i}", float(i % 90 % 2)) for i in range(900)] + [("http://hot.example/", 1.0)] * 500
+    labelled = spark.createDataFrame(rows, "url string, label double")
+    urls = labelled.groupBy("url", "label").count()
+    assert training_sample(urls, 40).count() == 40
+    model = train(labelled, max_rows=40)
+    overall = sum(label for _, label in rows) / len(rows)
+    assert model.rates[0] == pytest.approx(overall)
+    for k, table in zip((1, 2, 3), model.rates[1:]):
+        want = {}
+        for url, label in rows:
+            want.setdefault(".".join(url.split("/")[2].split(".")[-k:]), []).append(label)
+        got = {r[0]: r[1] for r in table.collect()}
+        assert got == pytest.approx({s: (sum(v) + PRIOR_ROWS * overall) / (len(v) + PRIOR_ROWS) for s, v in want.items()})
+    features = lexical_features(labelled)
+    rated = [sorted(map(tuple, _with_rates(features, model.rates, size).select("url", "rate_1", "rate_2", "rate_3").collect()))
+             for size in (1 << 20, 0)]
+    assert rated[0] == rated[1] and len(rated[0]) == len(rows)

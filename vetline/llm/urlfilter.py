@@ -18,8 +18,11 @@ from vetline.llm.common import ascii_lower, stored, table
 
 # (rule, verdict): host, slash, path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-# The trees learn from at most about this many labelled rows, drawn by hash.
+# The trees learn from at most this many distinct labelled URLs, drawn by hash.
 MAX_TRAIN_ROWS = 20_000
+# Larger tables of suffix rates are not broadcast; each of their suffixes is
+# dealt over so many tasks.
+MAX_BROADCAST_BYTES, SALTS = 8 << 20, 16
 TREES, DEPTH = 12, 4
 # Weight of the overall block rate in a suffix's rate.
 PRIOR_ROWS = 20.0
@@ -79,22 +82,32 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "has_extension": F.col("path").rlike(r"\.[A-Za-z0-9]+$").cast("double")})
 
 
-def suffix_rates(labelled: DataFrame) -> list[DataFrame]:
-    """One table per suffix length: suffix, smoothed share of blocked rows.
-    ``labelled`` is the bounded training sample, which bounds the tables."""
-    overall = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.5)).alias("m")).first().m
+def suffix_rates(labelled: DataFrame) -> list:
+    """Overall share of blocked rows, then one table per suffix length: suffix,
+    smoothed share of blocked rows. All of ``labelled`` (``host``, ``label``,
+    ``n`` rows) counts."""
+    hosts = stored(labelled.groupBy("host").agg(F.sum(F.col("label") * F.col("n")).alias("blocked"), F.sum("n").alias("n")), "url-hosts")
+    overall = hosts.agg((F.sum("blocked") / F.sum("n")).alias("m")).first().m
+    overall = 0.5 if overall is None else overall
     out = []
     for k in SUFFIX_LABELS:
-        rate = (F.sum("label") + PRIOR_ROWS * overall) / (F.count("*") + PRIOR_ROWS)
-        out.append(labelled.groupBy(suffix(F.col("host"), k).alias(f"suffix_{k}")).agg(rate.alias(f"rate_{k}")))
+        rate = (F.sum("blocked") + PRIOR_ROWS * overall) / (F.sum("n") + PRIOR_ROWS)
+        out.append(stored(hosts.groupBy(suffix(F.col("host"), k).alias(f"suffix_{k}")).agg(rate.alias(f"rate_{k}")), "url-rates"))
     return [overall, *out]
 
 
-def _with_rates(df: DataFrame, rates: list) -> DataFrame:
+def _with_rates(df: DataFrame, rates: list, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     overall, *tables = rates
     for k, rate in zip(SUFFIX_LABELS, tables):
-        # at most MAX_TRAIN_ROWS suffixes: they come from the training sample
-        df = df.withColumn(f"suffix_{k}", suffix(F.col("host"), k)).join(F.broadcast(rate), f"suffix_{k}", "left")
+        df = df.withColumn(f"suffix_{k}", suffix(F.col("host"), k))
+        size = rate.agg(F.sum(F.octet_length(f"suffix_{k}") + 64).alias("bytes")).first().bytes or 0
+        if size <= max_bytes:
+            df = df.join(F.broadcast(rate), f"suffix_{k}", "left")
+        else:
+            # rows of one suffix are dealt over SALTS tasks
+            salted = rate.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            df = df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            df = df.join(salted.hint("shuffle_merge"), [f"suffix_{k}", "salt"], "left").drop("salt")
         df = df.withColumn(f"rate_{k}", F.coalesce(f"rate_{k}", F.lit(overall))).drop(f"suffix_{k}")
     return df
 
@@ -122,25 +135,33 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=LEXICAL + [f"rate_{k}" for k in SUFFIX_LABELS], outputCol="features")
 
 
+def training_sample(urls: DataFrame, max_rows: int, url_col: str = "url") -> DataFrame:
+    """At most ``max_rows`` of the distinct rows ``urls``, those with the
+    smallest hashes of URL and label."""
+    n = urls.count()
+    if n <= max_rows:
+        return urls
+    steps = 1_000_000
+    draw = F.xxhash64(url_col, "label")
+    some = urls.filter(F.pmod(draw, F.lit(steps)) < int(steps * (1.1 * max_rows + 100) / n) + 1)
+    return some.orderBy(F.pmod(draw, F.lit(steps)), draw, url_col, "label").limit(max_rows)
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS, url_col: str = "url", seed: int = 7) -> UrlClassifier:
     """Fit on ``url_col``, ``label`` (1 block, 0 allow) rows.
 
-    When there are more than ``max_rows``, those with the smallest hashes of
-    their URL are taken, about ``max_rows`` of them. Rows without a label or a
-    URL are left out."""
+    The suffix statistics count every row. The trees are fitted on at most
+    ``max_rows`` distinct URLs (with their label), each with the weight of its
+    rows. Rows without a label or a URL are left out."""
     usable = labelled.filter(F.col("label").isNotNull() & F.col(url_col).isNotNull()).select(url_col, F.col("label").cast("double"))
-    n = usable.count()
-    if n > max_rows:
-        steps = 1_000_000
-        usable = usable.filter(F.pmod(F.xxhash64(url_col), F.lit(steps)) < int(steps * max_rows / n))
-    sample = stored(lexical_features(usable, url_col).repartition(8), "url-sample")
+    urls = stored(usable.groupBy(url_col, "label").agg(F.count("*").cast("double").alias("n")), "url-labels")
+    rates = suffix_rates(urls.withColumn("host", url_parts(F.col(url_col))[0]))
+    sample = stored(lexical_features(training_sample(urls, max_rows, url_col), url_col).repartition(8), "url-sample")
     kinds = {r.label for r in sample.groupBy("label").count().collect()}
-    rates = suffix_rates(sample)
     if len(kinds) < 2:
         return UrlClassifier(rates, None, kinds.pop() if kinds else 0.0)
-    rates = [rates[0], *(stored(t.coalesce(1), "url-rates") for t in rates[1:])]
-    rows = _assembler().transform(_with_rates(sample, rates)).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=0.8).fit(rows)
+    rows = _assembler().transform(_with_rates(sample, rates)).select("features", "label", "n")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=0.8, weightCol="n").fit(rows)
     return UrlClassifier(rates, model, 0.0)
 
 
