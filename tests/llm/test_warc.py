@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from vetline.llm.common import scratch
+from vetline.llm.common import open_store, scratch
 from vetline.llm.warc import op6_warc, read_archives, record, write_archives
 
 
@@ -55,3 +55,30 @@ def test_query_and_empty(spark, tmp_path):
     assert sorted(map(tuple, op6_warc(spark, str(tmp_path / "a")).collect()), key=repr) == brute(pages())
     df.limit(0).write.parquet(str(tmp_path / "b/pages.parquet"))
     assert op6_warc(spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.mark.parametrize("gzip", [False, True])
+def test_long_urls_stay_whole(spark, gzip):
+    urls = {i: f"http://h/{'p' * n}{i}" for i, n in enumerate((5, 8_190, 8_300, 8_300, 70_000, 300_000, 70_000, 3))}
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    folder = scratch(spark, "warc-test")
+    archives = write_archives(df.repartition(2), folder, gzip)
+    for block_bytes in (8 << 20, 5_000):
+        assert {r.page_id: r.url for r in read_archives(archives, folder, block_bytes).collect()} == urls
+
+
+@pytest.mark.parametrize("gzip", [False, True])
+def test_a_broken_chain_is_an_error(spark, gzip):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    folder = scratch(spark, "warc-test")
+    archives = write_archives(df.coalesce(1), folder, gzip)
+    store, path = open_store(f"{folder}/archives")
+    name, size = archives.first().file, archives.first().size
+    with store.open_input_stream(f"{path}/{name}", compression=None) as file:
+        raw = bytearray(file.read())
+    assert len(raw) == size
+    raw[size // 2:size // 2 + 40] = bytes(40)
+    with store.open_output_stream(f"{path}/{name}", compression=None) as file:
+        file.write(bytes(raw))
+    with pytest.raises(ValueError, match="holds 20"):
+        read_archives(archives, folder).count()

@@ -33,7 +33,7 @@ from vetline.session import ship_package
 ARCHIVE_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PLAIN_MAGIC, GZIP_MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
-MAX_HEADER = 1 << 16
+HEADER_STEP = 1 << 16
 
 
 def digest_of(payload: bytes) -> str:
@@ -49,7 +49,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
              f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url)[:MAX_HEADER // 8]
+        shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url)
         lines.append(f"WARC-Target-URI: {shown}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest_of(payload)}")
     if revisit:
@@ -152,8 +152,20 @@ def parse(raw: bytes) -> tuple[dict[str, str], int, int] | None:
     return fields, end + 4, int(length)
 
 
+def _header_so_far(raw: bytes) -> bool:
+    """Whether the front of ``raw`` may be an unfinished header."""
+    lines = raw.split(b"\r\n")
+    return re.match(rb"WARC/1\.[01]$", lines[0]) is not None and all(b":" in line for line in lines[1:-1])
+
+
 def _plain_record(src: _Source, offset: int) -> tuple[int, dict[str, str], bytes] | None:
-    head = parse(src.get(offset, MAX_HEADER))
+    # a header may be longer than any fixed size; what has no line of a header
+    # where one is due is none
+    step, raw = HEADER_STEP, src.get(offset, HEADER_STEP)
+    while b"\r\n\r\n" not in raw and _header_so_far(raw) and offset + len(raw) < src.size:
+        step *= 4
+        raw = src.get(offset, step)
+    head = parse(raw)
     if head is None:
         return None
     fields, header, length = head
@@ -261,7 +273,8 @@ def entries(candidates: DataFrame) -> DataFrame:
 
 def read_archives(archives: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, with_payload: bool = False) -> DataFrame:
     """The records reachable from the start of their archive: file, offset and
-    the record's fields (with ``payload`` if asked)."""
+    the record's fields (with ``payload`` if asked). Where ``archives`` tells
+    the number of ``records`` of a file, reading another number is an error."""
     ship_package(archives.sparkSession)
     found = stored(scan(archives, folder, block_bytes, with_payload), "candidates")
     doors = entries(found).select("file", F.floor(F.col("offset") / block_bytes).alias("block"), F.col("offset").alias("entry"))
@@ -278,7 +291,15 @@ def read_archives(archives: DataFrame, folder: str, block_bytes: int = BLOCK_BYT
 
     # a group is one block of bytes of one archive, so its size is bounded
     schema = f"file string, offset long, {FIELDS}" + (", payload binary" if with_payload else "")
-    return rows.groupBy("file", "block").applyInPandas(follow, schema)
+    out = rows.groupBy("file", "block").applyInPandas(follow, schema)
+    if "records" not in archives.columns:
+        return out
+    out = stored(out, "records")
+    wrong = archives.select("file", "records").join(out.groupBy("file").agg(F.count("*").alias("read")), "file", "left").filter(
+        F.coalesce("read", F.lit(0)) != F.col("records")).limit(5).collect()
+    if wrong:
+        raise ValueError("records are unreadable: " + "; ".join(f"{r.file} holds {r.records}, read {r.read or 0}" for r in wrong))
+    return out
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
