@@ -64,3 +64,14 @@ def test_edges(spark):
     assert repetition_quality(df.limit(0)).count() == 0
     many = repetition_quality(df, keep=["doc_id", "text"])
     assert many.filter("doc_id = 3").first().n_repeat_words == 200_000
+
+
+def test_published_limits_for_long_texts():
+    def text(n, repeated):
+        lines = [" ".join(f"word{i + j:05d}" for j in range(10)) for i in range(0, n - repeated, 10)]
+        return "\n".join(lines + lines[:repeated // 10])
+
+    # 10-word lines twice: 15 % of 2,000 words, then 8 %
+    assert measure(text(2000, 300))["repetitive"] and measure(text(2000, 160))["kept"]
+    # one repeated line of a short text is free
+    assert measure(text(60, 10))["kept"] and measure(text(100, 10))["kept"]
