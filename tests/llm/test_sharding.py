@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from vetline.llm.sharding import SHARD_NAMES, TABLE_SIZE, fill_table, placement, write_sharded
+from vetline.llm.sharding import SHARD_NAMES, TABLE_SIZE, fill_table, op4_sharding, placement, sharded, write_sharded
 
 
 def number(text):
@@ -47,3 +47,16 @@ def test_placement(spark, tmp_path):
     assert placement(df.limit(0), "doc_id", ["a"], 101).count() == 0
     write_sharded(df, "doc_id", ["a", "b", "c"], str(tmp_path / "out"), 101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 52
+
+
+def test_query_reads_what_it_wrote(spark, tmp_path):
+    rows = [(i, f"text {i}", "s") for i in range(300)] + [(7, "again", "hot")] * 200 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(repr, sharded(df, "doc_id", SHARD_NAMES).collect())) == sorted(map(repr, placement(df, "doc_id", SHARD_NAMES).collect()))
+    df.write.parquet(str(tmp_path / "a/documents.parquet"))
+    out = op4_sharding(spark, str(tmp_path / "a"))
+    want = placement(df.select("doc_id", "source"), "doc_id", SHARD_NAMES)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    assert out.inputFiles() and all("/shard=shard-" in f for f in out.inputFiles())
+    df.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert op4_sharding(spark, str(tmp_path / "b")).count() == 0

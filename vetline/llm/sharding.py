@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm.common import table
+from vetline.llm.common import scratch, table
 
 # The table size is prime and about a hundred times the shard count; its rows
 # (two numbers and a name) bound the broadcast.
@@ -85,8 +85,16 @@ def write_sharded(df: DataFrame, key: str, shards: list[str], path: str, size: i
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(SHARDS)]
 
 
+def sharded(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
+    """``df`` written by :func:`write_sharded` and read back: its columns, slot
+    and the shard whose folder holds the row."""
+    path = scratch(df.sparkSession, "shards")
+    write_sharded(df, key, shards, path, size)
+    return df.sparkSession.read.schema(placement(df.limit(0), key, shards, size).schema).parquet(path)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARD_NAMES)
+    return sharded(table(spark, sf_dir, "documents"), "doc_id", SHARD_NAMES).select("doc_id", "source", "slot", "shard")
 
 
 def op4_sql() -> str:
