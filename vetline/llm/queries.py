@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, decontaminate, neardup, passages, quality, sharding, tokenfile, toolcalls, urlfilter, warc
+from vetline.llm import bpe, decontaminate, neardup, packing, passages, quality, sharding, tokenfile, toolcalls, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
