@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import bpe, decontaminate, neardup, packing, passages, quality, sharding, tokenfile, toolcalls, urlfilter, warc
+from vetline.llm import (bpe, decontaminate, merkle, neardup, packing, passages, quality, sharding, tokenfile, toolcalls,
+                         urlfilter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -20,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.op4_sql(),
     "op7_tool_calls": toolcalls.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
