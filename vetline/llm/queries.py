@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetline.llm import (bpe, decontaminate, merkle, neardup, packing, passages, quality, sharding, tokenfile, toolcalls,
-                         urlfilter, warc)
+from vetline.llm import (bpe, conversations, decontaminate, merkle, neardup, packing, passages, quality, sharding, tokenfile,
+                         toolcalls, urlfilter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
