@@ -46,7 +46,8 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
     own = ByteLevelEncoder(open(PATH, encoding="utf-8").read())
     for i in range(200):
         own.encode(f"word{i} " + "x" * 2_000)
-    assert own.parts.held <= 2_000 and all(len(k) <= packing.MEMO_KEY for k in own.parts)
+    assert own.parts.held <= 2_000 and all(len(k) <= packing.MEMO_KEY for k in own.parts | own.parts.old)
+    assert 0 < len(own.parts) + len(own.parts.old) < 30
 
 
 def test_piece_lengths():
@@ -106,7 +107,8 @@ def test_rounds_keep_every_item_and_lose_no_merge(spark, kind):
     assert len(bins) <= whole * 1.02 + 1
 
 
-def test_documents_against_brute_force(spark, known):
+def test_documents_against_brute_force(spark, known, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 3_000)
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["the", "Wört", "of", "12", "naïve", "***", "日本"], k=rng.randint(1, 900))) for _ in range(60)]
     texts += [None, "", "a", "a", "long " * 5000, "x" * 100_000, "a\n\n b  c"]

@@ -23,12 +23,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,8 @@ from vetline.session import ship_package
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 NODE_ITEMS, FANOUT = 65_536, 8
-MEMO_BYTES, MEMO_KEY = 64 << 20, 48
+MEMO_BYTES, MEMO_KEY = 48 << 20, 48
+SLICE_BYTES = 4 << 20
 
 
 # ---- ids --------------------------------------------------------------------
@@ -62,18 +65,23 @@ def _byte_characters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Packed ids by string; computed where missing, remembered up to a number
-    of bytes. Long strings, which hardly come again, are not kept."""
+    """Packed ids by string; computed where missing. Two generations of at most
+    ``MEMO_BYTES`` each: a full one becomes the old one, and what is asked for
+    again comes back from there. Long strings, which hardly come again, are not
+    kept."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute, self.held = compute, 0
+        self.compute, self.held, self.old = compute, 0, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.compute(part)
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.compute(part)
         if len(part) <= MEMO_KEY:
             self.held += 200 + 2 * len(part) + len(ids)
             if self.held > MEMO_BYTES:
+                self.old = dict(self)
                 self.clear()
                 self.held = 200
             self[part] = ids
@@ -96,7 +104,8 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         top = max(self.tokenizer.get_vocab().values())
-        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.code = "H" if top < 1 << 16 else "I"
+        self.kind = np.dtype(f"<{self.code}")
         self.shown = _byte_characters()
         parsed = json.loads(spec)
         self.special = [t["content"] for t in parsed.get("added_tokens") or []]
@@ -116,10 +125,13 @@ class ByteLevelEncoder:
                             for t in parsed.get("added_tokens") or []))
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _part(self, part: str) -> bytes:
-        shown = "".join(map(self.shown.__getitem__, part.encode()))
+        if part.isascii():
+            shown = part.translate(self.shown)
+        else:
+            shown = part.encode().decode("latin-1").translate(self.shown)
         return self._packed([t.id for t in self.tokenizer.model.tokenize(shown)])
 
     def _whole(self, text: str) -> bytes:
@@ -145,6 +157,17 @@ def _encoder(spec: str) -> ByteLevelEncoder:
     return _LOADED[key]
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES`` in one column, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(sizes):
+        done = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def piece_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of a document's pieces: itself if it fits, else full pieces
     behind a first one that takes what is left over."""
@@ -172,7 +195,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         encoder = _encoder(spec.value)
         end, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, len(keep))):
             of, piece, starts, lengths, ids, crcs = [], [], [], [], [], []
             for row, value in enumerate(batch.column(len(keep))):
                 raw = encoder.encode(value.as_py() or "") + end
