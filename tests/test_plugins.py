@@ -47,3 +47,64 @@ def test_clean_with_language_and_translator(spark):
     assert out["r2"]["lang"] == "fr" and out["r2"]["text"] == "Le chien est dans la maison & le chat"
     assert out["r2"]["text_model"] == "LE CHIEN EST DANS LA MAISON & LE CHAT"
     assert out["r3"]["lang"] == "unknown" and out["r3"]["text"] == ""
+
+
+def test_language_by_join_equals_broadcast(spark, monkeypatch):
+    from vetline.operators import language
+
+    monkeypatch.setattr(language, "GROUP_ROWS", 7)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    odd = spark.createDataFrame([(-1, None, None), (-2, None, "  "), (-3, "en", "ab"), (-4, "xx", "日本語😀 テスト")], docs.schema)
+    model = TrigramLanguageModel.fit(docs.unionAll(odd))
+    more = docs.unionAll(docs).unionAll(odd)
+    small = sorted(map(tuple, model.predict(more).select("doc_id", "lang_pred").collect()))
+    wide = model.predict(more, small=10)
+    assert sorted(map(tuple, wide.select("doc_id", "lang_pred").collect())) == small
+    assert wide.columns == [*more.columns, "lang_pred"]
+    plan = wide._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "SortMergeJoin" in plan or "Join" in plan
+
+
+def test_translation_sends_each_text_once(spark, tmp_path):
+    from vetline.operators.clean import translated
+
+    path = str(tmp_path / "table")
+    sent = spark.sparkContext.accumulator(0)
+
+    def shout(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        sent.add(len(texts))
+        return pd.Series([None if t == "rien" else f"{lang}:{t.upper()}" for t, lang in zip(texts, langs)])
+
+    rows = [("fr", "bonjour"), ("fr", "bonjour"), ("de", "bonjour"), ("en", "hello"), ("unknown", "x"), (None, "y"), ("fr", " "),
+            ("fr", None), ("fr", "rien")]
+    first = spark.createDataFrame(rows, "lang string, text string")
+    want = sorted([("fr:BONJOUR",), ("fr:BONJOUR",), ("de:BONJOUR",), ("hello",), ("x",), ("y",), (" ",), (None,), ("rien",)], key=str)
+    assert sorted(map(tuple, translated(first, shout, path).select("text_model").collect()), key=str) == want
+    assert sent.value == 3
+    second = first.unionAll(spark.createDataFrame([("fr", "merci")], first.schema))
+    assert translated(second, shout, path).count() == 10 and sent.value == 4
+    assert sorted(map(tuple, translated(first, shout).select("text_model").collect()), key=str) == want
+    assert translated(first.limit(0), shout).count() == 0
+
+
+def test_scorer_gets_each_pair_once_and_is_made_once(spark):
+    from vetline.operators.relevancy import score_pairs
+
+    made, sent = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def make():
+        made.add(1)
+
+        def score(texts, descs):
+            sent.add(len(texts))
+            assert (texts.str.len() + descs.str.len()).is_monotonic_increasing
+            return texts.str.len() - 2.0 * descs.str.len()
+        return score
+
+    rows = [("a", "xy", "z"), ("b", "xy", "z"), ("c", None, "zz"), ("d", "", "zz"), ("e", "x", "yz")] * 30
+    df = spark.createDataFrame(rows, "review_id string, text string, description string")
+    got = {(r.review_id, r.relevancy) for r in score_pairs(df, make_scorer=make).collect()}
+    assert got == {("a", 0.0), ("b", 0.0), ("c", -4.0), ("d", -4.0), ("e", -3.0)}
+    assert sent.value == 3 and 1 <= made.value <= 4
+    with pytest.raises(ValueError):
+        score_pairs(df)

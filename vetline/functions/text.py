@@ -49,8 +49,14 @@ def _where(needs: Column, t: Column, udf) -> Column:
     return F.when(needs, udf(F.when(needs, t))).otherwise(t)
 
 
+def nfkc(t: Column) -> Column:
+    """Compatibility composition; only texts with a code point whose form is
+    not settled by itself leave the JVM."""
+    return _where(t.rlike(P.nfkc_unsure()), t, _nfkc)
+
+
 def collapse_ws(t: Column) -> Column:
-    return F.trim(F.regexp_replace(t, P.ws_class() + "+", " "))
+    return F.trim(F.regexp_replace(t, P.ws_excess(), " "))
 
 
 def strip_tags(col: Column | str) -> Column:
@@ -61,7 +67,7 @@ def normalize_text(col: Column | str, lower: bool = False) -> Column:
     """``normalize_text`` (and ``text_norm`` when ``lower``)."""
     t = safe_text(col)
     t = strip_tags(_where(t.contains("&"), t, _unescape))
-    t = collapse_ws(_where(t.rlike("[^\\x00-\\x7F]"), t, _nfkc))
+    t = collapse_ws(nfkc(t))
     return F.lower(t) if lower else t
 
 

@@ -2,8 +2,9 @@
 
 ``translate`` is a plug-in: a batch function (texts, langs) -> texts that
 the caller provides (for example a translation model loaded once per Python
-worker). It runs in Arrow batches through ``mapInPandas``-style iterator
-UDFs; without one, ``text_model`` equals the cleaned text.
+worker). Without one, ``text_model`` equals the cleaned text. Translations are
+kept in a table by the digest of (text, language): every distinct text is sent
+once, and with ``table_path`` later batches send only what is new.
 """
 
 from __future__ import annotations
@@ -11,18 +12,76 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vetline.functions.text import normalize_text
 from vetline.operators.language import TrigramLanguageModel
+from vetline.session import materialize, ship_package
+from vetline.sources.files import exists
 
+Translator = Callable[[pd.Series, pd.Series], pd.Series]
+TABLE = "digest string, translated string"
 
-def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None,
-                  translate: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+
+def text_key(text: Column, lang: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", lang, text), 256)
+
+
+def translation_table(spark: SparkSession, path: str) -> DataFrame:
+    """What an earlier run has translated; empty where nothing is."""
+    return spark.read.schema(TABLE).parquet(path) if exists(spark, path) else spark.createDataFrame([], TABLE)
+
+
+def new_translations(asked: DataFrame, known: DataFrame, translate: Translator) -> DataFrame:
+    """``asked`` (digest, text, lang) to (digest, translated) of every distinct
+    digest that ``known`` lacks.
+
+    Copies are combined before the shuffle. Each task sends its texts in order of
+    length, so that a batch holds texts of about one length; a NULL translation
+    keeps the text."""
+    one = asked.groupBy("digest").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    fresh = one.join(known.select("digest"), "digest", "left_anti")
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = pd.Series(list(translate(b["text"], b["lang"])), index=b.index, dtype="object")
+            yield pd.DataFrame({"digest": b["digest"], "translated": got.where(got.notna(), b["text"])})
+
+    return fresh.sortWithinPartitions(F.length("text")).mapInPandas(send, TABLE)
+
+
+def translated(df: DataFrame, translate: Translator, table_path: str | None = None, text_col: str = "text",
+               lang_col: str = "lang", out: str = "text_model") -> DataFrame:
+    """Adds ``out``: the translation where the language is known and not English
+    and the text is not blank, else the text. The new translations are stored
+    before they are used, appended to ``table_path`` if given: a run that breaks
+    off later has them already."""
+    spark = df.sparkSession
+    ship_package(spark)
+    needs = ~F.coalesce(F.col(lang_col), F.lit("unknown")).isin("en", "unknown") & (F.trim(text_col) != "")
+    keyed = df.withColumn("_vc_digest", F.when(needs, text_key(F.col(text_col), F.col(lang_col))))
+    known = translation_table(spark, table_path) if table_path else spark.createDataFrame([], TABLE)
+    asked = keyed.where(F.col("_vc_digest").isNotNull()).select(
+        F.col("_vc_digest").alias("digest"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    fresh = new_translations(asked, known, translate)
+    if table_path:
+        fresh.write.mode("append").parquet(table_path)
+        table = translation_table(spark, table_path)
+    else:
+        table = materialize(fresh)
+    # rows without a translation stay where they are
+    table = table.groupBy(F.col("digest").alias("_vc_digest")).agg(F.first("translated").alias("_vc_text"))
+    plain = keyed.where(F.col("_vc_digest").isNull()).withColumn(out, F.col(text_col))
+    told = keyed.where(F.col("_vc_digest").isNotNull()).join(table, "_vc_digest").withColumn(out, F.col("_vc_text")).drop("_vc_text")
+    return plain.unionByName(told).drop("_vc_digest")
+
+
+def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None, translate: Translator | None = None,
+                  table_path: str | None = None) -> DataFrame:
     """text <- normalize_text(text); lang from ``lang_model`` ("unknown" for
-    blank text or without a model); text_model = translation or text."""
+    blank text or without a model); text_model = translation or text. With a
+    translator the cleaned rows are stored once, as they are read three times."""
     out = df.withColumn("text", normalize_text("text"))
     if lang_model is not None:
         out = lang_model.predict(out, text_col="text", out="lang")
@@ -30,16 +89,4 @@ def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None,
         out = out.withColumn("lang", F.lit("unknown"))
     if translate is None:
         return out.withColumn("text_model", F.col("text"))
-
-    @F.pandas_udf(T.StringType())
-    def _translate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, langs in batches:
-            asked = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype="object")
-            if asked.any():
-                out[asked] = list(translate(texts[asked], langs[asked]))
-            yield out
-
-    # a CASE does not keep rows from a Python UDF: the others go in as NULL
-    needs = ~F.col("lang").isin("en", "unknown") & (F.trim("text") != "")
-    return out.withColumn("text_model", F.coalesce(_translate(F.when(needs, F.col("text")), F.col("lang")), F.col("text")))
+    return translated(materialize(out), translate, table_path)

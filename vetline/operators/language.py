@@ -7,8 +7,16 @@ over the trigram vocabulary. Whole texts are used. A trigram is three code
 points of the lower-cased text, packed into one long.
 
 Learning counts trigrams inside each Arrow batch and shuffles one row per
-(language, trigram) of a batch; scoring is narrow: the profile is broadcast in
-blocks of bounded size, and each block adds its share to the row's scores.
+(language, trigram) of a batch. The profile stays a table: rows are stored in
+groups of ``GROUP_ROWS``, each group sends its distinct trigrams to a join with
+the profile, and what it gets back, the part of the profile that its own texts
+need, scores them. The shuffles carry one row per distinct trigram of a group
+and every text once, whatever the size of the profile, and the driver gathers
+one row per language. A common trigram meets as many rows as there are groups,
+and so does every other common one, so no key stands out.
+
+A profile of at most ``SMALL_PROFILE`` rows is broadcast instead, and scoring is
+then narrow. Both ways add up the same numbers.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -25,8 +34,9 @@ from pyspark.sql import types as T
 
 from vetline.session import materialize, ship_package
 
-# Trigrams of one broadcast block (16 bytes plus 8 per language each).
-BLOCK_TRIGRAMS = 500_000
+# Rows of (language, trigram) that may be broadcast: 24 bytes each.
+SMALL_PROFILE = 500_000
+GROUP_ROWS = 4096
 
 
 def batch_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,25 +70,23 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return slim.mapInArrow(count, "lang string, tri long, c long").groupBy("lang", "tri").agg(F.sum("c").alias("c"))
 
 
-def _block_scores(held: Broadcast, base: tuple[np.ndarray, np.ndarray] | None):
-    """UDF: a text's score per language from one profile block; ``base`` adds
-    the priors and the smoothed log probabilities of all its trigrams."""
+def dense_profile(tri: np.ndarray, code: np.ndarray, delta: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted trigrams and their log probabilities above the unseen one by
+    language; a last row of zeros stands for all others."""
+    known, at = np.unique(tri, return_inverse=True)
+    table = np.zeros((len(known) + 1, langs))
+    table[at, code] = delta
+    return known, table
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def share(texts: pa.Array) -> pa.Array:
-        tri, table = held.value
-        row, seen = batch_trigrams(texts)
-        at = np.searchsorted(tri, seen)
-        at[at == len(tri)] = 0
-        at = np.where(tri[at] == seen, at, len(tri)) if len(tri) else np.zeros(len(seen), np.int64)
-        n_langs = table.shape[1]
-        scores = np.stack([np.bincount(row, weights=table[at, k], minlength=len(texts)) for k in range(n_langs)], axis=1)
-        if base is not None:
-            scores = scores + base[0] + np.bincount(row, minlength=len(texts))[:, None] * base[1]
-        ends = np.arange(0, scores.size + 1, n_langs)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scores.reshape(-1)))
 
-    return share
+def language_scores(texts: pa.Array, known: np.ndarray, table: np.ndarray, prior: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Score of every text in every language."""
+    row, seen = batch_trigrams(texts)
+    at = np.searchsorted(known, seen)
+    at[at == len(known)] = 0
+    at = np.where(known[at] == seen, at, len(known)) if len(known) else np.zeros(len(seen), np.int64)
+    sums = [np.bincount(row, weights=table[at, k], minlength=len(texts)) for k in range(table.shape[1])]
+    return np.stack(sums, axis=1) + prior + np.bincount(row, minlength=len(texts))[:, None] * unseen
 
 
 class TrigramLanguageModel:
@@ -111,35 +119,68 @@ class TrigramLanguageModel:
     def load(cls, spark, path: str):
         return cls(spark.read.parquet(f"{path}/profile"), spark.read.parquet(f"{path}/langs"))
 
-    def predict(self, df: DataFrame, text_col: str = "text", out: str = "lang_pred", block: int = BLOCK_TRIGRAMS) -> DataFrame:
+    def predict(self, df: DataFrame, text_col: str = "text", out: str = "lang_pred", small: int = SMALL_PROFILE) -> DataFrame:
         """Adds ``out``: the best language, the first by name on a tie; blank
-        or NULL text, and texts under three characters, give "unknown"."""
+        or NULL text, and texts under three characters, give "unknown". A
+        profile of more than ``small`` rows is joined, not broadcast."""
         spark = df.sparkSession
         ship_package(spark)
         # one row per labelled language, as many as the caller's labels name
-        langs = self.langs.orderBy("lang").toArrow()
-        names = langs["lang"].to_pylist()
-        if not names:
+        langs = [(r.lang, r.prior, r.unseen) for r in self.langs.orderBy("lang").collect()]
+        if not langs:
             return df.withColumn(out, F.lit("unknown"))
-        prior, unseen = langs["prior"].to_numpy(), langs["unseen"].to_numpy()
-        rank = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1
-        profile = self.profile.select("tri", rank.cast("int").alias("code"), "lp_delta")
-        blocks = max(1, -(-self.profile.select(F.approx_count_distinct("tri")).first()[0] // block))
+        names = [r[0] for r in langs]
+        prior, unseen = (np.array([r[i] for r in langs]) for i in (1, 2))
+        code = (F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1).cast("int")
+        profile = self.profile.select("tri", code.alias("code"), "lp_delta")
         text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        scored, parts = df, []
-        for i in range(blocks):
-            rows = profile.where(F.pmod(F.hash("tri"), F.lit(blocks)) == i).toArrow()
-            tri, at = np.unique(rows["tri"].to_numpy(), return_inverse=True)
-            table = np.zeros((len(tri) + 1, len(names)))
-            table[at, rows["code"].to_numpy()] = rows["lp_delta"].to_numpy()
-            held = spark.sparkContext.broadcast((tri, table))
-
-            base = (prior, unseen) if i == 0 else None
-            scored = scored.withColumn(f"_vl{i}", _block_scores(held, base)(text))
-            parts.append(f"_vl{i}")
-        total = F.col(parts[0])
-        for p in parts[1:]:
-            total = F.zip_with(total, F.col(p), lambda a, b: a + b)
-        best = F.element_at(F.array(*map(F.lit, names)), F.array_position(total, F.array_max(total)).cast("int"))
         known = (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.length(text_col) >= 3)
-        return scored.withColumn(out, F.when(known, best).otherwise(F.lit("unknown"))).drop(*parts)
+        head = profile.limit(small + 1)
+        if head.count() <= small:
+            rows = spark.sparkContext.broadcast([tuple(r) for r in head.collect()])
+            best = _narrow_best(rows, prior, unseen, names)(text)
+            return df.withColumn(out, F.when(known, best).otherwise(F.lit("unknown")))
+        kept = materialize(df.withColumn("_vl_row", F.monotonically_increasing_id()))
+        slim = kept.where(known).select("_vl_row", text.alias("text"))
+        best = joined_best(slim, profile, prior, unseen, names)
+        return kept.join(best, "_vl_row", "left").withColumn(out, F.coalesce("_vl_best", F.lit("unknown"))).drop("_vl_row", "_vl_best")
+
+
+def _narrow_best(rows: Broadcast, prior: np.ndarray, unseen: np.ndarray, names: list[str]):
+    """UDF: a lower-cased text's best language under a broadcast profile."""
+    held: list = []
+
+    @F.arrow_udf(T.StringType())
+    def best(texts: pa.Array) -> pa.Array:
+        if not held:
+            tri, code, delta = (np.array(c) for c in zip(*rows.value)) if rows.value else (np.zeros(0, np.int64),) * 3
+            held.append(dense_profile(tri.astype(np.int64), code.astype(np.int64), delta, len(names)))
+        return pa.array(names).take(pa.array(language_scores(texts, *held[0], prior, unseen).argmax(axis=1)))
+
+    return best
+
+
+def joined_best(rows: DataFrame, profile: DataFrame, prior: np.ndarray, unseen: np.ndarray, names: list[str]) -> DataFrame:
+    """(``_vl_row``, lower-cased ``text``) to (``_vl_row``, ``_vl_best``) by a join
+    of each group's distinct trigrams with ``profile`` (tri, code, lp_delta)."""
+    grouped = rows.withColumn("_vl_group", F.floor(F.col("_vl_row") / GROUP_ROWS).cast("long"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            row, tri = batch_trigrams(batch.column(1))
+            for g in np.unique(groups):
+                mine = np.unique(tri[groups[row] == g])
+                yield pa.RecordBatch.from_arrays([pa.repeat(int(g), len(mine)), pa.array(mine)], names=["_vl_group", "tri"])
+
+    def score(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({"_vl_row": [], "_vl_best": []})
+        # a group that came in two batches may have asked twice
+        known, table = dense_profile(part["tri"].to_numpy(np.int64), part["code"].to_numpy(np.int64), part["lp_delta"].to_numpy(), len(names))
+        scores = language_scores(pa.array(texts["text"].tolist(), pa.string()), known, table, prior, unseen)
+        return pd.DataFrame({"_vl_row": texts["_vl_row"], "_vl_best": np.array(names, object)[scores.argmax(axis=1)]})
+
+    asked = grouped.select("_vl_group", "text").mapInArrow(wanted, "_vl_group long, tri long")
+    found = asked.join(profile, "tri").select("_vl_group", "tri", "code", "lp_delta")
+    return grouped.groupBy("_vl_group").cogroup(found.groupBy("_vl_group")).applyInPandas(score, "_vl_row long, _vl_best string")

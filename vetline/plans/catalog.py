@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from vetline.functions.rules import weak_labels
 from vetline.functions.timegeo import haversine_km, parse_dt
 from vetline.functions.users import gibberish_name
 from vetline.functions import terms as TM
+from vetline.operators import clean as CL
 from vetline.operators import evaluate as EV
 from vetline.operators import features as FE
 from vetline.operators import image as IM
@@ -36,9 +38,10 @@ from vetline.operators import policy as PO
 from vetline.operators import relevancy as RL
 from vetline.operators import split as S
 from vetline.operators import tfidf as TF
-from vetline.session import materialize
+from vetline.session import materialize, scratch_dir
 from vetline.sources import converters as CV
 from vetline.sources import readers as RD
+from vetline.sources import sinks as SK
 from vetline.operators import windows as W
 from vetline.plans import oracle as O
 from vetline.plans import jobs as JB
@@ -231,7 +234,7 @@ def _norm_cte() -> str:
     "(SELECT user_id, text_norm, count(DISTINCT place_id) AS n FROM rn WHERE user_id IS NOT NULL "
     "GROUP BY user_id, text_norm) g ON g.user_id = r.user_id AND g.text_norm = r.text_norm", _norm_cte()))
 def q_dup_across_places(spark: SparkSession, sf: str) -> DataFrame:
-    return W.dup_across_places(_norm_reviews_spark(spark, sf)).select("review_id", "dup_across_places")
+    return W.review_dup_flags(V.reviews(spark, sf), X.text_norm("text"), ["review_id"])
 
 
 @register("dup_groups", lambda: sql(
@@ -839,6 +842,193 @@ def q_train_sample_relevancy(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("review_id", r6("relevancy").alias("relevancy"))
 
 
+# ------------------------------------------------ sources, sinks, models, plug-ins
+
+@register("csv_round_trip", lambda: sql(
+    "SELECT r.review_id, r.place_id, r.place_name, r.text, r.rating, r.created_at, r.user_id, r.pics FROM rq r",
+    "rq AS (SELECT review_id, place_id, place_name, text || CASE abs(row_no) % 3 WHEN 0 THEN ' \"said\"' "
+    "WHEN 1 THEN concat(chr(10), '\",', chr(10), 'x\"') ELSE '' END AS text, rating, created_at, user_id, pics FROM reviews)"))
+def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews with more quotes and newlines, written as CSV and read back."""
+    r = V.reviews(spark, sf).withColumn("text", F.expr(
+        "concat(text, CASE abs(row_no) % 3 WHEN 0 THEN ' \"said\"' WHEN 1 THEN '\\n\",\\nx\"' ELSE '' END)"))
+    path = scratch_dir(spark, "reviews-csv")
+    cols = ["review_id", "place_id", "place_name", "text", "rating", "created_at", "user_id", "pics"]
+    SK.write_table(r.select(*cols), path, "csv")
+    return RD.read_reviews_csv(spark, path).select(*cols)
+
+
+@register("places_csv_round_trip", lambda: sql(
+    "SELECT place_id, place_name, place_category, city, description, place_lat, place_lon FROM places"))
+def q_places_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ["place_id", "place_name", "place_category", "city", "description", "place_lat", "place_lon"]
+    path = scratch_dir(spark, "places-csv")
+    SK.write_table(V.places(spark, sf).select(*cols), path, "csv")
+    back = RD.read_places_csv(spark, path)
+    return back.select(*[F.col(c).cast("double" if c in ("place_lat", "place_lon") else "string").alias(c) for c in cols])
+
+
+@register("split_sink", lambda: sql(
+    "SELECT r.row_no, r.review_id, r.text, sp.split FROM reviews r JOIN sp ON sp.place_id = r.place_id", _SPLIT_CTES))
+def q_split_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits written in files of bounded size, one split once more, and read back."""
+    r = materialize(V.reviews(spark, sf))
+    out = S.assign_split(r, S.place_split(r)).select("row_no", "review_id", "text", "split")
+    path = scratch_dir(spark, "splits")
+    SK.write_splits(out, path)
+    SK.write_splits(out.where("split = 'val'"), path)  # replaces that split only
+    return spark.read.parquet(path).select("row_no", "review_id", "text", "split")
+
+
+@register("prediction_sink", lambda: sql(
+    "SELECT review_id, CASE WHEN labels = '' THEN '[]' ELSE concat('[\"', replace(labels, '|', '\",\"'), '\"]') END AS labels, "
+    + ", ".join(f"CAST(p_{k} AS DOUBLE) AS p_{k}" for k in LABEL_KEYS) + f", {O.q(RATIONALE)} AS rationale FROM pr", _pred_ctes()))
+def q_prediction_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction records through the CSV sink: lists and maps come back as JSON."""
+    path = scratch_dir(spark, "predictions")
+    SK.write_predictions(_rule_predictions(spark, sf), path, "csv")
+    back = RD.read_csv(spark, path)
+    conf = F.from_json("confidences", "map<string,double>")
+    return back.select("review_id", "labels", *[conf[lab].alias(f"p_{k}") for k, lab in zip(LABEL_KEYS, LABELS)], "rationale")
+
+
+_COPIES = ("SELECT doc_id % 50 AS k, lang, source FROM documents UNION ALL SELECT doc_id, lang, source FROM documents "
+           "UNION ALL SELECT 7 AS k, 'a \"q\"' AS lang, NULL AS source FROM documents WHERE doc_id % 3 = 0")
+_ROW_JSON = ("concat('{', concat_ws(',', '\"k\":' || CAST(k AS VARCHAR), '\"lang\":' || CAST(to_json(lang) AS VARCHAR), "
+             "'\"source\":' || CAST(to_json(source) AS VARCHAR)), '}')")
+
+
+@register("content_ids", lambda: sql(
+    "SELECT concat('doc_', h, CASE WHEN n > 1 THEN concat('-', CAST(n AS VARCHAR)) ELSE '' END) AS row_id, k, lang, source "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY k) AS n FROM (SELECT *, md5(j) AS h FROM jt))",
+    f"ct AS ({_COPIES}), jt AS (SELECT *, {_ROW_JSON} AS j FROM ct)"))
+def q_content_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Content ids of rows that repeat, one of them in a third of the table."""
+    V.register_tables(spark, sf, ("documents",))
+    return CV.content_ids(spark.sql(_COPIES.replace("'a \"q\"'", "'a \\\"q\\\"'")), "doc_", "row_id").select("row_id", "k", "lang", "source")
+
+
+# Compatibility characters and what NFKC makes of them.
+_NFKC = {"\uff34\uff45": "Te", "\ufb01": "fi", "\u2460": "1", "e\u0301": "\u00e9", "\uff76\uff9e": "\u30ac", "\u212b": "\u00c5",
+         "\u00bd": "1\u20442", "\u1112\u1161\u11ab": "\ud55c", "\u2002": " ", "\u03d2\u0301": "\u038e", "\u0958": "\u0915\u093c"}
+
+
+def _nfkc_text(parts: list[str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(parts))
+    return f"concat(text, ' ', CASE doc_id % {len(parts) + 2} {cases} ELSE '\u00e9\u4e2d\u6587 \U0001f600' END, ' ', lang)"
+
+
+@register("nfkc", lambda: f"SELECT doc_id, md5({_nfkc_text(list(_NFKC.values()))}) AS nfkc_md5 FROM documents")
+def q_nfkc(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with a compatibility character of some script appended."""
+    V.register_tables(spark, sf, ("documents",))
+    docs = spark.sql(f"SELECT doc_id, {_nfkc_text(list(_NFKC))} AS text FROM documents")
+    return docs.select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("nfkc_md5"))
+
+
+_TRANSLATED = "CASE WHEN lang NOT IN ('en', 'unknown') AND trim(text) <> '' THEN concat('[', lang, '] ', replace(text, 'e', '(e)')) ELSE text END"
+
+
+@register("translated_reviews", lambda: sql(
+    f"SELECT row_no, md5({_TRANSLATED}) AS text_md5, first_run FROM rt",
+    "rl AS (SELECT r.row_no, r.text, d.lang FROM reviews r LEFT JOIN documents d ON d.doc_id = r.doc_id), "
+    "rt AS (SELECT row_no, text, lang, CASE WHEN lang NOT IN ('en', 'unknown') AND trim(text) <> '' "
+    "THEN bool_or(row_no % 2 = 0) OVER (PARTITION BY lang, text) END AS first_run FROM rl)"))
+def q_translated_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the reviews are translated in one run, all in a second one that
+    sends only what the first has not; ``first_run`` tells which run sent it."""
+    docs = V.load(spark, sf, "documents").select("doc_id", "lang")
+    r = materialize(V.reviews(spark, sf).select("row_no", "doc_id", "text").join(docs, "doc_id", "left"))
+    path = scratch_dir(spark, "translations")
+
+    def translate(texts, langs):
+        return "[" + langs + "] " + texts.str.replace("e", "(e)")
+
+    CL.translated(r.where("row_no % 2 = 0"), translate, path).write.format("noop").mode("overwrite").save()
+    known = materialize(CL.translation_table(spark, path).select("digest", F.lit(True).alias("early")))
+    out = CL.translated(r, translate, path)
+    key = CL.text_key(F.col("text"), F.col("lang"))
+    sent = ~F.coalesce(F.col("lang"), F.lit("unknown")).isin("en", "unknown") & (F.trim("text") != "")
+    return (out.withColumn("digest", F.when(sent, key)).join(known, "digest", "left")
+            .select("row_no", F.md5("text_model").alias("text_md5"),
+                    F.when(F.col("digest").isNotNull(), F.coalesce("early", F.lit(False))).alias("first_run")))
+
+
+@register("scorer_relevancy", lambda: sql(
+    "SELECT row_no, round(1.0 / (1.0 + exp(-s)), 6) AS relevancy FROM sc",
+    _EVAL_PAIRS.format(desc=O.place_desc("p.place_name", "p.place_category", "p.city", "p.description")) + ", "
+    "sc AS (SELECT row_no, ((length(t) * 7 + length(d) * 3) % 101) / 10.0::DOUBLE - 3.0::DOUBLE AS s FROM pairs)"))
+def q_scorer_relevancy(spark: SparkSession, sf: str) -> DataFrame:
+    """A pair scorer made in the worker; its scores lie outside [0, 1], so the
+    batch is calibrated."""
+    def make():
+        return lambda texts, descs: ((texts.str.len() * 7 + descs.str.len() * 3) % 101) / 10.0 - 3.0
+
+    pairs = LK.eval_pairs(V.reviews(spark, sf), V.places(spark, sf))
+    scored = RL.relevancy(materialize(pairs), "text", "place_desc", make_scorer=make)
+    return scored.select("row_no", r6("relevancy").alias("relevancy"))
+
+
+_DOC_TERMS = (f"rt AS (SELECT doc_id AS row_no, {{toks}} AS toks FROM documents), "
+              "a AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest({terms}) AS term FROM rt) GROUP BY row_no, term), "
+              "v AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM a GROUP BY term ORDER BY ttf DESC, term ASC LIMIT 20000), "
+              "w AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS code, "
+              "ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM v), "
+              "x AS (SELECT a.row_no, w.term, w.code, a.tf * w.idf AS x FROM a JOIN w ON w.term = a.term), "
+              "u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY row_no)) AS wt FROM x)")
+
+
+def _doc_terms() -> str:
+    return _DOC_TERMS.format(toks=O.tokens("text"), terms=O.terms_list("toks"))
+
+
+def _doc_vocabulary(spark: SparkSession, sf: str):
+    docs = V.load(spark, sf, "documents")
+    return docs, *TF.gathered_vocabulary(materialize(TF.fit_vocabulary(docs, "text", CLASSIFIER_VOCAB)), CLASSIFIER_VOCAB)
+
+
+@register("tfidf_vectors", lambda: sql(
+    "SELECT rt.row_no AS doc_id, CAST(count(u.code) AS BIGINT) AS n_terms, round(coalesce(sum(wt), 0.0), 5) AS weight_sum, "
+    "round(coalesce(max(wt), 0.0), 5) AS weight_max, CAST(coalesce(sum(code), 0) AS BIGINT) AS code_sum, "
+    "round(coalesce(sum(wt * (code % 97)), 0.0), 4) AS weighted_codes "
+    "FROM rt LEFT JOIN u ON u.row_no = rt.row_no GROUP BY rt.row_no", _doc_terms()))
+def q_tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit TF-IDF vectors of all documents over the 20,000 most frequent terms."""
+    docs, terms, idf = _doc_vocabulary(spark, sf)
+    v = docs.select("doc_id", TF.vector_column("text", terms, idf).alias("v")).select("doc_id", "v.*")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return v.select(
+        "doc_id", big(F.size("codes")).alias("n_terms"), F.round(total("weights"), 5).alias("weight_sum"),
+        F.round(F.coalesce(F.array_max("weights"), F.lit(0.0)), 5).alias("weight_max"),
+        F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"),
+        F.round(total(F.zip_with("weights", "codes", lambda w, c: w * (c % 97))), 4).alias("weighted_codes"))
+
+
+_GIVEN = {"ad": "(code % 13 - 6) * 4.0", "irr": "(code % 7 - 3) * 2.0", "rant": "(code % 29 - 14) * 1.5"}
+
+
+@register("model_round_trip", lambda: sql(
+    "SELECT doc_id, " + ", ".join(f"round(p_{k}, 6) AS p_{k}" for k in LABEL_KEYS) + " FROM pb",
+    _doc_terms() + ", pb AS (SELECT rt.row_no AS doc_id, "
+    + ", ".join(f"1.0 / (1.0 + exp(-(coalesce(sum(wt * ({w})), 0.0) + 0.25))) AS p_{k}" for k, w in _GIVEN.items())
+    + ", 1.0::DOUBLE AS p_spam FROM rt LEFT JOIN u ON u.row_no = rt.row_no GROUP BY rt.row_no)"))
+def q_model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A model with given weights saved as the middle one of three runs, of which
+    the last was never committed; the newest committed one scores all documents."""
+    docs, terms, idf = _doc_vocabulary(spark, sf)
+    code = np.arange(len(terms))
+    weights = np.zeros((len(terms) + 1, len(LABEL_KEYS)))
+    for j, m, h, f in ((0, 13, 6, 4.0), (1, 7, 3, 2.0), (2, 29, 14, 1.5)):
+        weights[:-1, j], weights[-1, j] = (code % m - h) * f, 0.25
+    constants = {"ad": None, "irr": None, "rant": None, "spam": 1.0}
+    folder = scratch_dir(spark, "models")
+    ML.MultiLabelModel(terms, idf, weights * 0, constants).save(f"{folder}/multilabel_a")
+    ML.MultiLabelModel(terms, idf, weights, constants).save(f"{folder}/multilabel_b")
+    docs.select("doc_id").write.parquet(f"{folder}/multilabel_c/weights")
+    model = ML.MultiLabelModel.load(ML.latest_model_dir(spark, folder))
+    return model.transform(docs).select("doc_id", *[r6(f"p_{k}").alias(f"p_{k}") for k in LABEL_KEYS])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

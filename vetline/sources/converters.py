@@ -7,12 +7,17 @@ same under any file layout and differs between sources.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vetline.functions.pics import coerce_pics
 from vetline.functions.rules import label_coerce, label_coerce_string
 from vetline.functions.users import trim_ws
+from vetline.session import materialize, ship_package
 
 # Candidate column names of labelled fake/real sets.
 TEXT_CANDIDATES = ("text", "review", "content", "opinion")
@@ -28,16 +33,45 @@ def _falsy_to_empty(v: Column) -> Column:
     return F.when(F.coalesce(empty, F.lit(False)), F.lit("")).otherwise(F.coalesce(s, F.lit("")))
 
 
+@F.arrow_udf(T.LongType())
+def _nth_in_partition(digests: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """How many equal digests this partition has had, this one included; one
+    counter per distinct digest of the partition is held."""
+    seen: dict[str, int] = {}
+    for batch in digests:
+        out = []
+        for d in batch.to_pylist():
+            seen[d] = n = seen.get(d, 0) + 1
+            out.append(n)
+        yield pa.array(out, pa.int64())
+
+
+def content_ids(df: DataFrame, prefix: str, out: str = "_row_id") -> DataFrame:
+    """``df`` with ``out``: md5 of the row as JSON, and ``-2``, ``-3``, ... for
+    the further copies of a row.
+
+    Any column type will do. Copies are numbered where they stand; only digests
+    that several partitions hold are shifted, by what the partitions before have
+    of them: a join with one row per such digest and partition, in which even
+    one row repeated all over the table is spread over the partitions."""
+    spark = df.sparkSession
+    ship_package(spark)
+    hashed = df.withColumn("_vi_digest", F.md5(F.to_json(F.struct(*df.columns))))
+    kept = materialize(hashed.withColumns({"_vi_part": F.spark_partition_id(), "_vi_nth": _nth_in_partition("_vi_digest")}))
+    held = kept.groupBy("_vi_digest", "_vi_part").agg(F.count(F.lit(1)).alias("_vi_n"))
+    before = F.sum("_vi_n").over(Window.partitionBy("_vi_digest").orderBy("_vi_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = held.select("_vi_digest", "_vi_part", before.alias("_vi_before")).where("_vi_before is not null")
+    copy = F.col("_vi_nth") + F.coalesce("_vi_before", F.lit(0))
+    tail = F.when(copy > 1, F.concat(F.lit("-"), copy.cast("string"))).otherwise(F.lit(""))
+    return (kept.join(shifts, ["_vi_digest", "_vi_part"], "left").withColumn(out, F.concat(F.lit(prefix), "_vi_digest", tail))
+            .select(*df.columns, out))
+
+
 def _with_row_id(df: DataFrame, prefix: str, id_col: str | None) -> DataFrame:
-    """``df`` with ``_row_id``. Without ``id_col``: md5 of the row as JSON, and
-    ``-2``, ``-3``, ... for the further copies of a row."""
+    """``df`` with ``_row_id``: ``id_col``, or :func:`content_ids` without one."""
     if id_col:
         return df.withColumn("_row_id", F.concat(F.lit(prefix), F.col(id_col).cast("string")))
-    hashed = df.withColumn("_row_id", F.md5(F.to_json(F.struct(*df.columns))))
-    copies = hashed.groupBy(*df.columns, "_row_id").agg(F.count(F.lit(1)).alias("_copies"))
-    spread = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    tail = F.when(F.col("_copy") > 1, F.concat(F.lit("-"), F.col("_copy").cast("string"))).otherwise(F.lit(""))
-    return spread.withColumn("_row_id", F.concat(F.lit(prefix), "_row_id", tail)).drop("_copies", "_copy")
+    return content_ids(df, prefix)
 
 
 def convert_mcauley(objs: DataFrame, obj_col: str = "obj", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -5,23 +5,27 @@ from __future__ import annotations
 import re
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.functions.users import trim_ws
+from vetline.sources.csvlines import read_records, unreadable
 from vetline.sources.files import entries, exists
 from vetline.schema import PLACE_SCHEMA, REVIEW_SCHEMA
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema=None, recursive: bool = True) -> DataFrame:
-    """RFC-4180 CSV with header, doubled quotes and embedded newlines.
-    ``multiLine`` files cannot be split, so ingest them once (e.g. to
-    parquet) before heavy work; gzip is read natively."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE"))
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    """RFC-4180 CSV with header, doubled quotes and embedded newlines, every
+    column text unless ``schema`` names types. A large file is read by many
+    tasks (:mod:`vetline.sources.csvlines`); gzip is read by one and spread
+    behind it. Blank lines are left out; without any record there are no
+    columns but those of ``schema``."""
+    out, _ = read_records(spark, path, recursive)
+    if out is None:
+        out = spark.createDataFrame([], schema or "struct<>")
+    return out if schema is None else _typed(out, schema)
 
 
 def _typed(raw: DataFrame, schema) -> DataFrame:
@@ -62,31 +66,25 @@ def read_csv_folder(spark: SparkSession, folder: str,
                     skip_words: tuple[str, ...] = ("train", "val", "test")) -> tuple[DataFrame | None, list[str]]:
     """Every CSV (also ``.csv.gz``) directly in ``folder`` whose name contains
     none of ``skip_words``, combined by column name (missing columns NULL,
-    duplicates kept), and the names of the files left out because they hold no
-    header. A file that cannot be read raises.
+    duplicates kept), and the names of the files left out because they cannot be
+    read to their end or hold no record.
 
-    One job finds all headers; files that share one are read together, so the
-    plan grows with the number of distinct headers and not with the files."""
+    All files are read in one job; only if that fails are the broken ones
+    searched, by halving, and the others read again."""
     files = {e.path: e.name for e in entries(spark, folder)
              if not e.is_dir and re.search(r"\.csv(\.gz)?$", e.name) and not any(w in e.name for w in skip_words)}
-    if not files:
-        return None, []
-    lines = spark.read.text(list(files)).select(
-        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
-    headers = {r.path.rpartition("/")[2]: r.header for r in lines.groupBy("path").agg(F.min_by("value", "n").alias("header")).collect()}
-    by_header: dict[str, list[str]] = {}
-    skipped = []
-    for path, name in files.items():
-        header = headers.get(quote(name), headers.get(name))
-        if header is None:
-            skipped.append(name)
-        else:
-            by_header.setdefault(header.strip().lstrip("\ufeff"), []).append(path)
-    out = None
-    for paths in by_header.values():
-        part = read_csv(spark, paths, recursive=False)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out, skipped
+    skipped: list[str] = []
+    try:
+        out, headers = read_records(spark, list(files), False) if files else (None, {})
+    except (PySparkException, Py4JJavaError):
+        broken = unreadable(spark, list(files))
+        if not broken:
+            raise
+        skipped = [files.pop(f) for f in broken]
+        out, headers = read_records(spark, list(files), False) if files else (None, {})
+    held = {h.rpartition("/")[2] for h in headers}
+    skipped += [name for name in files.values() if not held & {name, quote(name)}]
+    return out, sorted(skipped)
 
 
 def read_lexicon(spark: SparkSession, path: str | None) -> DataFrame | None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FILE_BYTES = 128 << 20
+
 
 def _csv_safe(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs are written as JSON text in CSV."""
@@ -16,11 +20,39 @@ def _csv_safe(df: DataFrame) -> DataFrame:
     return out
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: its texts and nested values as JSON, 8 bytes for
+    every other column."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if isinstance(f.dataType, T.StringType)
+             else F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0))
+             if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.lit(8) for f in df.schema.fields]
+    return sum(sizes, F.lit(0)).cast("long")
+
+
+def spread_by_size(df: DataFrame, partition_by: list[str], file_bytes: int) -> DataFrame:
+    """Rows dealt so that a task holds about ``file_bytes`` of one partition
+    value: as many shares as the value's measured bytes ask for, so that a value
+    with a third of all rows is many tasks and a small one is one file."""
+    names = [f"_vs_{i}" for i in range(len(partition_by))]
+    sizes = df.select(*[F.col(c).alias(n) for c, n in zip(partition_by, names)], row_bytes(df).alias("_vs_bytes")).groupBy(*names).agg(
+        F.ceil(F.sum("_vs_bytes") / file_bytes).cast("long").alias("_vs_shares"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(partition_by, names)]
+    dealt = df.join(sizes, reduce(lambda a, b: a & b, same)).drop(*names)
+    share = F.pmod(F.monotonically_increasing_id(), F.greatest("_vs_shares", F.lit(1)))
+    return dealt.withColumn("_vs_share", share).repartition(*partition_by, "_vs_share").drop("_vs_share", "_vs_shares")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-                mode: str = "overwrite") -> None:
-    w = (_csv_safe(df) if fmt == "csv" else df).write.mode(mode)
+                mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+    """Write ``df``. With ``partition_by`` each value gets files of about
+    ``file_bytes`` (``df`` is read twice), and "overwrite" replaces only the
+    values that ``df`` holds."""
+    df = _csv_safe(df) if fmt == "csv" else df
+    if partition_by:
+        df = spread_by_size(df, partition_by, file_bytes)
+    w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
@@ -30,7 +62,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 
 def write_splits(df_with_split: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per split (``split=train|val|test``) in one pass."""
+    """One folder per split (``split=train|val|test``), files of bounded size."""
     write_table(df_with_split, path, fmt, partition_by=["split"])
 
 
