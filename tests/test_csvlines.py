@@ -22,7 +22,7 @@ def _write(folder, name, text):
 
 def test_line_functions():
     cases = {'a,b': (False, True), 'a,"b': (True, False), '"': (True, False), 'a"b,c': (False, False), '"a""b",c': (False, False),
-             '""': (False, True), '","': (False, True), 'x",y,"z': (True, True), '"a"x,"b': (True, False), '': (False, True)}
+             '""': (False, True), '","': (False, True), 'x",y,"z': (True, True), '"a"x,"b': (True, True), '': (False, True)}
     for line, want in cases.items():
         assert (ends_inside(line, False), ends_inside(line, True)) == want, line
 

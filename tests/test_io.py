@@ -187,6 +187,7 @@ def test_fit_in_many_blocks_and_tasks(spark, monkeypatch):
     df = add_weak_labels(spark.createDataFrame(rows, "review_id string, text string")).repartition(7)
     whole = MultiLabelModel.fit(df, tol=1e-12)
     monkeypatch.setattr(logistic, "BLOCK_VALUES", 20)
+    monkeypatch.setattr(logistic, "DIRECT_TASKS", 0)
     parts = MultiLabelModel.fit(df, tol=1e-12)
     assert whole.terms == parts.terms and np.abs(whole.weights - parts.weights).max() < 1e-4
 

@@ -53,7 +53,7 @@ def _line_functions(sep: str):
         return pa.StructArray.from_arrays([
             pa.array([None if t is None else ends_inside(t, start, sep) for t in texts], pa.bool_()) for start in (False, True)],
             ["out", "inn"])
-    return both
+    return both.asNondeterministic()  # evaluated once, though both fields are read
 
 
 def csv_lines(spark: SparkSession, paths: str | list[str], recursive: bool, sep: str) -> DataFrame:
