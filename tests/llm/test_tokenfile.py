@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -29,6 +30,19 @@ def test_same_ids_as_the_library(known):
         assert got == known.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_another_file_goes_through_the_library():
+    spec = open(PATH, encoding="utf-8").read()
+    assert WordEncoder(spec).known
+    parsed = json.loads(spec)
+    parsed["normalizer"]["normalizers"] = parsed["normalizer"]["normalizers"][:2]
+    other = json.dumps(parsed)
+    whole, own = Tokenizer.from_str(other), WordEncoder(other)
+    assert not own.known
+    for text in ("Word Two", "ABC def\n  x", "", "don't É"):
+        got = np.frombuffer(own.encode(text.encode()), own.kind).tolist()
+        assert got == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_hash_is_minimal_and_perfect():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 20_000):

@@ -17,6 +17,7 @@ few array reads and one ranged read of a shard, whatever the corpus size.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -44,6 +45,17 @@ MEMO_ENTRIES = 400_000
 
 # ---- encoding -------------------------------------------------------------
 
+# The parts of a tokenizers file that the short cut stands for.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "padding": None,
+}
+
 # Letters, digits and marks whose normalisation and lower case are the same in
 # every library: printable ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -64,7 +76,11 @@ class WordEncoder:
     White space always ends a pre-token and leaves no id, so a text's ids are
     those of its chunks; each distinct chunk is encoded once per worker and
     remembered. Plain chunks go to the library's model pre-token by pre-token,
-    all others (and any that may hold a special token) to its whole pipeline."""
+    all others (and any that may hold a special token) to its whole pipeline.
+
+    That holds for files whose normaliser and pre-tokenizer are the ones below
+    (:data:`KNOWN`); with any other file every text goes to the library's
+    pipeline as a whole."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +90,10 @@ class WordEncoder:
         top = max(self.tokenizer.get_vocab().values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.shown = _byte_characters()
+        parsed = json.loads(spec)
+        self.known = all(parsed.get(k) == v for k, v in KNOWN.items()) and parsed["model"]["type"] == "BPE" and not any(
+            parsed["model"].get(k) for k in ("dropout", "byte_fallback", "ignore_merges")) and not any(
+            "<|" not in t["content"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in parsed.get("added_tokens") or [])
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -98,6 +118,8 @@ class WordEncoder:
 
     def encode(self, raw: bytes) -> bytes:
         """Packed ids of a UTF-8 text."""
+        if not self.known:
+            return self._packed(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
         words, memo = raw.split(), self.chunks
         found = list(map(memo.get, words))
         if None in found:
