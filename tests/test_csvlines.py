@@ -91,9 +91,9 @@ def test_one_file_is_read_by_many_tasks(spark):
 
 
 def test_round_trip_through_the_sink(spark):
-    rows = [(1, 'a "quoted" one', ["x", "y"]), (2, "two\nlines, and\r\nmore", []), (3, "", None), (4, None, ["z"])]
+    rows = [(1, 'a "quoted" one', ["x", "y"]), (2, "two\nlines, and\r\nmore", []), (3, "", None), (4, None, ["z"]), (5, " ends \n", None)]
     d = tempfile.mkdtemp(prefix="vetline-csv-")
     write_table(spark.createDataFrame(rows, "id int, text string, tags array<string>"), f"{d}/t", "csv")
     df, _ = read_records(spark, f"{d}/t")
     got = {int(r.id): (r.text, r.tags) for r in df.collect()}
-    assert got == {1: ('a "quoted" one', '["x","y"]'), 2: ("two\nlines, and\r\nmore", "[]"), 3: ("", None), 4: (None, '["z"]')}
+    assert got == {1: ('a "quoted" one', '["x","y"]'), 2: ("two\nlines, and\r\nmore", "[]"), 3: ("", None), 4: (None, '["z"]'), 5: (" ends \n", None)}

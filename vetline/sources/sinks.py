@@ -54,7 +54,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # white space at the ends of a value belongs to it
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
