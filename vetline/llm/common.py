@@ -36,8 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_uri(folder: str) -> str:
+    """A Hadoop folder as the URI that Arrow's file systems know."""
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", folder))
+
+
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder of the shared store, for use in tasks."""
     if re.match(r"\w+:", folder):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+        return fs.FileSystem.from_uri(store_uri(folder))
     return fs.LocalFileSystem(), folder
