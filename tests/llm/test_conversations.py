@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,14 @@ def test_empty_table_and_a_conversation_that_is_dropped(spark, tmp_path):
     assert of(op13_conversation_repair(spark, f"{tmp_path}/b")) == {gone: (0, 0, 0, 0, 0, 0, "", EMPTY)}
 
 
+def test_sql_agrees_with_brute_force():
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    rows = made_up(60, 8) + made_up(10, 9)
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.execute(C.OP13_SQL).fetchall()} == brute(rows)
+
+
 def test_whole_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

@@ -429,3 +429,77 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(told, "conv", "left").select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+# The same by recursion row by row: costs from the last row to the first, then
+# the edits from the first to the last; crc32 bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, coalesce('=' || conv_id::VARCHAR, '-') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), hurt AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM (SELECT *, (4294967295 - list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(8 * length(k)),
+        lambda b: CASE WHEN b % 8 = 0 THEN ord(substr(k, (b // 8 + 1)::INT, 1))::BIGINT ELSE 0::BIGINT END)),
+      lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) >> 1, 3988292384::BIGINT) ELSE xor(c, b) >> 1 END)) % 20 AS kind
+    FROM told)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS cls
+  FROM hurt
+), rows_ AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    count(*) OVER (PARTITION BY conv) AS n,
+    lag(cls) OVER (PARTITION BY conv ORDER BY i) || cls AS pair
+  FROM placed
+), marked AS MATERIALIZED (
+  SELECT conv, i, n, role, text, cls, coalesce(fault IN ('blank', 'duplicate'), false) AS doomed, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS e FROM rows_
+), back AS (
+  SELECT DISTINCT conv, n + 1 AS i, [0, 10, 5, 0] AS v FROM marked
+  UNION ALL
+  SELECT conv, i, [least(r[1], 5 + r[3], 10 + r[4]), least(r[2], 5 + r[3], 10 + r[4]), least(r[3], 5 + r[4]), least(r[4], 5 + r[3], 10 + r[4])]
+  FROM (SELECT m.conv, m.i, [
+      least(2 + v[1], CASE WHEN NOT doomed THEN 1 + e + v[3] END, CASE WHEN NOT doomed AND cls = 's' THEN e + v[2] WHEN NOT doomed AND cls = 'u' THEN e + v[3] END),
+      least(2 + v[2], CASE WHEN NOT doomed THEN 1 + e + v[3] END, CASE WHEN NOT doomed AND cls = 'u' THEN e + v[3] END),
+      least(2 + v[3], CASE WHEN NOT doomed THEN 1 + e + v[4] END, CASE WHEN NOT doomed AND cls = 'a' THEN e + v[4] END),
+      least(2 + v[4], CASE WHEN NOT doomed THEN 1 + e + v[3] END, CASE WHEN NOT doomed AND cls = 'u' THEN e + v[3] END)] AS r
+    FROM back b JOIN marked m ON m.conv = b.conv AND m.i = b.i - 1)
+), costs AS MATERIALIZED (SELECT * FROM back), walk AS (
+  SELECT DISTINCT conv, 1::BIGINT AS i, n, 1 AS s, '' AS audit, []::VARCHAR[] AS lines FROM marked
+  UNION ALL
+  SELECT conv, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, n,
+    CASE edit WHEN 'D' THEN s WHEN 'K' THEN CASE cls WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE t END,
+    audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      WHEN 'R' THEN list_append(lines, wanted || ':' || text) ELSE list_append(lines, wanted || ':') END
+  FROM (
+    SELECT w.*, m.role, m.text, m.cls, CASE WHEN s = 3 THEN 4 ELSE 3 END AS t, CASE WHEN s = 3 THEN 'assistant' ELSE 'user' END AS wanted,
+      CASE WHEN 2 + x.v[s] = c.v[s] THEN 'D'
+        WHEN c.v[s] = 5 + c.v[CASE WHEN s = 3 THEN 4 ELSE 3 END] THEN 'I'
+        WHEN NOT m.doomed AND (m.cls = 's' AND s = 1 AND m.e + x.v[2] = c.v[s] OR m.cls = 'u' AND s <> 3 AND m.e + x.v[3] = c.v[s]
+          OR m.cls = 'a' AND s = 3 AND m.e + x.v[4] = c.v[s]) THEN 'K'
+        WHEN m.i IS NOT NULL THEN 'R' END AS edit
+    FROM walk w JOIN costs c ON c.conv = w.conv AND c.i = w.i
+    LEFT JOIN costs x ON x.conv = w.conv AND x.i = w.i + 1
+    LEFT JOIN marked m ON m.conv = w.conv AND m.i = w.i)
+  WHERE edit IS NOT NULL
+), ended AS (
+  SELECT conv, audit, lines FROM walk WHERE i = n + 1 AND s IN (1, 4)
+  QUALIFY row_number() OVER (PARTITION BY conv ORDER BY length(audit)) = 1
+), stats AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv
+)
+SELECT t.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(c.v[1], 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM told) t
+LEFT JOIN stats USING (conv) LEFT JOIN ended USING (conv) LEFT JOIN costs c ON c.conv = t.conv AND c.i = 1
+"""

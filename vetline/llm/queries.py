@@ -30,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_tool_calls": toolcalls.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
