@@ -119,5 +119,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_tables(spark, sf_dir, ("part", "documents"))
+    # the statement names the tables of both views
+    register_tables(spark, sf_dir, ("part", "events", "customer", "documents", "nation"))
     return spark.sql(with_views("spark", select="SELECT * FROM places"))
