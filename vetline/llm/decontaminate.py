@@ -215,7 +215,7 @@ hit AS (
   FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM found) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id),
 tokens AS (
   SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
 counts AS (SELECT lower(word) AS k, count(*) AS n FROM tokens GROUP BY 1),
