@@ -232,14 +232,14 @@ anchors AS (
   FROM ranked a JOIN ranked c ON a.iid = c.iid AND a.s = c.s AND a.r = 1 AND c.r = least(2, c.of)),
 places AS (SELECT doc_id, lower(word) AS k, p FROM tokens WHERE lower(word) IN (SELECT k1 FROM anchors UNION SELECT k2 FROM anchors)),
 met AS (
-  SELECT DISTINCT x.doc_id, a.iid, a.s, x.p AS at
+  SELECT DISTINCT x.doc_id, a.iid, a.s, x.p AS spot
   FROM anchors a JOIN places x ON x.k = a.k1
   JOIN places y ON y.k = a.k2 AND y.doc_id = x.doc_id AND abs((y.p - a.p2) - (x.p - a.p1)) <= {SLOP}
                 AND (a.p1 <> a.p2 OR x.p = y.p)),
 nearby AS (
   SELECT DISTINCT met.doc_id, CAST(rows.item_id AS VARCHAR) AS id
   FROM met JOIN rows USING (iid) JOIN d USING (doc_id)
-  WHERE len(list_intersect(list_slice(d.w, greatest(at - {WINDOW - 1}, 1), at + {WINDOW - 1}),
+  WHERE len(list_intersect(list_slice(d.w, greatest(spot - {WINDOW - 1}, 1), spot + {WINDOW - 1}),
                            list_slice(rows.w, s, s + size - 1)))
         >= ceil(len(list_distinct(list_slice(rows.w, s, s + size - 1))) * {NEAR_SHARE}) AND item_id IS NOT NULL),
 near_items AS (
