@@ -1,8 +1,12 @@
 """Row-level text features on own texts with values worked out by hand."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vetline.operators.features import add_row_features
+from vetline.functions import patterns as P
 from vetline.functions.rules import weak_labels
 from vetline.functions import text as X
 
@@ -81,3 +85,37 @@ def test_normalize_text_cases(spark):
     got = {r["t"]: r["n"] for r in df.select("t", X.normalize_text("t").alias("n")).collect()}
     for k, v in cases.items():
         assert got[k] == v, repr(k)
+
+
+def test_folded_letters_of_case_insensitive_rules(spark):
+    texts = ["big ſale", "DıSCOUNT", "İ DID NOT GO", "I neverſ been", "Never Been", "10 %　OFF", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    plain = df.select("i", t.rlike(P.promo_pattern()).alias("p"), t.rlike(P.never_been_pattern()).alias("n"))
+    got = df.select("i", X.promo_terms("text").alias("p"), X.never_been_cues("text").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert [r.p for r in got.orderBy("i").collect()] == [True, True, False, False, False, True, False]
+
+
+def test_normalised_words_and_entropy_in_slices(spark, monkeypatch):
+    texts = ["a\u0085b\u001cc  d ", "x &lt;b&gt; <i>y</i>\n<not\na tag> ﬁne", "", None, "　 ", "\U0001f600\U0001f600 ab" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = df.select("i", X.word_len("text").alias("w"), X.text_norm("text").alias("n")).orderBy("i").collect()
+    assert [r.w for r in rows] == [len((t or "").split()) for t in texts]
+    assert rows[0].n == "a b c d" and rows[1].n == "x y <not a tag> fine" and rows[4].n == ""
+    plan = df.select(X.text_norm("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan  # one pass in an Arrow batch
+    array = pa.array(texts * 3)
+    whole = X._entropy_udf.func(array).to_pylist()
+    monkeypatch.setattr(X, "SLICE_CHARS", 100)
+    assert X._entropy_udf.func(array).to_pylist() == whole
+    monkeypatch.setattr(X, "TABLE_CELLS", 0)
+    assert X._entropy_udf.func(array).to_pylist() == whole
+
+
+def test_row_slices_bound_what_a_task_holds():
+    sizes = np.array([3, 0, 9, 1, 1, 20, 0])
+    cuts = list(X.row_slices(sizes, 5))
+    assert [i for a, b in cuts for i in range(a, b)] == list(range(len(sizes)))
+    assert all(sizes[a:b].sum() <= 5 or b - a == 1 for a, b in cuts)
+    assert list(X.row_slices(np.zeros(0, int), 5)) == []
