@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vetline.session import materialize, ship_package
+from vetline.functions.text import SLICE_CHARS, row_slices, text_sizes
+from vetline.session import materialize, ship_package, stored_rows
 
 # Rows of (language, trigram) that may be broadcast: 24 bytes each.
 SMALL_PROFILE = 500_000
@@ -58,12 +59,14 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
-            rows, tri = batch_trigrams(batch.column(1))
-            lang = coded.indices.to_numpy(zero_copy_only=False)[rows]
-            for code, name in enumerate(coded.dictionary):
-                values, counts = np.unique(tri[lang == code], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(name, len(values)), pa.array(values), pa.array(counts.astype(np.int64))], names=["lang", "tri", "c"])
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for a, b in row_slices(text_sizes(batch.column(1)), SLICE_CHARS):
+                rows, tri = batch_trigrams(batch.column(1).slice(a, b - a))
+                lang = codes[a:b][rows]
+                for code, name in enumerate(coded.dictionary):
+                    values, counts = np.unique(tri[lang == code], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(name, len(values)), pa.array(values), pa.array(counts.astype(np.int64))], names=["lang", "tri", "c"])
 
     slim = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
@@ -81,6 +84,11 @@ def dense_profile(tri: np.ndarray, code: np.ndarray, delta: np.ndarray, langs: i
 
 def language_scores(texts: pa.Array, known: np.ndarray, table: np.ndarray, prior: np.ndarray, unseen: np.ndarray) -> np.ndarray:
     """Score of every text in every language."""
+    parts = [_slice_scores(texts.slice(a, b - a), known, table, prior, unseen) for a, b in row_slices(text_sizes(texts), SLICE_CHARS)]
+    return np.concatenate(parts) if parts else np.zeros((0, table.shape[1]))
+
+
+def _slice_scores(texts: pa.Array, known: np.ndarray, table: np.ndarray, prior: np.ndarray, unseen: np.ndarray) -> np.ndarray:
     row, seen = batch_trigrams(texts)
     at = np.searchsorted(known, seen)
     at[at == len(known)] = 0
@@ -140,7 +148,7 @@ class TrigramLanguageModel:
             rows = spark.sparkContext.broadcast([tuple(r) for r in head.collect()])
             best = _narrow_best(rows, prior, unseen, names)(text)
             return df.withColumn(out, F.when(known, best).otherwise(F.lit("unknown")))
-        kept = materialize(df.withColumn("_vl_row", F.monotonically_increasing_id()))
+        kept = stored_rows(df.withColumn("_vl_row", F.monotonically_increasing_id()))
         slim = kept.where(known).select("_vl_row", text.alias("text"))
         best = joined_best(slim, profile, prior, unseen, names)
         return kept.join(best, "_vl_row", "left").withColumn(out, F.coalesce("_vl_best", F.lit("unknown"))).drop("_vl_row", "_vl_best")
@@ -168,9 +176,11 @@ def joined_best(rows: DataFrame, profile: DataFrame, prior: np.ndarray, unseen:
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column(0).to_numpy()
-            row, tri = batch_trigrams(batch.column(1))
             for g in np.unique(groups):
-                mine = np.unique(tri[groups[row] == g])
+                mine = np.zeros(0, np.int64)
+                texts = batch.column(1).filter(pa.array(groups == g))
+                for a, b in row_slices(text_sizes(texts), SLICE_CHARS):
+                    mine = np.union1d(mine, batch_trigrams(texts.slice(a, b - a))[1])
                 yield pa.RecordBatch.from_arrays([pa.repeat(int(g), len(mine)), pa.array(mine)], names=["_vl_group", "tri"])
 
     def score(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
