@@ -53,3 +53,21 @@ def test_prepare_train_evaluate_screen(spark):
     back = spark.read.json(os.path.join(d, "preds"))
     assert back.count() == 48 and "confidences" in back.columns
     assert preds.columns[0] == "review_id"
+
+
+def test_relevancy_sample_fetches_no_other_texts(spark, monkeypatch):
+    """The first n rows by (review_id, text), nulls first, and ties at the end."""
+    rows = [(None, "p1", "b"), (None, "p1", None), ("r2", "p1", "x"), ("r2", "p2", "x"), ("r2", "p1", "x"), ("r3", "p1", "late")]
+    train = spark.createDataFrame(rows, "review_id string, place_id string, text string").selectExpr(
+        "*", "'n' AS place_name", "'c' AS place_category", "'t' AS city")
+    seen = []
+    monkeypatch.setattr(jobs, "relevancy_scores", lambda pairs, *a: seen.append(pairs) or pairs)
+    got = jobs.relevancy_sample(train, None, 4).collect()
+    assert sorted((r.review_id or "", r.text or "") for r in got) == [("", ""), ("", "b"), ("r2", "x"), ("r2", "x")]
+    assert jobs.relevancy_sample(train.limit(0), None, 4).count() == 0
+    assert jobs.relevancy_sample(train, None, 99).count() == 6
+    # rows behind the last one of the sample are filtered out first
+    plans = []
+    monkeypatch.setattr(jobs, "stored_rows", lambda df: plans.append(df) or df)
+    jobs.relevancy_sample(train, None, 4)
+    assert "Filter" in plans[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -25,7 +25,7 @@ from vetline.plans.screen import screen_reviews
 from vetline.sources import sinks
 from vetline.sources.files import exists
 from vetline.sources.readers import read_csv_folder
-from vetline.session import materialize, ship_package
+from vetline.session import ship_package, stored_rows
 
 
 def train_language(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> TrigramLanguageModel:
@@ -46,7 +46,7 @@ def prepare(spark: SparkSession, in_dir: str, out_dir: str, lang_path: str | Non
         raise FileNotFoundError(f"nothing to prepare in {in_dir}")
     lang_model = TrigramLanguageModel.load(spark, lang_path) if lang_path else None
     df = FE.add_row_features(clean_reviews(df, lang_model))
-    df = materialize(df)
+    df = stored_rows(df)
     out = assign_split(df, place_split(df, cfg=cfg))
     sinks.write_splits(out, out_dir, fmt)
     return out
@@ -78,7 +78,7 @@ def evaluate(labelled: DataFrame, model: MultiLabelModel, lang_model: TrigramLan
         raise ValueError("the set to evaluate on has no is_fake column")
     ship_package(labelled.sparkSession)
     scored = model.transform(FE.add_row_features(clean_reviews(labelled, lang_model)))
-    scored = materialize(scored)
+    scored = stored_rows(scored)
     return binary_metrics(scored), label_means(scored)
 
 
@@ -96,13 +96,19 @@ def relevancy_sample(train_df: DataFrame, places: DataFrame | None, n: int = 10,
                      order: tuple[str, ...] = ("review_id", "text")) -> DataFrame:
     """Relevancy of the first ``n`` training reviews (in ``order``) to their
     place; places that are missing give an all-empty description."""
+    # the last of the first n is found without the other columns, so that only
+    # rows up to it (ties included) bring their texts to the joins behind
     head = train_df.orderBy(*order).limit(n)
+    last = train_df.select(*order).orderBy(*order).limit(n).orderBy(*[F.col(c).desc() for c in order]).first()
+    if last is not None:
+        bound = F.struct(*[F.lit(v).cast(train_df.schema[c].dataType).alias(c) for c, v in zip(order, last)])
+        head = train_df.where(F.struct(*order) <= bound).orderBy(*order).limit(n)
     if places is not None:
         head = enrich_place(head.drop(*[c for c in ("description",) if c in head.columns]), places)
     if "description" not in head.columns:
         head = head.withColumn("description", F.lit(""))
     pairs = head.select("review_id", "text", place_description().alias("place_desc"))
-    return relevancy_scores(materialize(pairs), "review_id", "text", "place_desc", RELEVANCY_VOCAB)
+    return relevancy_scores(stored_rows(pairs), "review_id", "text", "place_desc", RELEVANCY_VOCAB)
 
 
 __all__ = ["train_language", "prepare", "train", "train_or_load", "evaluate", "screen_to_sink", "relevancy_sample"]

@@ -22,7 +22,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vetline.session import materialize, ship_package
+from vetline.session import ship_package, stored_rows
 
 CHUNK_BITS = 16
 _CLOSING = re.compile(r'(?:[^"]+|"")*+"')
@@ -67,7 +67,7 @@ def csv_lines(spark: SparkSession, paths: str | list[str], recursive: bool, sep:
     quoted = F.col("value").contains('"')
     told = raw.withColumn("f", _line_functions(sep)(F.when(quoted, F.col("value"))))
     out, inn = F.coalesce("f.out", F.lit(False)), F.coalesce("f.inn", F.lit(True))
-    return materialize(told.select(
+    return stored_rows(told.select(
         "file", "start", "mid", F.shiftright("mid", CHUNK_BITS).alias("chunk"), "value",
         F.when(out == inn, out.cast("int")).alias("keeps"), (out & ~inn).cast("int").alias("swaps")))
 
@@ -131,7 +131,7 @@ def read_records(spark: SparkSession, paths: str | list[str], recursive: bool =
     """The files' rows, all columns text, combined by column name (missing ones
     NULL), and each file's header (one row per file is gathered). Files that
     share a header are parsed together; files without any record do not count."""
-    records = materialize(csv_records(csv_lines(spark, paths, recursive, sep)))
+    records = stored_rows(csv_records(csv_lines(spark, paths, recursive, sep)))
     first = records.groupBy("file").agg(F.min(F.struct("start", "mid", "record")).alias("first"))
     headers = {r.file: r.first.record for r in first.collect()}
     body = records.join(first.select("file", "first.start", "first.mid"), ["file", "start", "mid"], "left_anti")
