@@ -45,3 +45,19 @@ def test_no_exchange_moves_the_texts(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # the texts stand above the join with documents; what is exchanged lies below it
     assert "Exchange" not in plan.split("SortMergeJoin [doc_key")[0]
+
+
+def test_pairs_meet_their_place_before_their_texts(spark, tables):
+    from vetline.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = catalog._eval_pairs_spark(spark, tables).select("row_no", "text", "place_desc")
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan.split("SortMergeJoin [doc_key")[0]
+    counts = {"n_docs": V.load(spark, tables, "documents").count(), "n_parts": V.load(spark, tables, "part").count()}
+    want = spark.sql(V.with_views("spark", select="SELECT r.row_no, r.text, p.description FROM reviews r JOIN places p "
+                                  "ON p.place_id = r.place_id", **counts))
+    assert sorted(map(str, pairs.select("row_no", "text").collect())) == sorted(map(str, want.select("row_no", "text").collect()))

@@ -309,8 +309,13 @@ def q_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("term", big("ttf").alias("ttf"))
 
 
+def _texts(spark: SparkSession, sf: str):
+    return lambda keys: V.with_texts(spark, sf, keys)
+
+
 def _eval_pairs_spark(spark: SparkSession, sf: str) -> DataFrame:
-    return LK.eval_pairs(V.reviews(spark, sf), V.places(spark, sf))
+    """The pairs meet before the texts of the reviews join them."""
+    return V.with_texts(spark, sf, LK.eval_pairs(V.review_keys(spark, sf), V.places(spark, sf)))
 
 
 _EVAL_PAIRS = ("pairs AS (SELECT r.row_no, r.review_id, coalesce(r.text, '') AS t, {desc} AS d FROM reviews r "
@@ -346,7 +351,7 @@ def q_enrich_place(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT review_id, round(relevancy, 6) AS relevancy FROM rel",
     _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
 def q_relevancy_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = stored_rows(_eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc"))
+    pairs = _eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc")  # made again for either pass
     scored = TF.tfidf_relevancy(pairs, "text", "place_desc", RELEVANCY_VOCAB)
     return scored.select("review_id", r6("relevancy").alias("relevancy"))
 
@@ -355,7 +360,7 @@ def q_relevancy_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT round(avg(relevancy), 6) AS mean_relevancy, count(*) AS n_pairs FROM rel",
     _eval_pairs_cte() + "," + O.relevancy_ctes("pairs")))
 def q_mean_relevancy(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = stored_rows(_eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc"))
+    pairs = _eval_pairs_spark(spark, sf).select("review_id", "text", "place_desc")  # made again for either pass
     scored = TF.tfidf_relevancy(pairs, "text", "place_desc", RELEVANCY_VOCAB)
     return scored.agg(r6(F.avg("relevancy")).alias("mean_relevancy"), F.count(F.lit(1)).alias("n_pairs"))
 
