@@ -108,3 +108,44 @@ def test_scorer_gets_each_pair_once_and_is_made_once(spark):
     assert sent.value == 3 and 1 <= made.value <= 4
     with pytest.raises(ValueError):
         score_pairs(df)
+
+
+@pytest.fixture(scope="module")
+def keyed_texts(spark):
+    """Narrow rows (repeated and null keys) and what adds their texts; key 2 has
+    two texts, one of them twice."""
+    texts = spark.createDataFrame([(1, "one"), (2, "two"), (2, "zwei"), (2, "two"), (4, "one")], "k long, text string")
+    rows = spark.createDataFrame([(i, k, lang, f"d{i % 2}") for i, (k, lang) in enumerate(
+        [(1, "fr"), (2, "de"), (2, "de"), (3, "fr"), (None, None), (4, "fr"), (1, "en")] * 3)],
+        "n long, k long, lang string, description string")
+    return rows, lambda r: r.join(texts, "k", "left")
+
+
+def test_pairs_without_texts_score_as_pairs_with_texts(spark, keyed_texts):
+    from vetline.operators.relevancy import score_pairs
+
+    rows, add = keyed_texts
+    sent = spark.sparkContext.accumulator(0)
+
+    def score(texts, descs):
+        sent.add(len(texts))
+        return texts.str.len() * 2.0 - 3.0 + descs.str[1].astype(float)
+
+    for f, kw in ((score_pairs, {}), (relevancy, {})):
+        want = f(add(rows), scorer=score).select("n", "relevancy").collect()
+        before = sent.value
+        got = f(rows, scorer=score, texts=add, **kw)
+        assert sorted(got.select("n", "relevancy").collect()) == sorted(want)
+        # 'one', 'two', 'zwei' and the empty text, each with two descriptions
+        assert sent.value - before == 8 and "text" not in got.columns
+
+
+def test_batches_by_length_send_neighbours_once():
+    from vetline.operators.partitioning import by_length
+
+    batches = [pd.DataFrame({"k": list("aabb"), "t": ["xxx", "xxx", "y", "y"]}), pd.DataFrame({"k": list("bc"), "t": ["y", "zz"]}),
+               pd.DataFrame({"k": ["c"], "t": ["zz"]})]
+    one = [list(b["t"]) for b in by_length(iter(batches), "k", ["t"])]
+    assert one == [["y", "zz"], ["xxx"]]
+    assert [list(b["t"]) for b in by_length(iter(batches), "k", ["t"], limit=1)] == [["y", "xxx"], ["zz"]]
+    assert not list(by_length(iter([]), "k", ["t"]))
