@@ -140,6 +140,27 @@ def test_pairs_without_texts_score_as_pairs_with_texts(spark, keyed_texts):
         assert sent.value - before == 8 and "text" not in got.columns
 
 
+def test_rows_without_texts_are_translated_as_rows_with_texts(spark, keyed_texts, tmp_path):
+    from vetline.operators.clean import text_key, translated
+    from pyspark.sql import functions as F
+
+    rows, add = keyed_texts
+    sent = spark.sparkContext.accumulator(0)
+
+    def shout(texts, langs):
+        sent.add(len(texts))
+        return langs + ":" + texts.str.upper()
+
+    want = translated(add(rows), shout, key="digest")
+    held = want.where("digest is not null").withColumn("same", F.col("digest") == text_key(F.col("text"), F.col("lang")))
+    assert held.where("not same").isEmpty() and not held.isEmpty()
+    before = sent.value
+    got = translated(rows, shout, str(tmp_path / "t"), texts=add, key="digest")
+    order = lambda df: sorted(map(tuple, df.select("n", "digest", "text_model").collect()), key=str)
+    assert order(got) == order(want) and sent.value - before == 3 and "text" not in got.columns
+    assert order(translated(rows, shout, str(tmp_path / "t"), texts=add, key="digest")) == order(want) and sent.value - before == 3
+
+
 def test_batches_by_length_send_neighbours_once():
     from vetline.operators.partitioning import by_length
 

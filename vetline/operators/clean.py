@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from vetline.functions.text import normalize_text
 from vetline.operators.language import TrigramLanguageModel
-from vetline.session import materialize, ship_package
+from vetline.operators.partitioning import by_length
+from vetline.session import materialize, ship_package, stored_rows
 from vetline.sources.files import exists
 
 Translator = Callable[[pd.Series, pd.Series], pd.Series]
@@ -33,38 +34,64 @@ def translation_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE).parquet(path) if exists(spark, path) else spark.createDataFrame([], TABLE)
 
 
-def new_translations(asked: DataFrame, known: DataFrame, translate: Translator) -> DataFrame:
+def new_translations(asked: DataFrame, known: DataFrame, translate: Translator,
+                     texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``asked`` (digest, text, lang) to (digest, translated) of every distinct
     digest that ``known`` lacks.
 
-    Copies are combined before the shuffle. Each task sends its texts in order of
-    length, so that a batch holds texts of about one length; a NULL translation
-    keeps the text."""
-    one = asked.groupBy("digest").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    Copies are combined before the shuffle. Each task sends its texts in windows
+    ordered by length, so that a batch holds texts of about one length; a NULL
+    translation keeps the text. With ``texts``, ``asked`` has other columns beside
+    its digest, to which ``texts`` adds digest, text and lang of their texts."""
+    if texts is None:
+        one = asked.groupBy("digest").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    else:
+        row = F.struct(*[c for c in asked.columns if c != "digest"])
+        one = asked.groupBy("digest").agg(F.first(row).alias("_r")).select("digest", "_r.*")
     fresh = one.join(known.select("digest"), "digest", "left_anti")
+    if texts is not None:
+        fresh = texts(fresh)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in by_length(batches, "digest", ["text"]):
             got = pd.Series(list(translate(b["text"], b["lang"])), index=b.index, dtype="object")
             yield pd.DataFrame({"digest": b["digest"], "translated": got.where(got.notna(), b["text"])})
 
-    return fresh.sortWithinPartitions(F.length("text")).mapInPandas(send, TABLE)
+    return fresh.mapInPandas(send, TABLE)
 
 
 def translated(df: DataFrame, translate: Translator, table_path: str | None = None, text_col: str = "text",
-               lang_col: str = "lang", out: str = "text_model") -> DataFrame:
+               lang_col: str = "lang", out: str = "text_model", texts: Callable[[DataFrame], DataFrame] | None = None,
+               key: str | None = None) -> DataFrame:
     """Adds ``out``: the translation where the language is known and not English
     and the text is not blank, else the text. The new translations are stored
     before they are used, appended to ``table_path`` if given: a run that breaks
-    off later has them already."""
+    off later has them already.
+
+    With ``texts``, ``df`` lacks its texts and ``texts`` adds them to its rows, or
+    to some: no text of it is stored or exchanged, and the result lacks them too.
+    ``key`` names a column for the digest under which a translation is kept (NULL
+    where there is none)."""
     spark = df.sparkSession
     ship_package(spark)
     needs = ~F.coalesce(F.col(lang_col), F.lit("unknown")).isin("en", "unknown") & (F.trim(text_col) != "")
-    keyed = df.withColumn("_vc_digest", F.when(needs, text_key(F.col(text_col), F.col(lang_col))))
+    digest = F.when(needs, text_key(F.col(text_col), F.col(lang_col)))
     known = translation_table(spark, table_path) if table_path else spark.createDataFrame([], TABLE)
-    asked = keyed.where(F.col("_vc_digest").isNotNull()).select(
-        F.col("_vc_digest").alias("digest"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    fresh = new_translations(asked, known, translate)
+    if texts is None:
+        full = keyed = df.withColumn("_vc_digest", digest)
+        asked = keyed.where(F.col("_vc_digest").isNotNull()).select(
+            F.col("_vc_digest").alias("digest"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        fresh = new_translations(asked, known, translate)
+    else:
+        full = texts(df).withColumn("_vc_digest", digest)
+        keyed = stored_rows(full.where(F.col("_vc_digest").isNotNull()).select(*df.columns, "_vc_digest"))
+
+        def fetch(rows: DataFrame) -> DataFrame:
+            # a row that brings several texts sends the one that it stands for
+            return texts(rows).where(F.col("digest") == digest).select(
+                "digest", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+        fresh = new_translations(keyed.withColumnRenamed("_vc_digest", "digest"), known, translate, fetch)
     if table_path:
         fresh.write.mode("append").parquet(table_path)
         table = translation_table(spark, table_path)
@@ -72,9 +99,10 @@ def translated(df: DataFrame, translate: Translator, table_path: str | None = No
         table = materialize(fresh)
     # rows without a translation stay where they are
     table = table.groupBy(F.col("digest").alias("_vc_digest")).agg(F.first("translated").alias("_vc_text"))
-    plain = keyed.where(F.col("_vc_digest").isNull()).withColumn(out, F.col(text_col))
+    plain = full.where(F.col("_vc_digest").isNull()).withColumn(out, F.col(text_col)).select(*keyed.columns, out)
     told = keyed.where(F.col("_vc_digest").isNotNull()).join(table, "_vc_digest").withColumn(out, F.col("_vc_text")).drop("_vc_text")
-    return plain.unionByName(told).drop("_vc_digest")
+    done = plain.unionByName(told)
+    return done.drop("_vc_digest") if key is None else done.withColumnRenamed("_vc_digest", key)
 
 
 def clean_reviews(df: DataFrame, lang_model: TrigramLanguageModel | None = None, translate: Translator | None = None,

@@ -942,21 +942,20 @@ _TRANSLATED = "CASE WHEN lang NOT IN ('en', 'unknown') AND trim(text) <> '' THEN
 def q_translated_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the reviews are translated in one run, all in a second one that
     sends only what the first has not; ``first_run`` tells which run sent it."""
-    docs = V.load(spark, sf, "documents").select("doc_id", "lang")
-    r = stored_rows(V.reviews(spark, sf).select("row_no", "doc_id", "text").join(docs, "doc_id", "left"))
+    docs = V.load(spark, sf, "documents").select(F.col("doc_id").alias("lang_key"), "lang")
+    keys = V.review_keys(spark, sf).select("row_no", *V.TEXT_KEYS, F.expr("if(extra, doc_id, doc_key)").alias("lang_key"))
+    r = stored_rows(keys.join(docs, "lang_key", "left").drop("lang_key"))
     path = scratch_dir(spark, "translations")
+    texts = _texts(spark, sf)
 
     def translate(texts, langs):
         return "[" + langs + "] " + texts.str.replace("e", "(e)")
 
-    CL.translated(r.where("row_no % 2 = 0"), translate, path).write.format("noop").mode("overwrite").save()
-    known = materialize(CL.translation_table(spark, path).select("digest", F.lit(True).alias("early")))
-    out = CL.translated(r, translate, path)
-    key = CL.text_key(F.col("text"), F.col("lang"))
-    sent = ~F.coalesce(F.col("lang"), F.lit("unknown")).isin("en", "unknown") & (F.trim("text") != "")
-    return (out.withColumn("digest", F.when(sent, key)).join(known, "digest", "left")
-            .select("row_no", F.md5("text_model").alias("text_md5"),
-                    F.when(F.col("digest").isNotNull(), F.coalesce("early", F.lit(False))).alias("first_run")))
+    CL.translated(r.where("row_no % 2 = 0"), translate, path, texts=texts).write.format("noop").mode("overwrite").save()
+    known = materialize(CL.translation_table(spark, path).select("digest", F.lit(True).alias("early")).distinct())
+    out = CL.translated(r, translate, path, texts=texts, key="digest").select("row_no", "digest", F.md5("text_model").alias("text_md5"))
+    return (out.join(known, "digest", "left")
+            .select("row_no", "text_md5", F.when(F.col("digest").isNotNull(), F.coalesce("early", F.lit(False))).alias("first_run")))
 
 
 @register("scorer_relevancy", lambda: sql(
