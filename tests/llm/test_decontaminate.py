@@ -120,3 +120,17 @@ def test_near_copies_with_changed_words(spark):
     got = contamination(d, b).collect()
     assert {r.doc_id: (r.n_items, r.contaminated, r.n_near_items) for r in got} == want
     assert sorted(map(tuple, got), key=repr) == brute(docs, bench)
+
+
+def test_words_are_those_of_the_contract(spark):
+    """Every code point up to U+3100 and some beyond, next to letters."""
+    import re
+
+    from pyspark.sql import functions as F
+    from vetline.llm.decontaminate import words
+
+    points = [*range(1, 0x3100), 0xD7FF, 0xE000, 0xFFFD, 0x10000, 0x1F600, 0x10FFFF]
+    texts = ["a" + chr(c) + "B9" + chr(c) for c in points] + ["", " "]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(words(F.col("text")).alias("w"), "text").collect()
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    assert len(got) == len(texts) and all(r.w == pattern.findall(r.text) for r in got)

@@ -30,8 +30,10 @@ BLOCK_TERMS = 1_000_000
 # are dealt over several tasks by document.
 LIST_ROWS = 200_000
 
-# Words before lower-casing A-Z: the word pattern with A-Z added.
-_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Words before lower-casing A-Z: the word pattern with A-Z added. It names what
+# a word has, the most frequent first, which the JVM matches several times faster
+# than the same class as what a word lacks.
+_WORDS = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
