@@ -119,3 +119,20 @@ def test_row_slices_bound_what_a_task_holds():
     assert [i for a, b in cuts for i in range(a, b)] == list(range(len(sizes)))
     assert all(sizes[a:b].sum() <= 5 or b - a == 1 for a, b in cuts)
     assert list(X.row_slices(np.zeros(0, int), 5)) == []
+
+
+def test_screens_agree_with_their_patterns(spark):
+    """Terms in every case and with the letters outside ASCII that a
+    case-insensitive pattern takes for theirs; lone parts of terms."""
+    from pyspark.sql import functions as F
+    from vetline.functions import patterns as P
+    from vetline.functions import text as X
+
+    words = ["Discount", "dİscount", "dıscount", "diſcount", "PROMO", "couPon", "DEAL", "ſale", "SALE", "50% OFF", "50% off", "off 50%",
+             "dm\tme", "DM ME", "me dm", "DMme", "buy now", "Buy Now", "buy  now", "", "x", "ordK", "http://a", "HTTP://a", "https://",
+             "://a", "www.a", "www. a", "www.", "http://　"]
+    df = spark.createDataFrame([(f"{a} pre {w} {b}",) for w in words for a in ("", "ſ") for b in ("", "K.")] + [(None,)], "t string")
+    t = F.coalesce("t", F.lit(""))
+    got = df.select("t", X.promo_terms("t").alias("p"), t.rlike(P.promo_pattern()).alias("p0"),
+                    X.has_url("t").alias("u"), t.rlike(P.url_pattern()).alias("u0")).collect()
+    assert [r for r in got if r.p != r.p0 or r.u != r.u0] == [] and {r.p for r in got} == {r.u for r in got} == {True, False}

@@ -98,7 +98,8 @@ def url_count(col: Column | str) -> Column:
 
 
 def has_url(col: Column | str) -> Column:
-    return safe_text(col).rlike(P.url_pattern())
+    t = safe_text(col)
+    return (t.contains("://") | t.contains("www.")) & t.rlike(P.url_pattern())
 
 
 def _class_count(t: Column, cls: str) -> Column:
@@ -141,8 +142,19 @@ def _may_hold(t: Column, literals: tuple[str, ...]) -> Column:
 
 
 def promo_terms(col: Column | str) -> Column:
+    """A term without white space in it is a plain substring of the lower-cased
+    text; the pattern, which is slow, looks only for the others and for the
+    letters outside ASCII that it takes for i, k or s."""
     t = safe_text(col)
-    return _may_hold(t, tuple(x.split("\\s")[0] for x in P.PROMO_TERMS)) & t.rlike(P.promo_pattern())
+    plain = [x for x in P.PROMO_TERMS if "\\s" not in x]
+    parts = [x.split("\\s*") for x in P.PROMO_TERMS if "\\s" in x]
+
+    def look(low: Column) -> Column:
+        rest = _any_of([reduce(lambda a, b: a & b, [low.contains(y) for y in x]) for x in parts] +
+                       [t.contains(x) for x in P.FOLDED_TO_ASCII])
+        return _any_of([low.contains(x) for x in plain]) | (rest & t.rlike(P.promo_pattern()))
+
+    return _once(F.lower(t), look)
 
 
 def never_been_cues(col: Column | str) -> Column:
