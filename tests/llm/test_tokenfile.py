@@ -7,6 +7,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
+from vetline.llm import tokenfile
 from vetline.llm.common import scratch
 from vetline.llm.tokenfile import (VOCABULARY, WordEncoder, build_hash, build_index, find_slots, lookup,
                                    op3_token_shards, read_documents, write_shards)
@@ -83,3 +84,25 @@ def test_unknown_keys_and_empty_table(spark):
     entries = write_shards(df.limit(0), folder, PATH)
     index = build_index(entries, folder)
     assert read_documents(lookup(keys, index), entries, folder).count() == 0
+
+
+def test_unseen_ascii_words_need_no_pattern(monkeypatch):
+    """Unseen chunks take most of the time: letters are one pre-token as they
+    stand, and patterns are asked only for the other chunks."""
+    encoder = WordEncoder(open(PATH, encoding="utf-8").read())
+    asked = []
+
+    class Seen:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def __getattr__(self, name):
+            return lambda text: asked.append(text) or getattr(self.pattern, name)(text)
+
+    monkeypatch.setattr(tokenfile, "_PLAIN", Seen(tokenfile._PLAIN))
+    monkeypatch.setattr(tokenfile, "_PRETOKEN", Seen(tokenfile._PRETOKEN))
+    text = "Plain WORDS stay plain, don't they? x1 Größe \x01odd\x7f plain"
+    got = np.frombuffer(encoder.encode(text.encode()), encoder.kind).tolist()
+    assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"Plain", "WORDS", "stay", "words", "plain"} & set(asked)
+    assert {"Größe", "\x01odd\x7f"} <= set(asked)

@@ -89,6 +89,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         top = max(self.tokenizer.get_vocab().values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.shown = _byte_characters()
         parsed = json.loads(spec)
         self.known = all(parsed.get(k) == v for k, v in KNOWN.items()) and parsed["model"]["type"] == "BPE" and not any(
@@ -98,7 +99,7 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _part(self, part: str) -> bytes:
         text = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
@@ -106,10 +107,12 @@ class WordEncoder:
 
     def _chunk(self, raw: bytes) -> bytes:
         text = raw.decode()
-        if b"<|" in raw or not _PLAIN.fullmatch(text):
+        plain = text.isascii() and text.isprintable()
+        if b"<|" in raw or not (plain or _PLAIN.fullmatch(text)):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        out = []
-        for part in _PRETOKEN.findall(text.lower()):
+        lower, out = text.lower(), []
+        # ASCII letters alone are one pre-token
+        for part in [lower] if plain and text.isalpha() else _PRETOKEN.findall(lower):
             ids = self.parts.get(part)
             if ids is None:
                 ids = self.parts[part] = self._part(part)
@@ -127,13 +130,10 @@ class WordEncoder:
                 memo.clear()
             if len(self.parts) > MEMO_ENTRIES:
                 self.parts.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = memo.get(w)
-                    if ids is None:
-                        ids = memo[w] = self._chunk(w)
-                    found[i] = ids
+            missing = [w for w, ids in zip(words, found) if ids is None]
+            new = {w: self._chunk(w) for w in dict.fromkeys(missing)}
+            memo.update(new)
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
         return b"".join(found)
 
 
