@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,6 +32,27 @@ def test_same_ids_as_the_library(known):
         assert got == known.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_texts_are_encoded_together(known, monkeypatch):
+    """Chunks of many texts are looked up once for a slice, whatever its bounds
+    and however often the memo is cleared."""
+    monkeypatch.setattr(tokenfile, "SLICE_BYTES", 300)
+    monkeypatch.setattr(tokenfile, "MEMO_ENTRIES", 20)
+    own = WordEncoder(open(PATH, encoding="utf-8").read())
+    random.seed(5)
+    blanks = [" ", "\n", "\t\t", "\r\n", "\x0b", "\x0c ", "\x1c", "\x85", "\xa0"]
+    words = ["a", "The", "don't", "É", "日本", "12", "!?", "<|endoftext|>", "straße", "İ", "x-y"] + [f"w{i}q" for i in range(60)]
+    texts = [None, "", " ", "\n\x0b"] + ["".join(random.choice(words) + random.choice(blanks) for _ in range(random.randint(0, 40))) for _ in range(200)]
+    texts += [random.choice(blanks) + t for t in texts[-50:]]
+    column = pa.array([t if t is None else t.encode() for t in texts], pa.binary())
+    asked = []
+    chunks = own._chunks
+    monkeypatch.setattr(own, "_chunks", lambda raw: asked.extend([len(raw), len(set(raw))]) or chunks(raw))
+    for part in (column, column.slice(3, 100)):
+        for text, ids in zip(part.to_pylist(), own.encode_all(part), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == known.encode((text or b"").decode(), add_special_tokens=False).ids, repr(text)
+    assert asked[::2] == asked[1::2] and max(asked) <= 300
+
+
 def test_another_file_goes_through_the_library():
     spec = open(PATH, encoding="utf-8").read()
     assert WordEncoder(spec).known

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,8 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 16_384
 MEMO_ENTRIES = 400_000
+# Bytes of text whose chunks are numbered together.
+SLICE_BYTES = 8 << 20
 
 
 # ---- encoding -------------------------------------------------------------
@@ -59,7 +62,8 @@ KNOWN = {
 # Letters, digits and marks whose normalisation and lower case are the same in
 # every library: printable ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+# Pre-tokens of plain chunks that stand one to a line.
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|\n|[^a-zà-öø-ÿß0-9\n]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -101,40 +105,81 @@ class WordEncoder:
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _part(self, part: str) -> bytes:
-        text = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
-
-    def _chunk(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        plain = text.isascii() and text.isprintable()
-        if b"<|" in raw or not (plain or _PLAIN.fullmatch(text)):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        lower, out = text.lower(), []
-        # ASCII letters alone are one pre-token
-        for part in [lower] if plain and text.isalpha() else _PRETOKEN.findall(lower):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self._part(part)
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, new: list[str]) -> None:
+        """Remember the packed ids of pre-tokens."""
+        ids, ends, tokenize = [], [], self.tokenizer.model.tokenize
+        for part in new:
+            shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
+            ids += [t.id for t in tokenize(shown)]
+            ends.append(len(ids))
+        packed, width = np.array(ids, self.kind).tobytes(), self.kind.itemsize
+        for part, start, end in zip(new, [0, *ends], ends):
+            self.parts[part] = packed[start * width:end * width]
+
+    def _chunks(self, raw: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks without white space: the plain ones are cut into
+        pre-tokens together, one to a line."""
+        texts = b"\n".join(raw).decode().split("\n")
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if text and "<|" not in text and (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text)):
+                plain.append(i)
+            elif text:
+                out[i] = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if plain:
+            parts = _PRETOKEN.findall("\n".join([texts[i] for i in plain]).lower() + "\n")
+            memo = self.parts
+            memo["\n"] = b""
+            self._learn(list(set(parts).difference(memo)))
+            found = list(map(memo.__getitem__, parts))
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            ends = ends[[k for k, part in enumerate(parts) if part == "\n"]].tolist()
+            packed = b"".join(found)
+            for i, start, end in zip(plain, [0, *ends], ends):
+                out[i] = packed[start:end]
+        return out
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of different chunks."""
+        memo = self.chunks
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        if len(self.parts) > MEMO_ENTRIES:
+            self.parts.clear()
+        found = list(map(memo.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self._chunks([words[i] for i in missing])):
+            found[i] = memo[words[i]] = ids
+        return found
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of the texts: Arrow splits them at white space and numbers
+        their chunks, so Python sees each different one once."""
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        if not len(chunks):
+            return [b""] * len(texts)
+        ids = pa.array(self._looked_up(chunks.dictionary.cast(pa.binary()).to_pylist()), pa.large_binary()).take(chunks.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        packed = memoryview(ids.buffers()[2] or b"")
+        return [bytes(packed[i:j]) for i, j in zip(ends, ends[1:])]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each UTF-8 text; a null has none."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.known:
+            for text in texts:
+                yield self._packed(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids)
+            return
+        part = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:]):
+            yield from self._together(texts[i:j])
 
     def encode(self, raw: bytes) -> bytes:
         """Packed ids of a UTF-8 text."""
-        if not self.known:
-            return self._packed(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
-        words, memo = raw.split(), self.chunks
-        found = list(map(memo.get, words))
-        if None in found:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            if len(self.parts) > MEMO_ENTRIES:
-                self.parts.clear()
-            missing = [w for w, ids in zip(words, found) if ids is None]
-            new = {w: self._chunk(w) for w in dict.fromkeys(missing)}
-            memo.update(new)
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+        return next(self.encode_all(pa.array([raw], pa.binary())))
 
 
 _LOADED: dict[int, WordEncoder] = {}
@@ -188,8 +233,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 out = store.open_output_stream(f"{path}/{name}")
                 out.write(struct.pack(HEADER, MAGIC, encoder.kind.itemsize, 0))
             lengths, copies = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or b"") + end
+            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                ids += end
                 out.write(ids)
                 copy = copy + 1 if k == last else 0
                 last = k
