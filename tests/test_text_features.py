@@ -136,3 +136,58 @@ def test_screens_agree_with_their_patterns(spark):
     got = df.select("t", X.promo_terms("t").alias("p"), t.rlike(P.promo_pattern()).alias("p0"),
                     X.has_url("t").alias("u"), t.rlike(P.url_pattern()).alias("u0")).collect()
     assert [r for r in got if r.p != r.p0 or r.u != r.u0] == [] and {r.p for r in got} == {r.u for r in got} == {True, False}
+
+
+def test_counts_and_literals_of_whole_slices(monkeypatch):
+    """Characters of all lengths, runs that reach into the next text, texts over
+    one piece, nulls and a part of an array against one text at a time."""
+    import random
+    import re
+    import unicodedata
+
+    from vetline.functions import scan
+
+    def counts(t):
+        kinds = [unicodedata.category(c) for c in t]
+        return {"letters": sum(k[0] == "L" for k in kinds), "uppers": kinds.count("Lu"), "words": len(t.split()),
+                "nonwords": sum(k[0] not in "LN" and not c.isspace() for c, k in zip(t, kinds)),
+                "emojis": sum(ord(c) > 10000 for c in t), "repeats": bool(re.search("([^\n])\\1{4}", t))}
+
+    def bits(t):
+        return -1 if re.search("[İıſK]", t) else sum(1 << i for i, x in enumerate(X._LITERALS) if x in t.lower())
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "É", " ", "\n", "　", "\x85", "\U0001f600", "中", "aaaa", "中中中中", "\n\n\n\n\n",
+             "٣", "_", "de", "al", "We went", "ord", "K", "50 %", *X._LITERALS]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(600)] + ["ab " * 40_000, "éA" * 40_000, "", None]
+    for limit in (1 << 19, 40):
+        monkeypatch.setattr(scan, "SLICE_BYTES", limit)
+        assert scan.char_counts(pa.array(texts)).to_pylist() == [counts(t or "") for t in texts]
+        assert scan.literal_bits(pa.array(texts), X._NEEDLES).to_pylist() == [bits(t or "") for t in texts]
+    assert scan.char_counts(pa.array(texts).slice(9, 50)).to_pylist() == [counts(t) for t in texts[9:59]]
+    assert not len(scan.char_counts(pa.array([], pa.string()))) and not len(scan.literal_bits(pa.array([], pa.string()), X._NEEDLES))
+
+
+def test_features_of_a_text_share_two_passes(spark):
+    """No pattern counts characters, whatever number of features asks for them."""
+    df = spark.createDataFrame([("a", "text")], "review_id string, text string")
+    t = X.safe_text("text")
+    out = df.select(X.caps_ratio(t), X.nonword_ratio(t), X.emoji_count(t), X.word_len(t), X.repeat_ratio(t), X.promo_terms(t),
+                    X.never_been_cues(t), X.experiential_score(t), X.profanity_count(t, ("damn", "hell")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    evaluated = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(evaluated) == 1 and evaluated[0].count("_char_counts(") == evaluated[0].count("_literal_bits(") == 1
+    assert "regexp_replace" not in plan
+
+
+def test_cues_and_profanity_agree_with_their_patterns(spark):
+    texts = ["We WENT there", "İ ordered", "checKİng in", "online", "a line.", "hello", "HELL no", "dımn damn-damn", "shell's hell'",
+             "check in", "Orİdered", "menuK menu", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low, words = F.lower(F.coalesce("t", F.lit(""))), ("damn", "hell")
+    cues = sum((low.rlike(p).cast("int") for p in P.experiential_patterns()), F.lit(0))
+    tokens = F.filter(F.regexp_extract_all(low, F.lit("[A-Za-z']+"), 0), lambda x: x.isin(*words))
+    for got in (X.profanity_count("t", words), X.profanity_count("t", ("damn", "hell", "gosh"))):
+        rows = df.select("t", got.alias("n"), F.size(tokens).alias("n0"), X.experiential_score("t").alias("e"),
+                         F.least(F.lit(1.0), cues / F.lit(4.0)).alias("e0")).collect()
+        assert [r for r in rows if r.n != r.n0 or r.e != r.e0] == [] and {r.n for r in rows} >= {0, 1, 2}
