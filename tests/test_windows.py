@@ -91,3 +91,47 @@ def test_repeated_review_ids_do_not_multiply(spark):
     images = spark.createDataFrame([("a", 0.9), ("a", 0.7)], "review_id string, image_relevancy double")
     out = screen_reviews(df, image_scores=images).collect()
     assert len(out) == 4 and {r.user_burst_24h for r in out} == {4} and {round(r.image_relevancy, 6) for r in out} == {0.8}
+
+
+def test_screening_moves_no_text_to_its_place(spark):
+    """Rows without texts give the features of rows with them, places that are
+    missing or there twice included, and no exchange stands above their texts."""
+    from pyspark.sql import functions as F
+    from vetline.plans import screen as SC
+
+    keys = spark.createDataFrame([(i, f"r{i % 4}", None if i == 5 else f"p{i % 3}", "n", "c", "x", f"u{i % 2}", "2024-06-01", 1.0, 2.0) for i in range(9)],
+                                 "k long, review_id string, place_id string, place_name string, place_category string, city string, "
+                                 "user_id string, created_at string, user_lat double, user_lon double")
+    texts = spark.createDataFrame([(i, f"Text {i % 2} damn") for i in range(8)], "k long, text string")
+    places = spark.createDataFrame([("p0", "P", "cafe", "Y", "long text", 1.0, 2.0), ("p1", "Q", None, "Y", "other", 3.0, 4.0),
+                                    ("p1", "R", None, "Y", "other", 5.0, 6.0)],
+                                   "place_id string, place_name string, place_category string, city string, description string, "
+                                   "place_lat double, place_lon double")
+    seen = []
+
+    def add(rows):
+        seen.append(rows)
+        return rows.join(texts, "k", "left")
+
+    cols = ["k", "review_id", "place_name", "distance_km", "dup_across_places", "user_burst_24h", "profanity_count", "char_entropy"]
+    order = lambda df: sorted(map(str, df.select(*cols).collect()))
+    for lexicon in (None, spark.createDataFrame([("text",), ("damn",), ("damn",), (None,)], "word string")):
+        want = order(SC.screen_features(add(keys), places, lexicon=lexicon))
+        got = SC.screen_features(keys, places, lexicon=lexicon, add_texts=add)
+        assert order(got) == want and len(want) == 12
+        assert {"place_lat", "distance_km"} & set(seen[-1].columns) == {"place_lat"} and "description" not in seen[-1].columns
+    stored = SC.row_features(keys, places, texts=("place_desc",), add_texts=add)
+    assert stored.where("place_desc like '%long text'").count() == 3
+    assert got.agg(F.max("profanity_count")).first()[0] == 3  # a word that is there twice counts twice
+
+
+def test_a_lexicon_of_any_size_counts_alike(spark, monkeypatch):
+    from vetline.operators import features as FE
+
+    df = spark.createDataFrame([(1, "Damn it's it's"), (2, None), (3, "shell")], "k long, text string")
+    words = spark.createDataFrame([("damn",), ("it's",), ("it's",), (None,), ("hell",)], "word string")
+    joined = dict(map(tuple, FE.profanity_count_join(df, "k", words).collect()))
+    assert joined == {1: 5} and FE.profanity_counts(words) is not None
+    assert {r.k: r.n for r in df.select("k", FE.profanity_counts(words).alias("n")).collect()} == {1: 5, 2: 0, 3: 0}
+    monkeypatch.setattr(FE, "LEXICON_WORDS", 2)
+    assert FE.profanity_counts(words) is None

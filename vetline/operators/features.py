@@ -7,6 +7,9 @@ place duplicates) live in :mod:`vetline.operators.windows`.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,9 +96,32 @@ def add_weak_labels(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("weak_labels", weak_labels(text_col))
 
 
+# Words of a lexicon that every worker may hold.
+LEXICON_WORDS = 1_000_000
+_TOKEN = re.compile("[A-Za-z']+")
+
+
+def profanity_counts(lexicon: DataFrame, text_col: str = "text") -> Column | None:
+    """``profanity_count`` of a row under a lexicon table (``word``): the words
+    are gathered (their number is checked), so that no token leaves its row. None
+    for a lexicon of more than :data:`LEXICON_WORDS` words, which
+    :func:`profanity_count_join` takes. A word that the table has twice counts twice."""
+    words = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")).limit(LEXICON_WORDS + 1).toArrow()
+    if words.num_rows > LEXICON_WORDS:
+        return None
+    held = lexicon.sparkSession.sparkContext.broadcast(dict(zip(words["word"].to_pylist(), words["n"].to_pylist())))
+
+    @F.arrow_udf(T.IntegerType())
+    def counted(texts: pa.Array) -> pa.Array:
+        times = held.value.get
+        return pa.array([sum(times(w, 0) for w in _TOKEN.findall(t.as_py())) for t in texts], pa.int32())
+
+    return counted(F.lower(X.safe_text(text_col)))
+
+
 def profanity_count_join(df: DataFrame, key: str, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, profanity_count) under a lexicon table (``word``) of any size:
-    explode tokens and join with the lexicon (AQE broadcasts it when small).
+    explode tokens and join with the lexicon.
     Rows without a hit are absent. ``key`` must be unique."""
     toks = df.select(key, F.explode(F.regexp_extract_all(F.lower(X.safe_text(text_col)),
                                                          F.lit("[A-Za-z']+"), 0)).alias("word"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,12 +70,25 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def stored_rows(df: DataFrame) -> DataFrame:
     """:func:`materialize` for rows with texts: a compressed Parquet table below
-    the same folder, of which later steps read only the columns they need."""
+    the same folder, of which later steps read only the columns they need. The
+    exchange files of its making go."""
     path = scratch_dir(df.sparkSession, "rows")
     df.write.option("compression", "zstd").parquet(path)
+    drop_exchanges(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_exchanges(spark: SparkSession) -> None:
+    """Have Spark remove the exchange files of queries that nothing refers to
+    any more. It does so when the driver collects garbage, which a driver that
+    only plans large jobs may not do for hours: twice, as what the first round
+    finds still holds the exchanges."""
+    collect = spark.sparkContext._jvm.System.gc
+    collect()
+    time.sleep(0.1)
+    collect()
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
