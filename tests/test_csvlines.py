@@ -97,3 +97,31 @@ def test_round_trip_through_the_sink(spark):
     df, _ = read_records(spark, f"{d}/t")
     got = {int(r.id): (r.text, r.tags) for r in df.collect()}
     assert got == {1: ('a "quoted" one', '["x","y"]'), 2: ("two\nlines, and\r\nmore", "[]"), 3: ("", None), 4: (None, '["z"]'), 5: (" ends \n", None)}
+
+
+def test_no_line_is_stored_or_exchanged(spark, monkeypatch, tmp_path):
+    """Only the ends of records that reach over a byte range's end are; gzip files
+    give the same rows."""
+    rows = [(str(i), f'long "line" {"x" * 200}\nand\n"{i}' if i % 3 else "short", "a,b") for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, text string, more string").coalesce(1)
+    write_table(df, f"{tmp_path}/plain", "csv")
+    write_table(df, f"{tmp_path}/small", "csv", compression="gzip")
+    assert all(f.endswith(".csv.gz") for f in os.listdir(f"{tmp_path}/small") if f.startswith("part-"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    kept = []
+    monkeypatch.setattr(csvlines, "stored_rows", lambda rows, f=csvlines.stored_rows: kept.append(f(rows)) or kept[-1])
+    try:
+        for name in ("plain", "small"):
+            got, headers = read_records(spark, f"{tmp_path}/{name}")
+            assert sorted(map(tuple, got.collect())) == sorted(rows) and len(headers) == 1
+        ranges = csvlines.csv_lines(spark, f"{tmp_path}/plain", True, ",").select("file", "start").distinct().count()
+        assert ranges > 8 and kept[0].count() <= 3 * ranges and kept[1].count() < ranges
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[1].split("Union")[0].split("Scan text")[0]
+        back, _ = read_records(spark, f"{tmp_path}/plain")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        with pytest.raises(Exception, match="byte ranges of"):
+            back.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -861,7 +861,7 @@ def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "concat(text, CASE abs(row_no) % 3 WHEN 0 THEN ' \"said\"' WHEN 1 THEN '\\n\",\\nx\"' ELSE '' END)"))
     path = scratch_dir(spark, "reviews-csv")
     cols = ["review_id", "place_id", "place_name", "text", "rating", "created_at", "user_id", "pics"]
-    SK.write_table(r.select(*cols), path, "csv")
+    SK.write_table(r.select(*cols), path, "csv", compression="gzip")
     return RD.read_reviews_csv(spark, path).select(*cols)
 
 
@@ -893,7 +893,7 @@ def q_split_sink(spark: SparkSession, sf: str) -> DataFrame:
 def q_prediction_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Prediction records through the CSV sink: lists and maps come back as JSON."""
     path = scratch_dir(spark, "predictions")
-    SK.write_predictions(_rule_predictions(spark, sf), path, "csv")
+    SK.write_predictions(_rule_predictions(spark, sf), path, "csv", compression="gzip")
     back = RD.read_csv(spark, path)
     conf = F.from_json("confidences", "map<string,double>")
     return back.select("review_id", "labels", *[conf[lab].alias(f"p_{k}") for k, lab in zip(LABEL_KEYS, LABELS)], "rationale")

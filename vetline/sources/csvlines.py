@@ -3,20 +3,24 @@
 A quoted newline means that a record boundary depends on everything before it in
 the file, which is why a multi-line reader gives a file to one task. Here files
 are read as lines, which split anywhere, and the quoting state is carried over
-instead: every line is a function of the state it starts in (inside quotes or
-not), and there are only four such functions: stay, swap, always in, always out.
-Swaps add up and a constant line cuts the sum off, so the state before each line
-is a running sum inside a chunk of lines, a running sum over the chunks (one row
-each) and nothing more. Lines that start outside quotes start records; only
-records of several lines are grouped. Spark's ``from_csv`` parses the records.
+instead: every byte range is a function of the state it starts in (inside quotes
+or not), and there are only four such functions: stay, swap, always in, always
+out. Swaps add up and a constant range cuts the sum off, so the state before each
+range is a running sum over one row per range. With it a task walks its lines and
+puts records together where they stand; no line is stored or exchanged but the
+ends of records that reach from one range into another. Spark's ``from_csv``
+parses the records.
 """
 
 from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from vetline.session import ship_package, stored_rows
 
-CHUNK_BITS = 16
+# Binary logarithm of the records that a task hands on at once.
+CHUNK_BITS = 12
 _CLOSING = re.compile(r'(?:[^"]+|"")*+"')
 
 
@@ -46,67 +51,145 @@ def ends_inside(line: str, inside: bool, sep: str = ",") -> bool:
         at, inside = at + 1, False
 
 
-def _line_functions(sep: str):
-    @F.arrow_udf("out boolean, inn boolean")
-    def both(lines: pa.Array) -> pa.Array:
-        texts = lines.to_pylist()
-        return pa.StructArray.from_arrays([
-            pa.array([None if t is None else ends_inside(t, start, sep) for t in texts], pa.bool_()) for start in (False, True)],
-            ["out", "inn"])
-    return both.asNondeterministic()  # evaluated once, though both fields are read
-
-
 def csv_lines(spark: SparkSession, paths: str | list[str], recursive: bool, sep: str) -> DataFrame:
-    """Stored lines: ``file``, ``start`` (of the byte range), ``mid`` (rises along
-    a range), ``chunk``, ``value``, and the line's function: ``keeps`` (its state
-    behind it if constant), ``swaps``."""
+    """The lines in order: ``file``, ``start`` and ``length`` of the byte range,
+    ``opens`` (a quote may open a field of it), ``value``."""
     ship_package(spark)
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(paths).select(
+    value = F.col("value")
+    return spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("mid"), "value")
-    quoted = F.col("value").contains('"')
-    told = raw.withColumn("f", _line_functions(sep)(F.when(quoted, F.col("value"))))
-    out, inn = F.coalesce("f.out", F.lit(False)), F.coalesce("f.inn", F.lit(True))
-    return stored_rows(told.select(
-        "file", "start", "mid", F.shiftright("mid", CHUNK_BITS).alias("chunk"), "value",
-        F.when(out == inn, out.cast("int")).alias("keeps"), (out & ~inn).cast("int").alias("swaps")))
-
-
-def csv_records(lines: DataFrame) -> DataFrame:
-    """``file``, ``start``, ``mid`` (of the first line) and ``record``, without
-    blank ones. A record of several lines is one value and is put together in
-    one place; an opening quote that nothing closes takes the rest of its file."""
-    key = ["file", "start", "chunk"]
-    along = Window.partitionBy(*key).orderBy("mid")
-    so_far, behind = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
-    summed = lines.withColumn("sum", F.sum("swaps").over(so_far)).withColumn("held", (F.col("keeps") + F.col("sum")) % 2)
-    local = summed.withColumn("known", F.last("held", ignorenulls=True).over(behind)).withColumn("before", F.col("sum") - F.col("swaps"))
-
-    chunks = summed.groupBy(*key).agg(
-        F.sum("swaps").alias("swaps"), F.max_by("held", F.when(F.col("held").isNotNull(), F.col("mid"))).alias("held"))
-    per_file = Window.partitionBy("file").orderBy("start", "chunk")
-    upto, earlier = per_file.rowsBetween(Window.unboundedPreceding, 0), per_file.rowsBetween(Window.unboundedPreceding, -1)
-    # A chunk with a constant line is constant, another swaps or stays.
-    sums = chunks.withColumn("sum", F.sum(F.when(F.col("held").isNull(), F.col("swaps")).otherwise(0)).over(upto)).withColumn(
-        "fixed", (F.col("held") + F.col("swaps") + F.col("sum")) % 2)
-    opened = sums.select(*key, (
-        (F.coalesce(F.last("fixed", ignorenulls=True).over(earlier), F.lit(0))
-         + F.coalesce(F.sum(F.when(F.col("held").isNull(), F.col("swaps")).otherwise(0)).over(earlier), F.lit(0))) % 2).alias("opened"))
-
-    state = (F.coalesce("known", "opened") + F.col("before")) % 2
-    after = F.coalesce("keeps", (F.col("state") + F.col("swaps")) % 2)
-    placed = local.join(opened, key).withColumn("state", state).withColumn("after", after)
-    single = placed.where("state = 0 and after = 0").select("file", "start", "mid", F.col("value").alias("record"))
-
-    # Lines of longer records belong to the last line that starts outside quotes.
-    begins = F.when(F.col("state") == 0, F.struct("start", "mid"))
-    owned = placed.withColumn("own", F.last(begins, ignorenulls=True).over(so_far)).where("state = 1 or after = 1")
-    last = placed.groupBy(*key).agg(F.max_by(begins, F.when(F.col("state") == 0, F.col("mid"))).alias("last"))
-    carried = last.select(*key, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    parts = owned.join(carried, key).select("file", F.coalesce("own", "carried").alias("own"), F.struct("start", "mid", "value").alias("line"))
-    several = parts.groupBy("file", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda p: p["value"]), "\n").alias("record"))
-    records = single.unionByName(several.select("file", "own.start", "own.mid", "record"))
-    return records.withColumn("record", F.regexp_replace("record", "\r\\z", "")).where(F.trim("record") != "")
+        F.col("_metadata.file_block_length").alias("length"),
+        (value.startswith('"') | value.contains(sep + '"')).alias("opens"), "value")
+
+
+Range = tuple[str, int, int]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Range, pa.Array, pa.Array]]:
+    """``opens`` and ``value`` of neighbouring lines of one byte range."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        files, starts = batch.column("file"), batch.column("start").to_numpy()
+        differ = (starts[1:] != starts[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            key = files[a].as_py(), int(starts[a]), batch.column("length")[a].as_py()
+            yield key, batch.column("opens").slice(a, b - a), batch.column("value").slice(a, b - a)
+
+
+def range_functions(lines: DataFrame, sep: str) -> DataFrame:
+    """``file``, ``start``, ``length`` and the state behind a range that starts
+    outside (``out``) or inside quotes (``inn``)."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        behind: dict[Range, list[bool]] = {}
+        for key, _, values in _runs(batches):
+            state = behind.setdefault(key, [False, True])
+            for line in values.filter(pc.match_substring(values, '"')).to_pylist():
+                out = ends_inside(line, state[0], sep)
+                state[:] = out, out if state[0] == state[1] else ends_inside(line, state[1], sep)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in behind], pa.string()), *(pa.array([k[i] for k in behind], pa.int64()) for i in (1, 2)),
+             *(pa.array([s[i] for s in behind.values()], pa.bool_()) for i in (0, 1))], names=["file", "start", "length", "out", "inn"])
+
+    return lines.mapInArrow(told, "file string, start long, length long, out boolean, inn boolean")
+
+
+def opened_ranges(functions: DataFrame) -> dict[Range, bool]:
+    """Whether a byte range starts inside quotes; one row per range is gathered."""
+    along = Window.partitionBy("file").orderBy("start")
+    upto, earlier = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    swaps = (F.col("out") & ~F.col("inn")).cast("int")
+    summed = functions.withColumn("swaps", swaps).withColumn("sum", F.sum("swaps").over(upto))
+    held = summed.withColumn("held", F.when(F.col("out") == F.col("inn"), F.col("out").cast("int") + F.col("sum")))
+    state = F.coalesce(F.last("held", ignorenulls=True).over(earlier), F.lit(0)) + F.col("sum") - F.col("swaps")
+    return {(r.file, r.start, r.length): bool(r.state) for r in held.select("file", "start", "length", (state % 2).alias("state")).collect()}
+
+
+COMPLETE, OPEN, CARRIED = 0, 1, 2
+Record = tuple[Range, int, int, str]
+
+
+def _walk(batches: Iterator[pa.RecordBatch], opened: dict[Range, bool], sep: str) -> Iterator[Record | None]:
+    """Records of every byte range: range, number of the first line, kind, text. A
+    record that reaches into a range is CARRIED there and OPEN where it starts.
+    None where what has been told may be handed on."""
+    last, n, held, begun, kind = None, 0, None, 0, COMPLETE
+    for key, opens, values in _runs(batches):
+        if key != last:
+            if held:
+                yield last, begun, kind, "\n".join(held)
+            if key not in opened:
+                raise ValueError(f"the byte ranges of {key[0]} have changed since they were looked at: read it again")
+            last, n, begun, kind = key, 0, 0, CARRIED
+            held = [] if opened[key] else None
+        for may, line in zip(opens.to_pylist(), values.to_pylist()):
+            if held is None:
+                if may and ends_inside(line, False, sep):
+                    held, begun, kind = [line], n, OPEN
+                else:
+                    yield key, n, COMPLETE, line
+            else:
+                held.append(line)
+                if '"' in line and not ends_inside(line, True, sep):
+                    yield key, begun, COMPLETE if kind == OPEN else CARRIED, "\n".join(held)
+                    held = None
+            n += 1
+        yield None
+    if held:
+        yield last, begun, kind, "\n".join(held)
+
+
+def _clean(record: str) -> str:
+    """Without the end of a carriage return and newline."""
+    return record.removesuffix("\r")
+
+
+def _told(lines: DataFrame, opened: dict[Range, bool], sep: str, choose: Callable[[Iterator[Record | None]], Iterator[Record | None]]) -> DataFrame:
+    """``file``, ``start``, ``nth`` (line of the range), ``kind`` and ``record`` of
+    the records that ``choose`` lets pass."""
+    held = lines.sparkSession.sparkContext.broadcast(opened)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[Record] = []
+        for row in choose(_walk(batches, held.value, sep)):
+            if row is not None:
+                rows.append(row)
+            if len(rows) >> CHUNK_BITS or (row is None and rows):
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+
+    return lines.mapInArrow(run, "file string, start long, nth long, kind int, record string")
+
+
+def _batch(rows: list[Record]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+         pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], names=["file", "start", "nth", "kind", "record"])
+
+
+def _ends_and_firsts(rows: Iterator[Record | None]) -> Iterator[Record | None]:
+    """What reaches over a range's end, and each range's first record that is not blank."""
+    seen = None
+    for row in rows:
+        if row is None or row[2] != COMPLETE:
+            yield row
+        elif row[0] != seen and _clean(row[3]).strip(" "):
+            seen = row[0]
+            yield (*row[:3], _clean(row[3]))
+
+
+def spanning_records(ends: DataFrame) -> DataFrame:
+    """Records of several ranges, put together from their OPEN and CARRIED parts
+    (two rows of a range at most); an opening quote that nothing closes takes the
+    rest of its file."""
+    along = Window.partitionBy("file").orderBy("start", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("kind") == OPEN, F.struct("start", "nth")), ignorenulls=True).over(along)
+    parts = ends.where(F.col("kind") != COMPLETE).select("file", own.alias("own"), F.struct("start", "nth", "record").alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["record"]), "\n")
+    return parts.groupBy("file", "own").agg(F.regexp_replace(joined, "\r\\z", "").alias("record")).where(F.trim("record") != "").select(
+        "file", "own.start", "own.nth", "record")
 
 
 def _names(header: str, sep: str) -> list[str]:
@@ -129,22 +212,44 @@ def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def read_records(spark: SparkSession, paths: str | list[str], recursive: bool = True, sep: str = ",") -> tuple[DataFrame | None, dict[str, str]]:
     """The files' rows, all columns text, combined by column name (missing ones
-    NULL), and each file's header (one row per file is gathered). Files that
-    share a header are parsed together; files without any record do not count."""
-    records = stored_rows(csv_records(csv_lines(spark, paths, recursive, sep)))
-    first = records.groupBy("file").agg(F.min(F.struct("start", "mid", "record")).alias("first"))
-    headers = {r.file: r.first.record for r in first.collect()}
-    body = records.join(first.select("file", "first.start", "first.mid"), ["file", "start", "mid"], "left_anti")
+    NULL), and each file's header (one row per file is gathered). Files without
+    any record do not count. The files are read three times: for their quotes,
+    for records over a range's end and first ones, and for the rows."""
+    lines = csv_lines(spark, paths, recursive, sep)
+    opened = opened_ranges(range_functions(lines, sep))
+    ends = stored_rows(_told(lines, opened, sep, _ends_and_firsts))
+    spanning = stored_rows(spanning_records(ends))
+    candidates = ends.where(F.col("kind") == COMPLETE).select("file", "start", "nth", "record").unionByName(spanning)
+    first = candidates.groupBy("file").agg(F.min(F.struct("start", "nth", "record")).alias("first")).collect()
+    headers = {r.file: r.first.record for r in first}
+    places = {r.file: (r.first.start, r.first.nth) for r in first}
+    if not headers:
+        return None, headers
+
+    def rows(told: Iterator[Record | None]) -> Iterator[Record | None]:
+        for row in told:
+            if row is None:
+                yield row
+            elif row[2] == COMPLETE and (row[0][1], row[1]) != places.get(row[0][0]):
+                record = _clean(row[3])
+                if record.strip(" "):
+                    yield (*row[:3], record)
+
+    heads = spark.createDataFrame([(f, *at) for f, at in places.items()], "file string, start long, nth long")
+    body = _told(lines, opened, sep, rows).select("file", "record").unionByName(
+        spanning.join(heads, ["file", "start", "nth"], "left_anti").select("file", "record"))
     by_header: dict[str, list[str]] = {}
     for file, header in headers.items():
-        by_header.setdefault(header.lstrip("﻿"), []).append(file)
-    out = None
+        by_header.setdefault(header.lstrip("\ufeff"), []).append(file)
     # a field without anything is NULL, a quoted empty one is the empty text
     options = {"escape": '"', "sep": sep, "multiLine": "true", "mode": "PERMISSIVE", "nullValue": "\0"}
-    for header, files in sorted(by_header.items()):
+    parsed, columns = [], {}
+    for i, (header, files) in enumerate(sorted(by_header.items())):
         names = _names(header, sep)
         ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        mine = body if len(by_header) == 1 else body.where(F.col("file").isin(files))
-        part = mine.select(F.from_csv("record", ddl, options).alias("row")).select("row.*")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out, headers
+        mine = F.col("record") if len(by_header) == 1 else F.when(F.col("file").isin(files), F.col("record"))
+        parsed.append(F.from_csv(mine, ddl, options).alias(f"row{i}"))
+        for n in names:
+            columns.setdefault(n, []).append(F.col(f"row{i}").getField(n))
+    # a row of another header is NULL
+    return body.select(*parsed).select(*[F.coalesce(*c).alias(n) for n, c in columns.items()]), headers

@@ -43,14 +43,16 @@ def spread_by_size(df: DataFrame, partition_by: list[str], file_bytes: int) -> D
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-                mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+                mode: str = "overwrite", file_bytes: int = FILE_BYTES, compression: str | None = None) -> None:
     """Write ``df``. With ``partition_by`` each value gets files of about
     ``file_bytes`` (``df`` is read twice), and "overwrite" replaces only the
-    values that ``df`` holds."""
+    values that ``df`` holds. ``compression`` as Spark's writers name it."""
     df = _csv_safe(df) if fmt == "csv" else df
     if partition_by:
         df = spread_by_size(df, partition_by, file_bytes)
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
@@ -67,5 +69,5 @@ def write_splits(df_with_split: DataFrame, path: str, fmt: str = "parquet") -> N
     write_table(df_with_split, path, fmt, partition_by=["split"])
 
 
-def write_predictions(preds: DataFrame, path: str, fmt: str = "json") -> None:
-    write_table(preds, path, fmt)
+def write_predictions(preds: DataFrame, path: str, fmt: str = "json", compression: str | None = None) -> None:
+    write_table(preds, path, fmt, compression=compression)
