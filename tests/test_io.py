@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from vetline.functions.pics import parse_pics
 from vetline.operators.features import add_weak_labels
@@ -235,3 +236,46 @@ def test_a_changed_file_is_told(spark):
     os.remove(f"{d}/m/weights/.{part}.crc")
     with pytest.raises(ValueError, match="changed"):
         MultiLabelModel.load(f"{d}/m")
+
+
+def test_large_shares_are_written_where_they_stand(spark, monkeypatch):
+    """Tasks that hold enough of each value write it in bounded files without an
+    exchange, and leave the session as it was; small ones are still dealt."""
+    from vetline.sources import sinks
+
+    d = _tmp()
+    df = spark.createDataFrame([("ab"[i % 2] if i % 5 else None, i, "x" * 100) for i in range(1000)], "g string, i int, t string").repartition(2)
+    dealt = []
+    monkeypatch.setattr(sinks, "spread_by_size", lambda *a, f=sinks.spread_by_size: dealt.append(a) or f(*a))
+    sinks.write_table(df, f"{d}/t", partition_by=["g"], file_bytes=10_000, compression="zstd")
+    files = {k: sum(f.endswith(".zstd.parquet") for f in os.listdir(f"{d}/t/{k}")) for k in os.listdir(f"{d}/t") if k.startswith("g=")}
+    assert not dealt and len(files) == 3 and all(2 <= n <= 8 for n in files.values())
+    back = spark.read.parquet(f"{d}/t")
+    assert sorted(map(str, back.select("g", "i", "t").collect())) == sorted(map(str, df.collect()))
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 20_000 // 108
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    sinks.write_table(df.where("g = 'a'"), f"{d}/t", partition_by=["g"])  # a few kilobytes
+    assert len(dealt) == 1 and spark.read.parquet(f"{d}/t").count() == 1000
+    sinks.write_table(df.limit(0), f"{d}/t", partition_by=["g"])
+    assert spark.read.parquet(f"{d}/t").count() == 1000
+
+
+def test_splits_are_assigned_before_the_texts(spark, tmp_path, monkeypatch):
+    from vetline.plans import catalog
+    from vetline.session import stored_rows
+
+    made = {"part": "SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type FROM range(30)",
+            "customer": "SELECT id AS c_custkey, 'c' AS c_name FROM range(5)",
+            "documents": "SELECT id AS doc_id, CASE WHEN id <> 4 THEN concat('text ', id) END AS text, 'en' AS lang FROM range(1, 6) "
+                         "UNION ALL SELECT 2L, 'other', 'en'",
+            "events": "SELECT id AS event_id, id % 6 AS user_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts FROM range(90)",
+            "nation": "SELECT CAST(id AS INT) AS n_nationkey, 'n' AS n_name, CAST(id % 5 AS INT) AS n_regionkey FROM range(9)"}
+    for name, sql in made.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = []
+    monkeypatch.setattr(catalog, "stored_rows", lambda df: kept.append(df.columns) or stored_rows(df))
+    got = catalog.q_split_sink(spark, str(tmp_path))
+    assert kept and not any("text" in c for c in kept)
+    r = catalog.V.reviews(spark, str(tmp_path))
+    want = catalog.S.assign_split(r, catalog.S.place_split(r)).select("row_no", "review_id", "text", "split")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("split = 'val'").count() > 0
