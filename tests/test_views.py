@@ -61,3 +61,26 @@ def test_pairs_meet_their_place_before_their_texts(spark, tables):
     want = spark.sql(V.with_views("spark", select="SELECT r.row_no, r.text, p.description FROM reviews r JOIN places p "
                                   "ON p.place_id = r.place_id", **counts))
     assert sorted(map(str, pairs.select("row_no", "text").collect())) == sorted(map(str, want.select("row_no", "text").collect()))
+
+
+def test_relevancy_queries_store_no_text(spark, tables, monkeypatch):
+    """What the pair queries keep has neither texts nor, where they are fetched
+    again, descriptions; repeated and missing places and documents count."""
+    from vetline.operators import relevancy as RL
+    from vetline.plans import catalog
+    from vetline.session import stored_rows
+
+    kept = []
+    for module in (catalog, RL):
+        monkeypatch.setattr(module, "stored_rows", lambda df: kept.append(set(df.columns)) or stored_rows(df))
+    counts = {"n_docs": V.load(spark, tables, "documents").count(), "n_parts": V.load(spark, tables, "part").count()}
+    want = spark.sql(V.with_views("spark", select="SELECT r.review_id, r.row_no, r.text, concat(coalesce(p.place_name, ''), ' — ', "
+                                  "coalesce(p.place_category, ''), ', ', coalesce(p.city, ''), '. ', coalesce(p.description, '')) AS place_desc "
+                                  "FROM reviews r JOIN places p ON p.place_id = r.place_id", **counts))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(catalog.q_eval_pairs(spark, tables)) == rows(want.select("review_id", "place_desc")) and not kept
+    assert rows(catalog._eval_pairs_spark(spark, tables).select("row_no", "text", "place_desc")) == rows(want.select("row_no", "text", "place_desc"))
+    score = "(length(coalesce(text, '')) * 7 + length(place_desc) * 3) % 101 / 10.0D - 3.0D"
+    told = want.selectExpr("row_no", f"round(1.0D / (1.0D + exp(-({score}))), 6) AS relevancy")
+    assert rows(catalog.q_scorer_relevancy(spark, tables)) == rows(told)
+    assert len(kept) == 2 and not any("text" in c for c in kept) and "place_desc" in kept[0] and "place_desc" not in kept[1]
