@@ -84,3 +84,23 @@ def test_relevancy_queries_store_no_text(spark, tables, monkeypatch):
     told = want.selectExpr("row_no", f"round(1.0D / (1.0D + exp(-({score}))), 6) AS relevancy")
     assert rows(catalog.q_scorer_relevancy(spark, tables)) == rows(told)
     assert len(kept) == 2 and not any("text" in c for c in kept) and "place_desc" in kept[0] and "place_desc" not in kept[1]
+
+
+def test_model_reviews_meet_their_split_before_their_texts(spark, tables, monkeypatch):
+    from vetline.operators import multilabel as ML
+    from vetline.plans import catalog
+
+    seen = []
+    fit = ML.MultiLabelModel.fit.__func__
+    monkeypatch.setattr(ML.MultiLabelModel, "fit", classmethod(lambda cls, df, **kw: seen.append(df) or fit(cls, df, **kw)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = catalog.q_multilabel_fit_predict(spark, tables)
+        plan = seen[0].select("text", "weak_labels")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan.split("SortMergeJoin [doc_key")[0]
+    r = V.reviews(spark, tables)
+    want = catalog.S.assign_split(r, catalog.S.place_split(r, cfg=catalog.SplitConfig(0.2, 0.2, 42))).where("split = 'train'")
+    assert sorted(map(str, seen[0].select("row_no", "text").collect())) == sorted(map(str, want.select("row_no", "text").collect()))
+    assert out.count() == r.count()
